@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -20,12 +22,14 @@ def ship(spark: SparkSession) -> None:
         return
     _SHIPPED.add(sc.applicationId)
     root = Path(__file__).resolve().parents[1]
-    with tempfile.TemporaryDirectory() as d:
-        target = os.path.join(d, f"{root.name}-{os.getpid()}.zip")
-        with zipfile.ZipFile(target, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(target)
+    # the file server reads it whenever an executor starts, so it stays as long as the driver
+    folder = tempfile.mkdtemp(prefix=f"{root.name}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, f"{root.name}-{os.getpid()}.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(target)
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
