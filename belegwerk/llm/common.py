@@ -137,3 +137,14 @@ def pair_hash(h: np.ndarray) -> bytes:
     import hashlib
 
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
+def rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """As ``chained``, in a fixed number of passes for any ``k``: a polynomial over the word
+    hashes from one prefix sum, each window moved to a common origin."""
+    if len(h) < k:
+        return h[:0]
+    n = len(h)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(h * _powers(_BASE, n), out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * _powers(_BASE_INV, n)[: n - k + 1] + _U(k))

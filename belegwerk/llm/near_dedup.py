@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ship import map_arrow
 from .common import LOWER, chained, mix, pair_hash, steps, written
 from .components import components
 
@@ -130,12 +131,12 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     """The pairs (a, b) whose full sets are similar enough. A text's set is made once per
     document and joined to its pairs; hot ids are split by the adaptive join."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(k), "id long, shingles binary")
+    sets = map_arrow(texts.join(ids, "id", "left_semi").select("id", "text"), _sets(k), "id long, shingles binary")
     sets = written(sets, "near-sets")
     full = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(
         sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"
     )
-    return full.select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long")
+    return map_arrow(full.select("a", "b", "x", "y"), _confirmed(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -150,7 +151,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     made = written(
-        texts.mapInArrow(_profile(k), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"), "near-profile"
+        map_arrow(texts, _profile(k), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"), "near-profile"
     )
     some = made.where("digest is not null and doc_id is not null")
     classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
