@@ -7,9 +7,10 @@ Bands of ROWS coordinates make BANDS candidate keys: a pair at similarity 0.8 sh
 with probability (1 - 0.8**8)**64 < 1e-5.
 
 Links are confirmed on full shingle sets. Copies collapse first to one representative by the
-digest of their sets. Every key links its members to its smallest one; what is still in other
-components after that is compared pair by pair behind a test of size and of a 512-bit sketch,
-so a link missed by the first pass is found by the second.
+digest of their sets. A key offers its members its smallest one as a centre; each member is compared with
+two centres first, and with the others where they would join two components. Keys that then
+still hold several components have their members compared across components, behind a test of
+size and of a 512-bit sketch, so links that no centre shows are found too.
 """
 
 from __future__ import annotations
@@ -129,16 +130,26 @@ def _confirmed(percent: int):
 
 def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. A text's set is made once per
-    document and joined to its pairs; hot ids are split by the adaptive join."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    document and joined to its pairs; hot ids are split by the adaptive join. The joins are sort
+    merges at every size, so the plan that runs on a small table is the one for a large one."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().hint("merge")
     sets = map_arrow(texts.join(ids, "id", "left_semi").select("id", "text"), _sets(k), "id long, shingles binary")
     sets = written(sets, "near-sets")
+    pairs = pairs.hint("merge")
     full = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(
-        sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"
+        sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a"
     )
     return map_arrow(full.select("a", "b", "x", "y"), _confirmed(percent), "a long, b long")
 
 
+def _joined(labels: DataFrame, pairs: DataFrame, texts: DataFrame, k: int, percent: int, label: str) -> DataFrame:
+    """The components after the links among ``pairs`` too."""
+    if not pairs.limit(1).count():
+        return labels
+    old = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return components(old.union(_links(pairs, texts, k, percent)), label)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, n_shingles, component_id, kept)``.
 
@@ -146,8 +157,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     k-word shingles (A-Z lower-cased; fewer words than k: the whole sequence is one shingle).
     component_id is the smallest doc_id reachable over links. Null, empty and blank texts link
     with nothing and keep their own id. A null doc_id is a document of its own with a null
-    component. Rows that repeat a doc_id are judged each, under that id. Other columns of any
-    name are ignored. An empty table gives an empty result.
+    component. Rows that repeat a doc_id are one document with several texts: each links, and all take
+    the smallest component. Other columns of any name are ignored. An empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     made = written(
@@ -163,9 +174,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     keyed = reps.select(F.explode("bands").alias("key"), "id")
     hot = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
     keyed = written(keyed.join(hot, "key"), "near-keys")
-    pairs = written(keyed.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "near-stars")
-    stars = written(_links(pairs, texts, k, percent), "near-links")
-    labels = components(stars, "near-stars")
+    stars = written(keyed.where("id > low").groupBy(F.col("low").alias("a"), F.col("id").alias("b")).count(), "near-stars")
+    # most members are linked by the centre they share most keys with, or by the smallest one
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("x"), F.min("a").alias("y"))
+    pairs = written(best.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"), "near-pairs")
+    labels = components(_links(pairs, texts, k, percent), "near-first")
+    # the other centres are tried where they would join two components
+    ends = labels.select(F.col("id").alias("a"), F.col("component").alias("of_a")), labels.select(F.col("id").alias("b"), F.col("component").alias("of_b"))
+    more = stars.join(pairs, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    more = written(more.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "near-more")
+    labels = _joined(labels, more, texts, k, percent, "near-second")
 
     # keys whose members are in several components still hide pairs that no star has compared
     named = keyed.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -189,17 +207,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
         .distinct()
     )
-    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest")
-    if rest.limit(1).count():
-        found = _links(rest, texts, k, percent)
-        merged = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found)
-        labels = components(merged, "near-all")
+    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "near-rest")
+    labels = _joined(labels, rest, texts, k, percent, "near-third")
     of = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component")
+        "doc_id", F.coalesce("component", "rep").alias("component")
     )
+    of = of.groupBy("doc_id").agg(F.min("component").alias("component"))
     return (
         made.select("doc_id", "n_shingles")
-        .join(of.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        .join(of, "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
+from .fingerprints import fingerprints
 from .near_dedup import near_duplicates
 from .packing import packed
+from .pii import pseudonymised
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .substring_dedup import without_repeats
 
@@ -120,3 +123,15 @@ FROM w LEFT JOIN k ON k.doc_id = w.doc_id
 @_register("op9_substring_dedup", _OP9)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(read_table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@_register("op5_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pseudonymised(docs)
+    return out.select("doc_id", F.size("_kinds").cast("long").alias("n_found"), F.array_join("_kinds", ",").alias("kinds"), "text")
+
+
+@_register("op8_fingerprints")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read_table(spark, sf_dir, "documents"))
