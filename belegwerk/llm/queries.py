@@ -10,8 +10,10 @@ from .fingerprints import fingerprints
 from .near_dedup import near_duplicates
 from .packing import packed
 from .pii import pseudonymised
+from .quality_classifier import quality_scores
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .substring_dedup import without_repeats
+from .url_filters import url_verdicts
 
 QUERIES = {}
 ORACLE = {}
@@ -135,3 +137,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op8_fingerprints")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+@_register("op2_url_filters")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(read_table(spark, sf_dir, "pages"))
+
+
+@_register("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
