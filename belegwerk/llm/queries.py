@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import fresh_path, read_table
 from .fingerprints import fingerprints
 from .near_dedup import near_duplicates
 from .packing import packed
 from .pii import pseudonymised
 from .quality_classifier import quality_scores
 from .quality_rules import RULES, STOP_WORDS, quality_rules
+from .sentencepiece_codec import encoded
 from .substring_dedup import without_repeats
+from .token_counts import maintained
 from .url_filters import url_verdicts
 
 QUERIES = {}
@@ -147,3 +149,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op3_quality_classifier")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@_register("op7_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintained(read_table(spark, sf_dir, "documents"), fresh_path(spark, "token-rollup"))
+
+
+@_register("op10_sentencepiece")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(read_table(spark, sf_dir, "documents"), keep_ids=False)
