@@ -85,14 +85,15 @@ def _repeat_words(words: Column, n: Column, k: int = 5) -> Column:
     return F.when(n <= k, 0).otherwise(F.element_at(bound, 1)).cast("long")
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> doc_id and every measure that a rule may name."""
+def measures(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``docs(doc_id, text)`` -> doc_id, the columns ``carry`` and every measure a rule may name."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select("doc_id", text.alias("_t"), words_of(text).alias("_w"))
+    base = docs.select("doc_id", *carry, text.alias("_t"), words_of(text).alias("_w"))
     base = base.withColumn("_n", F.size("_w"))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     counted = base.select(
         "doc_id",
+        *carry,
         F.col("_n").cast("long").alias("n_words"),
         F.length(F.translate("_t", SPACES, "")).cast("long").alias("word_chars"),
         _count_of(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"),
@@ -106,6 +107,7 @@ def measures(docs: DataFrame) -> DataFrame:
     n = F.greatest("n_words", F.lit(1))
     return counted.select(
         "doc_id",
+        *carry,
         "n_words",
         "word_chars",
         "n_symbols",
@@ -117,6 +119,8 @@ def measures(docs: DataFrame) -> DataFrame:
         (F.col("_stops") / n).alias("stop_word_share"),
         (F.col("_upper") / F.greatest(F.col("_upper") + F.col("_small"), F.lit(1))).alias("upper_share"),
         (F.col("_marks") / n).alias("mark_share"),
+        # a filter on the verdict stays above this projection instead of repeating all of it
+        F.monotonically_increasing_id().alias("_row"),
     )
 
 
@@ -133,24 +137,26 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_compact(F.array(*broken))
 
 
-def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ()) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> doc_id, the counts, ``base_failed``, ``kept``, ``broken``.
 
     One row per input row, in no order. base_failed: fewer than 10 words, or more than a fifth
     of the words in repeated 5-word windows. kept: neither base_failed nor a broken rule. A null
     text counts as empty and fails; null ids and repeated rows pass through; columns beside
-    doc_id and text are ignored; an empty table gives an empty result.
+    doc_id and text are ignored, but for those in ``carry``, which come along; an empty table
+    gives an empty result.
     """
-    out = measures(docs).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    out = measures(docs, carry).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     out = out.withColumn("broken", verdict(rules))
     return out.select(
         "doc_id",
+        *carry,
         "n_words",
         "word_chars",
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
         "base_failed",
-        (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"),
+        (~F.col("base_failed") & (F.size("broken") == 0) & (F.col("_row") >= 0)).alias("kept"),
         F.array_join("broken", ",").alias("broken"),
     )

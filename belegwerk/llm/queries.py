@@ -159,3 +159,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op10_sentencepiece")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(read_table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+@_register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
