@@ -118,23 +118,22 @@ def _paths(steps_: DataFrame, label: str) -> DataFrame:
     ways = steps_.groupBy("mark").agg(F.min("following").alias("x"), F.max("following").alias("y")).where("x = y and x <> mark")
     back = steps_.groupBy("following").agg(F.min("mark").alias("u"), F.max("mark").alias("v")).where("u = v")
     only = ways.join(back, (F.col("mark") == F.col("u")) & (F.col("x") == F.col("following")))
-    now = written(only.select(F.col("following").alias("mark"), F.col("u").alias("head"), F.lit(1).cast("long").alias("depth")), f"{label}-0")
-    size, reach, i = now.count(), 1, 0
-    while size:
+    moving = written(only.select(F.col("following").alias("mark"), F.col("u").alias("head"), F.lit(1).cast("long").alias("depth")), f"{label}-0")
+    settled, size, reach, i = moving.limit(0), moving.count(), 1, 0
+    while True:
         i += 1
-        up = now.select(F.col("mark").alias("head"), F.col("head").alias("top"), F.col("depth").alias("more"))
-        step = now.join(up, "head", "left").select(
+        # one plan at every size: a sort merge, whose hot side may be split
+        known = settled.union(moving).select(F.col("mark").alias("head"), F.col("head").alias("top"), F.col("depth").alias("more")).hint("merge")
+        step = moving.join(known, "head", "left").select(
             "mark", F.coalesce("top", "head").alias("head"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("top").isNotNull().alias("moved")
         )
         step = written(step, f"{label}-{i}")
+        settled = settled.union(step.where("not moved").drop("moved"))
+        moving = step.where("moved").drop("moved")
         reach *= 2
-        moved = step.where("moved").limit(1).count()
-        now = step.drop("moved")
-        if not moved:
-            return now
-        if reach > 2 * size:  # whoever still moves runs in a ring
-            return step.where("not moved").drop("moved")
-    return now
+        # whoever still moves after that many steps runs in a ring
+        if reach > 2 * size or not moving.limit(1).count():
+            return settled
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> tuple[DataFrame, DataFrame]:
@@ -145,7 +144,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) ->
         map_arrow(texts, _profile(window, kmer), "doc_id long, n_words long, digest binary, places array<int>, marks array<long>"), "sub-profile"
     )
     some = made.where("digest is not null and doc_id is not null")
-    first = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    first = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "sub-first")
     copies = some.select("doc_id", "digest").join(first, "digest").where("doc_id > rep").select("doc_id").distinct()
     copies = written(copies, "sub-copies")
     alone = some.join(copies, "doc_id", "left_anti")
@@ -169,6 +168,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) ->
     held = written(held, "sub-windows")
     each = held.select("doc_id", "first", F.posexplode("run").alias("i", "hash")).select("doc_id", (F.col("first") + F.col("i")).alias("place"), "hash")
     owner = each.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("y")).where("owner < y").select("hash", "owner")
+    owner = written(owner, "sub-owner")  # so that the join has an exchange of its own on either side, which may be split
     gone = each.join(owner, "hash").where("doc_id > owner")
     cut = gone.groupBy("doc_id").agg(F.collect_list("place").alias("windows")).select("doc_id", F.lit(False).alias("whole"), "windows")
     whole = copies.select("doc_id", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("windows"))
