@@ -28,16 +28,19 @@ UNWANTED = ("casino", "pills", "bets", "spam", "loan", "viagra", "porn")
 #: At most this many labelled URLs of each class train the trees.
 SAMPLE = 10_000
 FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "labels", "digit_share", "hyphens", "entropy", "parameters", "query_chars", "suffix_block_share", "longest_label")
-_EMPTY = F.lit("")
+
+
+def _empty() -> Column:
+    return F.lit("")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path:
     from there up to ``?``, ``#`` or the end. Both empty for null or without ``://``."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(_EMPTY)
+    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(_empty())
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
-    return F.coalesce(host, _EMPTY), F.coalesce(path, _EMPTY)
+    return F.coalesce(host, _empty()), F.coalesce(path, _empty())
 
 
 def _parted(pages: DataFrame) -> DataFrame:
@@ -64,10 +67,10 @@ def _suffix() -> Column:
 
 def features(parted: DataFrame, suffix_share: Column) -> DataFrame:
     """``parted(url, host, path, ...)`` with the columns of FEATURES."""
-    url, host = F.coalesce(F.col("url"), _EMPTY), F.col("host")
+    url, host = F.coalesce(F.col("url"), _empty()), F.col("host")
     chars = F.filter(F.split(host, ""), lambda c: c != "")
     n = F.greatest(F.size(chars), F.lit(1)).cast("double")
-    counts = F.transform(F.array_distinct(chars), lambda c: (F.length(host) - F.length(F.replace(host, c, _EMPTY))) / n)
+    counts = F.transform(F.array_distinct(chars), lambda c: (F.length(host) - F.length(F.replace(host, c, _empty()))) / n)
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     made = {
         "url_chars": F.length(url),
@@ -76,7 +79,7 @@ def features(parted: DataFrame, suffix_share: Column) -> DataFrame:
         "depth": F.size(F.filter(F.split("path", "/"), lambda p: p != "")),
         "labels": F.size(F.split(host, r"\.")),
         "digit_share": F.length(F.regexp_replace(url, "[^0-9]", "")) / F.greatest(F.length(url), F.lit(1)),
-        "hyphens": F.length(host) - F.length(F.replace(host, F.lit("-"), _EMPTY)),
+        "hyphens": F.length(host) - F.length(F.replace(host, F.lit("-"), _empty())),
         "entropy": F.aggregate(counts, F.lit(0.0), lambda s, p: s - p * F.log2(p)),
         "parameters": F.when(query == "", 0).otherwise(F.size(F.split(query, "&"))),
         "query_chars": F.length(query),
