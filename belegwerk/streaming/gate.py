@@ -31,10 +31,11 @@ def step(held: str, passed: bool, refused: bool, piece: str, last: bool) -> tupl
     return held, False, False, []
 
 
-def gate(tokens: DataFrame) -> DataFrame:
+def gate(tokens: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Streaming ``tokens(request_id, seq, token, last)`` -> request_id, seq, event, data, in append
     mode. State is the held text of each open request; an event's place in its request makes a
-    repeated write recognisable. Requests without an end are dropped after an hour."""
+    repeated write recognisable. A request that says nothing for ``idle_ms`` is dropped; leave it
+    None for a finite stream, which would else wait for time to pass."""
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
@@ -56,11 +57,13 @@ def gate(tokens: DataFrame) -> DataFrame:
             state.remove()
         else:
             state.update((held, nxt, passed, refused))
-            state.setTimeoutDuration(3_600_000)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["request_id", "seq", "event", "data"])
 
     ship(tokens.sparkSession)
-    return tokens.groupBy("request_id").applyInPandasWithState(run, OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return tokens.groupBy("request_id").applyInPandasWithState(run, OUT, _STATE, "append", timeout)
 
 
 def citation_stream(events: DataFrame) -> DataFrame:
