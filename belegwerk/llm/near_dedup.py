@@ -7,8 +7,8 @@ Bands of ROWS coordinates make BANDS candidate keys: a pair at similarity 0.8 sh
 with probability (1 - 0.8**8)**64 < 1e-5.
 
 Links are confirmed on full shingle sets. Copies collapse first to one representative by the
-digest of their sets. A key offers its members its smallest one as a centre; each member is compared with
-two centres first, and with the others where they would join two components. Keys that then
+digest of their sets. A key offers its members its most connected one as a centre; each member is compared
+with one centre first, and with the others where they would join two components. Keys that then
 still hold several components have their members compared across components, behind a test of
 size and of a 512-bit sketch, so links that no centre shows are found too.
 """
@@ -29,8 +29,8 @@ from .components import components
 RING = 1 << 20
 BANDS, ROWS = 64, 8
 COORDINATES = BANDS * ROWS
-#: Sketch bits that may differ: 512 * (1 - 0.8) / 2 is 51 at the threshold, 8 deviations are 54.
-SKETCH_SLACK = 106
+#: Sketch bits that may differ: 512 * (1 - 0.8) / 2 is 51 at the threshold, 7 deviations are 48.
+SKETCH_SLACK = 99
 _SIGMA = np.uint64(0xA0761D6478BD642F)
 _CELLS = None
 
@@ -165,19 +165,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         map_arrow(texts, _profile(k), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"), "near-profile"
     )
     some = made.where("digest is not null and doc_id is not null")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # aggregates that are joined back are written first: the join then has an exchange of its own
+    # on either side, and hot keys may be split
+    classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-classes")
     member = some.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep").distinct()
     member = written(member, "near-members")
     reps = some.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select(
         F.col("doc_id").alias("id"), "n_shingles", "bands", "sketch"
     )
     keyed = reps.select(F.explode("bands").alias("key"), "id")
-    hot = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    hot = written(hot.where("low < high").select("key", "n"), "near-hot")
     keyed = written(keyed.join(hot, "key"), "near-keys")
-    stars = written(keyed.where("id > low").groupBy(F.col("low").alias("a"), F.col("id").alias("b")).count(), "near-stars")
-    # most members are linked by the centre they share most keys with, or by the smallest one
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("x"), F.min("a").alias("y"))
-    pairs = written(best.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"), "near-pairs")
+    # a key's centre is its member that meets most others over all keys: the source of a group of
+    # copies, which are closer to it than to each other
+    degrees = written(keyed.groupBy("id").agg(F.sum("n").alias("degree")), "near-degrees")
+    centres = keyed.join(degrees, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("centre"))
+    centred = keyed.join(written(centres, "near-centres"), "key").where("id <> centre")
+    stars = written(centred.groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).count(), "near-stars")
+    # most members are linked by the centre they share most keys with
+    pairs = written(stars.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b"), "near-pairs")
     labels = components(_links(pairs, texts, k, percent), "near-first")
     # the other centres are tried where they would join two components
     ends = labels.select(F.col("id").alias("a"), F.col("component").alias("of_a")), labels.select(F.col("id").alias("b"), F.col("component").alias("of_b"))
@@ -207,7 +214,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
         .distinct()
     )
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "near-rest")
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "near-rest")
     labels = _joined(labels, rest, texts, k, percent, "near-third")
     of = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", F.coalesce("component", "rep").alias("component")
