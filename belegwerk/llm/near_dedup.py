@@ -181,15 +181,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # copies, which are closer to it than to each other
     degrees = written(keyed.groupBy("id").agg(F.sum("n").alias("degree")), "near-degrees")
     centres = keyed.join(degrees, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("centre"))
-    centred = keyed.join(written(centres, "near-centres"), "key").where("id <> centre")
+    centres = written(centres, "near-centres")
+    centred = keyed.join(centres, "key").where("id <> centre")
     stars = written(centred.groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).count(), "near-stars")
     # most members are linked by the centre they share most keys with
     pairs = written(stars.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b"), "near-pairs")
     labels = components(_links(pairs, texts, k, percent), "near-first")
-    # the other centres are tried where they would join two components
-    ends = labels.select(F.col("id").alias("a"), F.col("component").alias("of_a")), labels.select(F.col("id").alias("b"), F.col("component").alias("of_b"))
-    more = stars.join(pairs, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
-    more = written(more.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "near-more")
+    # the other centres are tried where they would join two components: the test is a condition
+    # of the join, so that members already beside their centre never leave it
+    named = keyed.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    at_centre = centres.join(labels.select(F.col("id").alias("centre"), F.col("component").alias("of")), "centre", "left").select(
+        F.col("key").alias("at_key"), "centre", F.coalesce("of", "centre").alias("of")
+    )
+    apart_from = (F.col("key") == F.col("at_key")) & (F.col("component") != F.col("of"))
+    more = named.join(written(at_centre, "near-at-centre"), apart_from).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    more = written(more.join(pairs, ["a", "b"], "left_anti"), "near-more")
     labels = _joined(labels, more, texts, k, percent, "near-second")
 
     # keys whose members are in several components still hide pairs that no star has compared
