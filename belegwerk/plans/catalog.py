@@ -160,13 +160,13 @@ def advisory_flag(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.is_advisory(F.col("text"), PROSE).alias("advisory"))
 
 
-_LICENSE = r"(?i)[^\n]*(?:licen[sc]e|all rights|cc by)[^\n]*"
+_LICENSE = r"(?im)^[^\n]*(?:licen[sc]e|all rights|cc by)[^\n]*"  # from line starts only: linear
 _CLASS = lambda s: f"CASE WHEN trim({s}) = '' OR lower(trim({s})) = 'unknown' THEN 'unknown' WHEN contains(lower({s}), 'all rights') THEN 'arr' WHEN contains({s}, '변경금지') OR contains(lower({s}), '-nd') THEN 'nd' WHEN contains({s}, '공공누리') OR contains({s}, '출처표시') OR contains(lower({s}), 'cc') THEN 'open' ELSE 'unknown' END"
 
 
 @query("license_class", f"SELECT doc_id, l AS license, {_CLASS('l')} AS lic_class, {_CLASS('l')} = 'open' AS rewrite FROM (SELECT doc_id, regexp_extract(text, '{_LICENSE}') AS l FROM documents)")
 def license_class(spark, sf):
-    out = bodies(spark, sf).select("doc_id", F.regexp_extract("body", _LICENSE, 0).alias("license")).withColumn("lic_class", T.license_class(F.col("license")))
+    out = bodies(spark, sf).select("doc_id", F.regexp_extract("body", "(?d)" + _LICENSE, 0).alias("license")).withColumn("lic_class", T.license_class(F.col("license")))
     return out.withColumn("rewrite", T.allow_rewrite(F.col("lic_class")))
 
 
