@@ -242,9 +242,15 @@ def _small(spark, sf):
     return b, u
 
 
+def _whole(spark, sf):
+    """Chunks of all documents, and benchmark passages as questions."""
+    b = chunks(spark, sf).select("cidx", "doc_id", "text")
+    return b, table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 @query("tfidf_charwb_topk", f"WITH {_DENSE} SELECT * FROM (SELECT query_id, cidx, round(dense, 6) AS dense, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(dense, 6) DESC, cidx) AS INTEGER) AS rank FROM ds) WHERE rank <= 4")
-def tfidf_charwb_topk(spark, sf):
-    b, u = _small(spark, sf)
+def tfidf_charwb_topk(spark, sf, corpus=_small):
+    b, u = corpus(spark, sf)
     weights, idf = dense.tfidf(b)
     return lexical.top_ranked(dense.tfidf_scores(weights, idf, u).withColumn("dense", F.round("dense", 6)), "dense", DEFAULT.pool, "rank")
 
@@ -279,13 +285,13 @@ def _hits(hits: DataFrame) -> DataFrame:
 
 
 @query("hybrid_search", f"WITH {_DENSE}, {_LEX}, {_hybrid()} {_HITS}")
-def hybrid_search(spark, sf):
-    return _hits(search.hybrid_search(*_small(spark, sf))[0])
+def hybrid_search(spark, sf, corpus=_small):
+    return _hits(search.hybrid_search(*corpus(spark, sf))[0])
 
 
 @query("rrf_fuse", f"WITH {_DENSE}, {_LEX}, {_hybrid()} SELECT query_id, cidx, round(fused, 9) AS fused, CAST(CASE WHEN dr <= 4 THEN dr END AS INTEGER) AS dense_rank, CAST(CASE WHEN br <= 4 THEN br END AS INTEGER) AS bm25_rank, rank AS fused_rank FROM fr")
-def rrf_fuse(spark, sf):
-    b, u = _small(spark, sf)
+def rrf_fuse(spark, sf, corpus=_small):
+    b, u = corpus(spark, sf)
     weights, idf = dense.tfidf(b)
     d = lexical.zero_filled(dense.tfidf_scores(weights, idf, u).withColumnRenamed("dense", "bm25"), u, b, DEFAULT.pool)
     x = lexical.zero_filled(lexical.bm25_scores(lexical.build_index(b), u), u, b, DEFAULT.pool)
@@ -293,24 +299,25 @@ def rrf_fuse(spark, sf):
     return out.withColumn("fused", F.round("fused", 9))
 
 
-def _off(spark, sf) -> DataFrame:
-    return table(spark, sf, "benchmark").select(F.call_function("div", "item_id", F.lit(4)).alias("doc_id")).where("doc_id % 3 = 0").distinct()
+def _off(spark, sf, corpus=_small) -> DataFrame:
+    docs = table(spark, sf, "benchmark").select(F.call_function("div", "item_id", F.lit(4)).alias("doc_id")) if corpus is _small else bodies(spark, sf).select("doc_id")
+    return docs.where("doc_id % 3 = 0").distinct()
 
 
 @query("search_excluding_sources", f"WITH {_DENSE}, {_LEX}, {_hybrid('SELECT DISTINCT item_id // 4 FROM benchmark WHERE item_id // 4 % 3 = 0')} {_HITS}")
-def search_excluding_sources(spark, sf):
-    return _hits(search.hybrid_search(*_small(spark, sf), disabled=_off(spark, sf))[0])
+def search_excluding_sources(spark, sf, corpus=_small):
+    return _hits(search.hybrid_search(*corpus(spark, sf), disabled=_off(spark, sf, corpus))[0])
 
 
 @query("query_signals", f"WITH {_DENSE}, {_LEX}, {_hybrid()}, {_SIGNALS} SELECT query_id, round(dense_top, 6) AS dense_top, round(bm25_top, 6) AS bm25_top, CAST(least(n, 4) AS BIGINT) > 0 AS has_hits FROM sg")
-def query_signals(spark, sf):
-    s = search.hybrid_search(*_small(spark, sf))[1]
+def query_signals(spark, sf, corpus=_small):
+    s = search.hybrid_search(*corpus(spark, sf))[1]
     return s.select("query_id", F.round("dense_top", 6).alias("dense_top"), F.round("bm25_top", 6).alias("bm25_top"), (F.col("n_hits") > 0).alias("has_hits"))
 
 
 @query("refusal_decision", f"WITH {_DENSE}, {_LEX}, {_hybrid()}, {_SIGNALS} SELECT query_id, n = 0 OR bm25_top <= 0 AS refused, n = 0 OR dense_top < 0.06 AS refused_dense FROM sg")
-def refusal_decision(spark, sf):
-    s = search.hybrid_search(*_small(spark, sf))[1]
+def refusal_decision(spark, sf, corpus=_small):
+    s = search.hybrid_search(*corpus(spark, sf))[1]
     return s.select("query_id", search.refused().alias("refused"), search.refused(bm25_available=False).alias("refused_dense"))
 
 
@@ -318,7 +325,10 @@ def refusal_decision(spark, sf):
 _META = f"m AS (SELECT DISTINCT item_id // 4 AS doc_id, 'Title ' || (item_id // 4) AS title, CASE WHEN (item_id // 4) % 2 = 0 THEN 'CC BY 4.0' ELSE 'All rights reserved' END AS license FROM benchmark)"
 
 
-def _meta(spark, sf) -> DataFrame:
+def _meta(spark, sf, corpus=_small) -> DataFrame:
+    if corpus is not _small:
+        line = F.regexp_extract("text", "(?d)" + _LICENSE, 0).alias("license")
+        return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Document "), "doc_id").alias("title"), F.col("source").alias("publisher"), F.lit(None).cast("string").alias("year"), line)
     d = table(spark, sf, "benchmark").select(F.call_function("div", "item_id", F.lit(4)).alias("doc_id")).distinct()
     return d.select(
         "doc_id", F.concat(F.lit("Title "), "doc_id").alias("title"), F.lit("p").alias("publisher"), F.lit("2024").alias("year"),
@@ -326,23 +336,23 @@ def _meta(spark, sf) -> DataFrame:
     )
 
 
-def _evidence(spark, sf) -> DataFrame:
-    return answers.evidence_payload(search.hybrid_search(*_small(spark, sf))[0], _meta(spark, sf))
+def _evidence(spark, sf, corpus=_small) -> DataFrame:
+    return answers.evidence_payload(search.hybrid_search(*corpus(spark, sf))[0], _meta(spark, sf, corpus))
 
 
 @query("evidence_payload", f"WITH {_DENSE}, {_LEX}, {_hybrid()}, {_META} SELECT query_id, rank, cidx, title, license, {_CLASS('license')} AS lic_class FROM hits JOIN m USING (doc_id)")
-def evidence_payload(spark, sf):
-    return _evidence(spark, sf).select("query_id", "rank", "cidx", "title", "license", "lic_class")
+def evidence_payload(spark, sf, corpus=_small):
+    return _evidence(spark, sf, corpus).select("query_id", "rank", "cidx", "title", "license", "lic_class")
 
 
 @query("numbered_evidence", f"WITH {_DENSE}, {_LEX}, {_hybrid()}, {_META} SELECT query_id, string_agg('[' || rank || '] (' || title || ')' || CASE WHEN {_CLASS('license')} = 'open' THEN '' ELSE '〔원문 그대로만 인용〕' END || ' ' || b.text, chr(10) ORDER BY rank) AS prompt FROM hits JOIN m USING (doc_id) JOIN b ON b.cidx = hits.cidx GROUP BY 1")
-def numbered_evidence(spark, sf):
-    return answers.numbered_evidence(_evidence(spark, sf))
+def numbered_evidence(spark, sf, corpus=_small):
+    return answers.numbered_evidence(_evidence(spark, sf, corpus))
 
 
 @query("extractive_answer")
 def extractive_answer(spark, sf):
-    b, u = _small(spark, sf)
+    b, u = _whole(spark, sf)
     found = answers.extractive_answer(search.hybrid_search(b, u)[0], u, answers.token_overlap)
     return answers.with_advice(found, PROSE).select("query_id", F.size("sentences").alias("n"), "answer")
 
@@ -435,8 +445,8 @@ k AS (SELECT query_id, rank, doc_id, unnest(range(len(c))) AS pos, unnest(c) AS
 kp AS (SELECT *, {_POLARITY('claim')} AS pol, list_distinct({_TOKENS('claim')}) AS toks FROM k),
 mt AS (SELECT x.query_id, x.rank AS i, y.rank AS j, x.pos AS p, y.pos AS q, x.claim AS a, y.claim AS c FROM kp x JOIN kp y ON x.query_id = y.query_id AND x.rank < y.rank AND x.doc_id <> y.doc_id AND x.pol <> 0 AND x.pol = -y.pol WHERE len(list_intersect(x.toks, y.toks)) >= 3)
 SELECT query_id, i, j, a AS claim_a, c AS claim_b FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i, j, p, q) AS rn FROM mt) WHERE rn = 1""")
-def source_conflict(spark, sf):
-    out = answers.source_conflict(search.hybrid_search(*_small(spark, sf))[0], PROSE)
+def source_conflict(spark, sf, corpus=_small):
+    out = answers.source_conflict(search.hybrid_search(*corpus(spark, sf))[0], PROSE)
     return out.select("query_id", F.col("between")[0].alias("i"), F.col("between")[1].alias("j"), F.col("claims")[0].alias("claim_a"), F.col("claims")[1].alias("claim_b"))
 
 
@@ -556,8 +566,8 @@ def recall_mrr(spark, sf):
 @query("refusal_rates", f"""WITH {_DENSE}, {_LEX}, {_hybrid()}, {_SIGNALS},
 oc AS (SELECT query_id, query_id % 2 = 0 AS neg, n = 0 OR dense_top < 0.06 AS ref FROM sg)
 SELECT round(count(*) FILTER (neg AND ref) / greatest(count(*) FILTER (neg), 1), 6) AS refusal_recall, round(count(*) FILTER (NOT neg AND ref) / greatest(count(*) FILTER (NOT neg), 1), 6) AS false_refusal FROM oc""")
-def refusal_rates(spark, sf):
-    s = search.hybrid_search(*_small(spark, sf))[1]
+def refusal_rates(spark, sf, corpus=_small):
+    s = search.hybrid_search(*corpus(spark, sf))[1]
     out = accounting.refusal_rates(s.select("query_id", (F.col("query_id") % 2 == 0).alias("is_negative"), search.refused(bm25_available=False).alias("refused")))
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
@@ -620,5 +630,20 @@ def feedback_log(spark, sf):
     return feedback.from_log(lines, "event_id long, rating string, comment string").select("event_id", "rating", F.coalesce(T.cut_text(F.col("comment"), 500), F.lit("")).alias("comment"))
 
 
+# -- the same over the documents: no SQL, DuckDB is too slow for the grams of all chunks --------
+def _over_documents(f):
+    def run(spark, sf):
+        return f(spark, sf, _whole)
+
+    QUERIES[f"{f.__name__}_documents"] = run
+
+
+for _f in (
+    tfidf_charwb_topk, hybrid_search, rrf_fuse, search_excluding_sources, query_signals, refusal_decision, evidence_payload, numbered_evidence,
+    source_conflict, refusal_rates,
+):
+    _over_documents(_f)
+
+
 from . import streams  # noqa: E402,F401  registers the streaming queries
 
