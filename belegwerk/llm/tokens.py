@@ -4,7 +4,8 @@ The public word-level tokenizer drops white space, lower-cases, and cuts words i
 letters, single digits and runs of other characters; merges never cross these segments. So a
 text's ids are its segments' ids in order. Distinct segments of a step are looked up by hash
 among those seen before by this worker; new ones of equal length are merged together in numpy.
-Words with other bytes than printable ASCII and Latin-1 letters go to the tokenizer itself.
+Words with other bytes than printable ASCII and Latin-1 letters go to the tokenizer itself, and
+so do whole texts that hold an added token, which is matched before any cut.
 The memo holds MEMO segments and starts anew beyond.
 """
 
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import _BASE, _BASE_INV, _BYTE_KEYS, _powers, mix, steps
 
@@ -120,7 +122,7 @@ class WordEncoder:
 
         path = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -194,6 +196,21 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order; null is empty."""
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        texts = texts.fill_null("")
+        whole = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            yield from self._segmented(texts)
+            return
+        rest = self._segmented(pc.if_else(pa.array(whole), "", texts))
+        for i, ids in enumerate(rest):
+            yield np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=np.uint32) if whole[i] else ids
+
+    def _segmented(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of texts without added tokens."""
         for i, j, words in steps(texts):
             data, n = words.data, len(words.data)
             if not len(words.starts):

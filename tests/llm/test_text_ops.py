@@ -112,6 +112,21 @@ def test_word_encoder_is_the_tokenizer():
     assert [x.tolist() for x in words_.encode(pa.array(texts))] == want
 
 
+def test_added_tokens_are_those_of_a_fresh_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["plain text", "hello <|endoftext|> world", None, "a<|startoftext|>b <|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext", "", "more plain text"]
+    want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[1] == [3306, 49407, 1002]
+    words_ = encoder("word_bpe_49k.json")
+    assert [x.tolist() for x in words_.encode(pa.array(texts))] == want
+    assert [x.tolist() for x in words_.encode(pa.array(["x", *texts])[1:])] == want
+    got = {r["doc_id"]: r for r in packed(documents(spark, list(enumerate(texts)))).where("start = 0").collect()}
+    assert [got[i]["doc_tokens"] for i in range(len(texts))] == [len(x) + 1 for x in want]
+
+
 def test_sentencepiece_ids_and_round_trip(spark):
     coder = codec("piece_bpe_32k.model")
     rng = random.Random(2)
