@@ -1,9 +1,12 @@
 """Winnowed fingerprints, by SQL expressions alone.
 
-A text's k-grams are runs of GRAM words. In every WINDOW consecutive k-grams the least hash is
-kept with its place, the rightmost of equals; so texts that share GRAM + WINDOW - 1 words in a
-row share a kept hash. A hash of 36 bits and the place's complement of 27 bits make one number,
-so that a plain minimum picks the rightmost of the least.
+A text's k-grams are runs of GRAM characters of its words joined by one blank. In every WINDOW
+consecutive k-grams the least hash is kept with its place, the rightmost of equals; so texts that
+share GRAM + WINDOW - 1 characters in a row share a kept hash, with white space or without. Texts
+under 6 * WINDOW characters have windows of a sixth of their length, and those of which two thirds
+are no k-gram have grams of 2. What a wide window keeps the narrow ones inside it keep too, so
+texts of different length stay comparable. A hash of 36 bits and the place's complement of 27
+bits make one number, so that a plain minimum picks the rightmost of the least.
 """
 
 from __future__ import annotations
@@ -13,30 +16,53 @@ from pyspark.sql import functions as F
 
 from .quality_rules import words_of
 
-GRAM, WINDOW = 4, 12
+GRAM, WINDOW = 5, 12
 PLACE_BITS = 27
 _LAST = (1 << PLACE_BITS) - 1
 
 
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _grams(line: Column, gram: int) -> Column:
+    """All runs of ``gram`` code points, in order; a shorter text is one."""
+    runs = lambda k: F.regexp_extract_all(line, F.lit("(?s)(?=(.{%d}))." % k), F.lit(1))
+    n = F.length(line)
+    return F.when(n - F.floor(n / 3) >= gram, runs(gram)).when(n >= 2, runs(min(gram, 2))).otherwise(F.array(line))
+
+
+def _minima(v: Column, window: int) -> Column:
+    """The least of every ``window`` consecutive numbers, of ``window`` at least, by doubling."""
+
+    def wider(m: Column, width: int) -> Column:
+        if width == window:
+            return F.slice(m, 1, F.size(m) - window + 1)
+        by = min(width, window - width)
+        return _let(F.zip_with(m, F.slice(m, by + 1, F.size(m)), lambda a, b: F.least(a, b)), lambda x: wider(x, width + by))
+
+    return wider(v, 1)
+
+
 def _kept(words: Column, gram: int, window: int) -> Column:
     """The (hash, place) numbers that winnowing keeps, in order of place."""
 
-    def numbered(w: Column) -> Column:
-        n = F.greatest(F.size(w) - gram + 1, F.lit(1))
+    def numbered(grams: Column) -> Column:
         return F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.slice(w, i, gram)), 64 - 63 + PLACE_BITS), PLACE_BITS).bitwiseOR(
-                (F.lit(_LAST) - i + 1).cast("long")
-            ),
+            grams,
+            lambda g, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(g), 64 - 63 + PLACE_BITS), PLACE_BITS).bitwiseOR((F.lit(_LAST) - i).cast("long")),
         )
 
-    def winnowed(v: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(v) - window + 1, F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(v, i, window))))
+    def narrow(v: Column, width: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v) - width + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.array_min(F.slice(v, i, width)))
 
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    bound = F.transform(F.transform(F.array(hashed), numbered), winnowed)
-    return F.when(F.size(words) == 0, F.array().cast("array<long>")).otherwise(F.element_at(bound, 1))
+    def winnowed(line: Column) -> Column:
+        width = F.greatest(F.floor(F.length(line) / 6).cast("int"), F.lit(1))
+        wide = (width >= window) & (F.length(line) >= gram + window - 1)
+        return _let(numbered(_grams(line, gram)), lambda v: F.array_distinct(F.when(wide, _minima(v, window)).otherwise(narrow(v, F.least(width, F.lit(window))))))
+
+    return F.when(F.size(words) == 0, F.array().cast("array<long>")).otherwise(_let(F.array_join(words, " "), winnowed))
 
 
 def hashes_of(kept: Column) -> Column:
@@ -58,15 +84,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _following(docs: DataFrame) -> DataFrame:
-    """(doc_id, target, need): doc_id follows target in descending order, the largest follows the
-    smallest; need is how many code points of it the edited text of target takes.
+    """(doc_id, target): doc_id follows target in descending order, the largest follows the smallest.
 
     Only ids move. Neighbours are found inside blocks of ids; the largest id of each block goes to
     the block above over two levels, so no task holds more than a block or a 2**-24th of the ids.
     """
     block = 4096
     down = lambda part, by: Window.partitionBy(part).orderBy(F.col(by).desc())
-    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
+    ids = docs.where("doc_id is not null").select("doc_id").distinct()
     ids = ids.withColumn("b", F.floor(F.col("doc_id") / block))
     inside = ids.withColumn("next", F.lead("doc_id").over(down("b", "doc_id")))
     tops = ids.groupBy("b").agg(F.max("doc_id").alias("top")).withColumn("s", F.floor(F.col("b") / block))
@@ -75,8 +100,7 @@ def _following(docs: DataFrame) -> DataFrame:
     supers = supers.withColumn("super_next", F.coalesce(F.lead("super_top").over(order), F.max("super_top").over(Window.partitionBy()))).drop("super_top")
     tops = tops.withColumn("top_next", F.lead("top").over(down("s", "b"))).join(supers, "s")
     tops = tops.select("b", F.coalesce("top_next", "super_next").alias("over"))
-    linked = inside.join(tops, "b").select(F.col("doc_id").alias("target"), F.coalesce("next", "over").alias("doc_id"), "n")
-    return linked.select("doc_id", "target", F.floor(F.col("n") / 3).cast("int").alias("need"))
+    return inside.join(tops, "b").select(F.col("doc_id").alias("target"), F.coalesce("next", "over").alias("doc_id"))
 
 
 def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -92,21 +116,20 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     Other columns are ignored; an empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    given = texts.join(_following(texts), "doc_id").withColumn("words", words_of(F.col("text")))
-    given = given.select(
-        F.col("target").alias("doc_id"),
-        F.expr("left(text, need)").alias("start"),
-        hashes_of(_kept(F.col("words"), gram, window)).alias("next_hashes"),
-    )
-    one = Window.partitionBy("doc_id").orderBy("start", F.hash("next_hashes"))
+    # both joins read one exchange of the texts; only texts move, never fingerprints
+    known = texts.where("doc_id is not null")
+    given = known.join(_following(texts), "doc_id").select(F.col("target").alias("doc_id"), F.col("text").alias("next"))
+    one = Window.partitionBy("doc_id").orderBy("next")
     given = given.withColumn("rn", F.row_number().over(one)).where("rn = 1").drop("rn")
-    full = texts.join(given, "doc_id", "left").withColumn("n_chars", F.length("text").cast("long"))
+    full = known.join(given, "doc_id").unionByName(texts.where("doc_id is null").withColumn("next", F.lit(None).cast("string")))
+    full = full.withColumn("n_chars", F.length("text").cast("long"))
     full = full.withColumn(
-        "edited", F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 3) as int))"), F.coalesce(F.expr("left(start, cast(floor(n_chars / 3) as int))"), F.lit("")))
+        "edited", F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 3) as int))"), F.coalesce(F.expr("left(next, cast(floor(n_chars / 3) as int))"), F.lit("")))
     )
+    full = full.withColumn("x", words_of(F.col("next")))
     full = full.withColumn("w", words_of(F.col("text"))).withColumn("e", words_of(F.col("edited")))
     full = full.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), _kept(F.col("w"), gram, window).alias("k"), _kept(F.col("e"), gram, window).alias("ek"), "next_hashes"
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), _kept(F.col("w"), gram, window).alias("k"), _kept(F.col("e"), gram, window).alias("ek"), hashes_of(_kept(F.col("x"), gram, window)).alias("next_hashes")
     )
     full = full.withColumn("h", hashes_of(F.col("k"))).withColumn("eh", hashes_of(F.col("ek")))
     return full.select(

@@ -177,6 +177,32 @@ def test_fingerprints(spark):
     assert fingerprints(documents(spark, [])).count() == 0
 
 
+def kept_by_brute_force(text, gram=5, window=12):
+    t = " ".join(words(text))
+    if not t:
+        return []
+    k = gram if len(t) - len(t) // 3 >= gram else min(2, len(t))
+    return [t[i : i + k] for i in range(len(t) - k + 1)], max(1, min(window, len(t) // 6))
+
+
+def test_short_and_unspaced_texts_share_fingerprints_with_their_edit(spark):
+    rng = random.Random(9)
+    unspaced = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(300))
+    texts = ["abc", "hello", "one two", "buy it now", "four words are here", "a text of some ten words that are all quite short", unspaced, unspaced[:20], "x=1;function(a,b){return a+b}" * 3, "😀é漢字" * 5 + "end"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(99, "QZ " * 400)]
+    got = {r["doc_id"]: r for r in fingerprints(documents(spark, rows)).collect()}
+    for i, t in rows:
+        assert got[i]["near_edited"] > 0, t
+        grams, width = kept_by_brute_force(t)
+        seen = dict(x.split("@")[::-1] for x in got[i]["fingerprint"].split(" "))
+        places = [int(p) for p in seen]
+        assert places == sorted(places) and all(min(abs(p - s) for p in places) <= width for s in range(len(grams)))
+        for p, h in seen.items():  # equal grams have equal hashes, others different ones
+            assert all((h == g) == (grams[int(p)] == grams[int(q)]) for q, g in seen.items())
+        for s in range(max(len(grams) - width + 1, 1)):
+            assert any(s <= p < s + width for p in places)
+
+
 def luhn(s):
     digits = [int(c) for c in s if c.isdigit()][::-1]
     return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
