@@ -27,7 +27,11 @@ IPV4 = r"(?<![\w.])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}(?![\w]|\.[0-9])"
 DATE = r"(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w-])"
 PHONE = r"(?<![\w+])\+[0-9]{1,3} ?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ -][0-9]{3}[ -][0-9]{4}(?![0-9])"
 SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
-CARD = r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"
+#: A run of whole digit groups, of which cards are found later; no group starts another kind.
+_GROUP = r"[0-9]++(?!\w|-(?![0-9]))"
+CARD = rf"(?<![\w.+-])(?=[0-9](?:[ -]?[0-9]){{12}}){_GROUP}(?:[ -](?!{EMAIL}|{IPV4}|{DATE}|{SSN}){_GROUP})*+"
+#: The usual groupings of a card number; they win over chance ones.
+SHAPED = "^(?:[0-9]+|[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\\2[0-9]{4,5})$"
 CANDIDATE = "|".join((SECRET, EMAIL, IPV4, DATE, PHONE, SSN, CARD))
 
 
@@ -171,8 +175,43 @@ def _secret(x: Column, key: str) -> Column:
     return F.concat(F.regexp_extract(x, '^[^"]*"', 0), F.substr(stream, F.lit(1), F.length(quoted)), F.lit('"'))
 
 
+def _is_card(x: Column) -> Column:
+    return _let(_digits(x), lambda d: F.length(d).between(13, 19) & d.rlike("[1-9]") & (F.when(F.length(d).between(13, 19), _luhn_sum(d)).otherwise(1) % 10 == 0))
+
+
+def _pieces(run: Column) -> Column:
+    """A run of digit groups cut into structs (x, kind): cards, and what stands between them.
+
+    Every grouping of whole groups with 13 to 19 digits is tried. From the left the longest valid
+    one is taken, a usual shape before any other, and no other that overlaps a later usual one.
+    """
+    units = F.regexp_extract_all(run, F.lit("[0-9]+|[ -]"), F.lit(0))
+    joined = lambda u, i, n: F.array_join(F.slice(u, i, n), "")
+
+    def best(u: Column, i: Column) -> Column:
+        sizes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(18)), lambda m: 2 * m + 1), lambda n: (i + n - 1 <= F.size(u)) & joined(u, i, F.least(n, F.lit(1))).rlike("[0-9]"))
+        valid = F.filter(F.filter(sizes, lambda n: F.length(_digits(joined(u, i, n))).between(13, 19)), lambda n: _is_card(joined(u, i, n)))
+        ranked = F.transform(valid, lambda n: F.struct(joined(u, i, n).rlike(SHAPED).alias("s"), n.alias("n")))
+        return F.coalesce(F.array_max(ranked), F.struct(F.lit(False).alias("s"), F.lit(0).alias("n")))
+
+    def walked(u: Column, cards: Column) -> Column:
+        none = F.array().cast("array<struct<x:string,kind:string>>")
+
+        def step(acc: Column, i: Column) -> Column:
+            c = F.element_at(cards, i)
+            blocked = ~c["s"] & F.exists(F.slice(cards, i + 1, F.greatest(c["n"] - 1, F.lit(0))), lambda later: later["s"])
+            taken = F.when((c["n"] > 0) & ~blocked, c["n"]).otherwise(0)
+            kind = F.when(taken > 0, F.lit("card"))
+            more = F.array_append(acc["p"], F.struct(joined(u, i, F.greatest(taken, F.lit(1))).alias("x"), kind.alias("kind")))
+            return F.when(i < acc["to"], acc).otherwise(F.struct(more.alias("p"), (i + F.greatest(taken, F.lit(1))).alias("to")))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(u)), F.struct(none.alias("p"), F.lit(1).alias("to")), step, lambda acc: acc["p"])
+
+    return _let(units, lambda u: _let(F.transform(F.sequence(F.lit(1), F.size(u)), lambda i: best(u, i)), lambda cards: walked(u, cards)))
+
+
 def kind_of(x: Column) -> Column:
-    """The kind of a candidate that is valid as one; null for any other."""
+    """The kind of a candidate that is valid as one; null for any other, and for digit runs."""
     octets = F.transform(F.split(x, r"\."), lambda p: p.cast("int"))
     area, group, serial = (F.substr(x, F.lit(a), F.lit(n)) for a, n in ((1, 3), (5, 2), (8, 4)))
     return (
@@ -185,10 +224,15 @@ def kind_of(x: Column) -> Column:
             x.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
             F.when(~area.isin("000", "666") & (area < "900") & (group != "00") & (serial != "0000"), F.lit("ssn")),
         )
-        .otherwise(F.when((_luhn_sum(_digits(x)) % 10 == 0) & (_digits(x).rlike("[1-9]")), F.lit("card")))
     )
 
 
+def _found(x: Column) -> Column:
+    """The pieces of a candidate: itself, or those of a digit run."""
+    other = x.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$|[^0-9 -]|^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    return F.when(other, F.array(F.struct(x.alias("x"), kind_of(x).alias("kind")))).otherwise(_pieces(x))
+
+
 def pseudonym(x: Column, kind: Column, key: str) -> Column:
     return (
         F.when(kind == "secret", _secret(x, key))
@@ -206,7 +250,8 @@ def pseudonymised(docs: DataFrame, key: str = "belegwerk") -> DataFrame:
     """``docs(text, ...)`` -> the same columns with ``text`` rewritten, and ``_kinds``, the kinds
     found in order of place.
 
-    Kinds: secret, email, phone, ip, date, ssn, card. A candidate that fails its kind's
+    Kinds: secret, email, phone, ip, date, ssn, card. A card may stand next to other numbers: all
+    groupings of its digit run are tried. A candidate that fails its kind's
     validation (check digit, octets, calendar, area) stays as it is. Null texts stay null and
     find nothing; repeated rows are rewritten alike. A column named ``_kinds`` is replaced. An
     empty table gives an empty result. The key is a parameter: keep a production key secret.
@@ -216,14 +261,12 @@ def pseudonymised(docs: DataFrame, key: str = "belegwerk") -> DataFrame:
     some = text.rlike("[0-9@\"]")
     out = docs.withColumn(
         "_found",
-        F.when(some, F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), 0), lambda x: F.struct(x.alias("x"), kind_of(x).alias("kind")))).otherwise(
-            F.array().cast("array<struct<x:string,kind:string>>")
-        ),
+        F.when(some, F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), _found)).otherwise(F.array().cast("array<array<struct<x:string,kind:string>>>")),
     )
-    found = F.exists("_found", lambda f: f["kind"].isNotNull())
+    found = F.exists("_found", lambda pieces: F.exists(pieces, lambda f: f["kind"].isNotNull()))
     gaps = F.split(text, CANDIDATE, -1)
-    put = F.transform("_found", lambda f: pseudonym(f["x"], f["kind"], key))
+    put = F.transform("_found", lambda pieces: F.array_join(F.transform(pieces, lambda f: pseudonym(f["x"], f["kind"], key)), ""))
     whole = F.array_join(F.zip_with(gaps, put, lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
     out = out.withColumn("text", F.when(found, whole).otherwise(text))
-    kinds = F.transform(F.filter("_found", lambda f: f["kind"].isNotNull()), lambda f: f["kind"])
+    kinds = F.transform(F.filter(F.flatten("_found"), lambda f: f["kind"].isNotNull()), lambda f: f["kind"])
     return out.withColumn("_kinds", F.coalesce(kinds, F.array().cast("array<string>"))).drop("_found")

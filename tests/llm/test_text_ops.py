@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -223,6 +224,25 @@ def test_pii_keeps_formats_and_links(spark):
     assert out[20]["kind"] == "x" and pseudonymised(documents(spark, [])).count() == 0
 
 
+def test_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [
+        f"card {card} 12/26", f"{card.replace(' ', '')} 123 ok", f"room 12 {card} ok", f"12 {card} 123 and more", f"{card} {card}", f"no. 7 {card.replace(' ', '-')} 99 1",
+        f"x {card} 2024-02-29 y", f"x {card} 123-45-6789", f"x {card} 10.1.2.3", f"x {card} 44@mail.example.com", f"3782 822463 10005 {card}", "1 " * 3000 + card,
+    ]
+    rows = [*enumerate(texts), (90, "12 3456 78 90 1 2"), (91, "4111 1111 1111 1112")]
+    out = {r["doc_id"]: r for r in pseudonymised(documents(spark, rows)).collect()}
+    new = re.search("card (.{19}) 12/26", out[0]["text"])[1]
+    assert luhn(new) and new != card and re.fullmatch("[0-9]{4}( [0-9]{4}){3}", new)
+    for i, t in enumerate(texts[:11]):
+        got = out[i]["text"]
+        assert new.replace(" ", "") in re.sub("[ -]", "", got) and not re.search("1111[ -]?1111", got), (t, got)
+        if i < 6:
+            assert re.sub(re.escape(card).replace("\\ ", "[ -]?"), "C", t) == re.sub(new.replace(" ", "[ -]?"), "C", got)
+    assert [out[i]["_kinds"] for i in range(6, 11)] == [["card", "date"], ["card", "ssn"], ["card", "ip"], ["card", "email"], ["card", "card"]]
+    assert card not in out[11]["text"] and [out[i]["text"] for i in (90, 91)] == [t for i, t in rows if i in (90, 91)]
+
+
 def test_feistel_is_a_bijection(spark):
     from belegwerk.llm.pii import feistel
 
