@@ -1,9 +1,10 @@
 """URL verdicts: rules by host and path, and gradient-boosted trees where no rule fits.
 
 Features are lexical, computed by SQL expressions: lengths, depth, digit ratio, entropy,
-parameter counts, hyphens, and shares of blocked URLs by host suffix. The trees are trained on
-the driver from a bounded sample of labelled URLs and come back as SQL expressions, so scoring
-runs inside the scan without Python and without a shuffle.
+parameter counts, hyphens, and shares of blocked URLs by host suffix, counted over all labelled
+URLs and all suffixes. The trees are trained on the driver from a bounded sample of labelled URLs
+and come back as SQL expressions; scoring joins the broadcast table of suffixes inside the scan,
+without Python and without a shuffle.
 """
 
 from __future__ import annotations
@@ -182,7 +183,8 @@ def url_verdicts(pages: DataFrame, labelled: DataFrame | None = None, rules: Seq
     path, else null. verdict is the rule's; without one it is the trees': block where their
     probability is 0.5 or more. score is that probability for every URL. ``labelled(url, label)``
     trains the trees, by default ``seed_labels``; of each class the ``sample`` URLs of least
-    hash are used, the rest of the labels is not. Null urls, and urls without ``://``, have an
+    hash are used. The shares of suffixes are of all labels, each (url, label) once; a suffix
+    without any has the share of all. Null urls, and urls without ``://``, have an
     empty host and path and are judged by the trees. Repeated rows are judged each; other columns
     are ignored; an empty table gives an empty result.
     """
@@ -190,25 +192,25 @@ def url_verdicts(pages: DataFrame, labelled: DataFrame | None = None, rules: Seq
     labelled = labelled.where("url is not null and label is not null").withColumn("page_id", F.lit(None).cast("long"))
     known = None
     for label in (0, 1):
-        part = labelled.where(F.col("label") == label).dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(sample)
+        part = labelled.where(F.col("label") == label).dropDuplicates(["url"])
         known = part if known is None else known.union(part)
     host, path = host_and_path(F.col("url"))
-    known = known.withColumn("host", host).withColumn("path", path)
-    rows = features(known, F.lit(0.0)).select("label", _suffix().alias("suffix"), *FEATURES).collect()
+    known = known.withColumn("host", host).withColumn("path", path).withColumn("suffix", _suffix())
+    counts = known.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("blocked"))
+    whole = counts.agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).first()
+    prior = whole["blocked"] / whole["n"] if whole["n"] else 0.0
+    shares = F.broadcast(counts.select("suffix", ((F.col("blocked") + 20 * prior) / (F.col("n") + 20)).alias("share")))
+    drawn = None
+    for label in (0, 1):
+        part = known.where(F.col("label") == label).orderBy(F.xxhash64("url"), "url").limit(sample)
+        drawn = part if drawn is None else drawn.union(part)
+    share = F.coalesce("share", F.lit(prior))
+    rows = features(drawn.join(shares, "suffix", "left"), share).select("label", *FEATURES).collect()
     y = np.array([r["label"] for r in rows], dtype=float)
     x = np.array([[r[f] for f in FEATURES] for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
-    suffixes = np.array([r["suffix"] for r in rows], dtype=object)
-    prior, shares = (float(y.mean()) if len(y) else 0.0), {}
-    for s in sorted(set(suffixes))[:64]:
-        mine = suffixes == s
-        shares[s] = float((y[mine].sum() + 20 * prior) / (mine.sum() + 20))
-    if len(y):
-        x[:, FEATURES.index("suffix_block_share")] = [shares.get(s, prior) for s in suffixes]
     model = train(x, y)
-    share = F.lit(prior)
-    for s, v in shares.items():
-        share = F.when(_suffix() == s, F.lit(v)).otherwise(share)
-    out = features(_parted(pages), share).withColumn("r", matched_rule(rules)).withColumn("margin", model.column())
+    parted = _parted(pages).withColumn("suffix", _suffix()).join(shares, "suffix", "left")
+    out = features(parted, share).withColumn("r", matched_rule(rules)).withColumn("margin", model.column())
     score = 1 / (1 + F.exp(-F.col("margin")))
     return out.select(
         "page_id",

@@ -45,6 +45,17 @@ def test_url_trees_learn_the_labels(spark):
     assert sum(got[i] == ("block" if y else "allow") for i, (_, y) in enumerate(good + bad)) >= 114
 
 
+def test_every_suffix_has_its_share(spark):
+    names = [f"{a}{b}" for a in "bcdfghklmn" for b in "aeiouyqwxz"]
+    url = lambda i, s: f"https://site{i}.abcdef.{s}/a"
+    bad = lambda s: int(sum(map(ord, s)) % 2)
+    labelled = spark.createDataFrame([(url(100 + i, s), bad(s)) for i in range(20) for s in names], "url string, label int")
+    pages = spark.createDataFrame([(k, url(500, s)) for k, s in enumerate(names)], "page_id long, url string")
+    for sample in (10_000, 200):  # the shares do not depend on the sample
+        got = {r["page_id"]: r["verdict"] for r in url_verdicts(pages, labelled, rules=(("block", "nowhere.test/x"),), sample=sample).collect()}
+        assert [got[k] for k in range(len(names))] == ["block" if bad(s) else "allow" for s in names]
+
+
 def test_quality_scores(spark):
     docs, labels = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet"), spark.read.parquet(f"{SF}/../sf0.01/labels.parquet")
     out = quality_scores(docs, labels)
