@@ -4,13 +4,21 @@ Signatures: a first permutation sends each shingle hash to a place on a ring of
 second one numbers the cells; coordinate k is the least number among the cells k steps on. So
 one table of cell numbers, read at consecutive cells, gives all coordinates of a shingle.
 Bands of ROWS coordinates make BANDS candidate keys: a pair at similarity 0.8 shares no key
-with probability (1 - 0.8**8)**64 < 1e-5.
+with probability (1 - 0.8**8)**64 < 1e-5. Sets of over DENSE shingles would fill the ring, so
+they are thinned by hash to a level of their size, and carry the keys of the next level too
+where a partner may be large enough to be thinned to it.
 
-Links are confirmed on full shingle sets. Copies collapse first to one representative by the
-digest of their sets. A key offers its members its most connected one as a centre; each member is compared
-with one centre first, and with the others where they would join two components. Keys that then
-still hold several components have their members compared across components, behind a test of
-size and of a 512-bit sketch, so links that no centre shows are found too.
+Links are confirmed on full shingle sets, in two steps. Copies collapse first to one
+representative by the digest of their sets.
+
+1. A key offers its members its most connected one as a centre, and each document is compared
+   with the one centre that it shares most keys with: a comparison for each document.
+2. Pairs that share a key and are still in different components remain. Their documents are
+   described by their difference from a pivot, the most connected document of the component
+   they were compared with. Of documents with one pivot, |A xor B| is at least the sum of the
+   differences less twice the smaller number of those shingles in a difference that no other
+   document's has; where that exceeds what the threshold allows, the pair is no link. Only pairs
+   that this exact bound, or their sizes, do not rule out are compared, each once.
 """
 
 from __future__ import annotations
@@ -29,9 +37,10 @@ from .components import components
 RING = 1 << 20
 BANDS, ROWS = 64, 8
 COORDINATES = BANDS * ROWS
-#: Sketch bits that may differ: 512 * (1 - 0.8) / 2 is 51 at the threshold, 7 deviations are 48.
-SKETCH_SLACK = 99
+#: Shingles of a set from which on it is thinned for its signature.
+DENSE = 1 << 16
 _SIGMA = np.uint64(0xA0761D6478BD642F)
+_THIN = np.uint64(0xE7037ED1A0B428DB)
 _CELLS = None
 
 
@@ -70,34 +79,37 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
-def _profile(k: int):
+def _levels(n: int, percent: int) -> list[int]:
+    """Levels of thinning of a set of ``n``: its own, and that of its largest possible partner."""
+    return sorted({max(0, (m // DENSE).bit_length()) for m in (n, n * 100 // max(percent, 1))})
+
+
+def band_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The candidate keys of a non-empty set."""
+    salt = (np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    band_salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+    keys = []
+    for level in _levels(len(shingles), percent):
+        some = shingles[mix(shingles ^ _THIN) >> np.uint64(64 - level) == 0] if level else shingles
+        if len(some):
+            sig = signature(some).astype(np.uint64)
+            keys.append(mix((mix(sig.reshape(BANDS, ROWS) + salt) * salt).sum(axis=1, dtype=np.uint64) + band_salt + np.uint64(level)))
+    return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+
+
+def _profile(k: int, percent: int):
     def run(batches):
-        salt = (np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-        band_salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                sizes, digests, keys, sketches = [], [], [], []
+                sizes, digests, keys = [], [], []
                 for s in shingle_sets(part.column(1), k):
                     sizes.append(len(s))
-                    if not len(s):
-                        digests.append(None), keys.append(None), sketches.append(None)
-                        continue
-                    digests.append(pair_hash(s))
-                    sig = signature(s).astype(np.uint64)
-                    bits = np.packbits((mix(sig) & np.uint64(1)).astype(np.uint8))
-                    sketches.append(bits.view(np.int64).tolist())
-                    band = mix((mix(sig.reshape(BANDS, ROWS) + salt) * salt).sum(axis=1, dtype=np.uint64) + band_salt)
-                    keys.append(band.view(np.int64))
+                    digests.append(pair_hash(s) if len(s) else None)
+                    keys.append(band_keys(s, percent) if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).cast(pa.int64()),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(digests, pa.binary()),
-                        pa.array(keys, pa.list_(pa.int64())),
-                        pa.array(sketches, pa.list_(pa.int64())),
-                    ],
-                    ["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                    [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "digest", "bands"],
                 )
 
     return run
@@ -128,26 +140,73 @@ def _confirmed(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. A text's set is made once per
-    document and joined to its pairs; hot ids are split by the adaptive join. The joins are sort
-    merges at every size, so the plan that runs on a small table is the one for a large one."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().hint("merge")
-    sets = map_arrow(texts.join(ids, "id", "left_semi").select("id", "text"), _sets(k), "id long, shingles binary")
-    sets = written(sets, "near-sets")
-    pairs = pairs.hint("merge")
-    full = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(
-        sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a"
+def _deltas(batches):
+    """(id, pivot, x, y) -> id, pivot, sizes and the shingles in just one of the two sets."""
+    for batch in batches:
+        n, apart, deltas = [], [], []
+        for a, b in zip(batch.column(2), batch.column(3)):
+            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (a, b))
+            d = np.setxor1d(x, y, assume_unique=True)
+            n.append(len(x)), apart.append(len(d)), deltas.append(d.tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(apart, pa.int64()), pa.array(deltas, pa.binary())],
+            ["id", "pivot", "n", "apart", "delta"],
+        )
+
+
+def _holders(batches):
+    """(id, pivot, delta) -> for each pivot and shingle of a task the least and the largest id
+    whose difference has it; combined here before anything is shuffled."""
+    for batch in batches:
+        ids, pivots = (batch.column(i).to_numpy() for i in (0, 1))
+        parts = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in batch.column(2)]
+        sizes = [len(p) for p in parts]
+        shingle = np.concatenate([np.zeros(0, np.uint64), *parts])
+        who, of = np.repeat(ids, sizes), np.repeat(pivots, sizes)
+        order = np.lexsort((who, shingle, of))
+        who, of, shingle = who[order], of[order], shingle[order]
+        first = np.ones(len(who), dtype=bool)
+        first[1:] = (of[1:] != of[:-1]) | (shingle[1:] != shingle[:-1])
+        last = np.append(first[1:], True)[: len(first)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(of[first]), pa.array(shingle[first].view(np.int64)), pa.array(who[first]), pa.array(who[last])], ["pivot", "shingle", "low", "high"]
+        )
+
+
+def _beside(rows: DataFrame, sets: DataFrame, left: str, right: str) -> DataFrame:
+    """``rows`` with the sets of two of their ids, x and y. The joins are sort merges at every
+    size, so that the plan of a small table is that of a large one, and hot ids may be split."""
+    return (
+        rows.hint("merge")
+        .join(sets.select(F.col("id").alias(right), F.col("shingles").alias("y")), right)
+        .join(sets.select(F.col("id").alias(left), F.col("shingles").alias("x")).hint("merge"), left)
+        .select(left, right, "x", "y")
     )
-    return map_arrow(full.select("a", "b", "x", "y"), _confirmed(percent), "a long, b long")
 
 
-def _joined(labels: DataFrame, pairs: DataFrame, texts: DataFrame, k: int, percent: int, label: str) -> DataFrame:
-    """The components after the links among ``pairs`` too."""
-    if not pairs.limit(1).count():
-        return labels
-    old = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    return components(old.union(_links(pairs, texts, k, percent)), label)
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    return map_arrow(_beside(pairs.select("a", "b"), sets, "a", "b"), _confirmed(percent), "a long, b long")
+
+
+def _undecided(open_: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of ``open_(key, id)`` that share a key and that neither components nor
+    sizes nor the bound on differences decide; each at the least key that they share.
+
+    ``facts(id, component, pivot, n, apart, own)``: own shingles of a difference are in no other
+    one with that pivot. A link has |A xor B| <= (100 - p) / (100 + p) * (|A| + |B|), and shares at
+    most apart - own shingles of either difference.
+    """
+    keys = open_.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    rows = written(open_.join(facts, "id").join(keys, "id"), "near-open")
+    l, r = rows.alias("l"), rows.alias("r")
+    c = lambda side, name: F.col(f"{side}.{name}")
+    size = F.least(c("l", "n"), c("r", "n")) * 100 >= F.greatest(c("l", "n"), c("r", "n")) * percent
+    shared = F.least(c("l", "apart") - c("l", "own"), c("r", "apart") - c("r", "own"))
+    bound = (100 + percent) * (c("l", "apart") + c("r", "apart") - 2 * shared) <= (100 - percent) * (c("l", "n") + c("r", "n"))
+    once = F.array_min(F.array_intersect(c("l", "keys"), c("r", "keys"))) == c("l", "key")
+    may = (c("l", "id") < c("r", "id")) & (c("l", "component") != c("r", "component")) & size & ((c("l", "pivot") != c("r", "pivot")) | bound)
+    return l.join(r, (c("l", "key") == c("r", "key")) & may & once).select(c("l", "id").alias("a"), c("r", "id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -161,19 +220,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     the smallest component. Other columns of any name are ignored. An empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    made = written(
-        map_arrow(texts, _profile(k), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"), "near-profile"
-    )
+    made = written(map_arrow(texts, _profile(k, percent), "doc_id long, n_shingles long, digest binary, bands array<long>"), "near-profile")
     some = made.where("digest is not null and doc_id is not null")
     # aggregates that are joined back are written first: the join then has an exchange of its own
     # on either side, and hot keys may be split
     classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-classes")
-    member = some.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep").distinct()
-    member = written(member, "near-members")
-    reps = some.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select(
-        F.col("doc_id").alias("id"), "n_shingles", "bands", "sketch"
-    )
-    keyed = reps.select(F.explode("bands").alias("key"), "id")
+    member = written(some.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep").distinct(), "near-members")
+    reps = some.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "bands")
+    keyed = reps.select(F.explode("bands").alias("key"), "id").distinct()
     hot = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
     hot = written(hot.where("low < high").select("key", "n"), "near-hot")
     keyed = written(keyed.join(hot, "key"), "near-keys")
@@ -183,49 +237,40 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     centres = keyed.join(degrees, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("centre"))
     centres = written(centres, "near-centres")
     centred = keyed.join(centres, "key").where("id <> centre")
-    stars = written(centred.groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).count(), "near-stars")
-    # most members are linked by the centre they share most keys with
+    stars = centred.groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).count()
     pairs = written(stars.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b"), "near-pairs")
-    labels = components(_links(pairs, texts, k, percent), "near-first")
-    # the other centres are tried where they would join two components: the test is a condition
-    # of the join, so that members already beside their centre never leave it
-    named = keyed.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    at_centre = centres.join(labels.select(F.col("id").alias("centre"), F.col("component").alias("of")), "centre", "left").select(
-        F.col("key").alias("at_key"), "centre", F.coalesce("of", "centre").alias("of")
-    )
-    apart_from = (F.col("key") == F.col("at_key")) & (F.col("component") != F.col("of"))
-    more = named.join(written(at_centre, "near-at-centre"), apart_from).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "near-more")
-    labels = _joined(labels, more, texts, k, percent, "near-second")
+    # a set is made once for each document that shares a key, and read by id from then on
+    sets = map_arrow(texts.join(degrees.select("id").hint("merge"), "id", "left_semi").select("id", "text"), _sets(k), "id long, shingles binary")
+    sets = written(sets, "near-sets")
+    links = written(_links(pairs, sets, percent), "near-links")
+    labels = components(links, "near-first")
 
-    # keys whose members are in several components still hide pairs that no star has compared
     named = keyed.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    named = written(named, "near-named")
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    open_ = written(
-        named.join(mixed, "key").join(reps.select("id", "n_shingles", "sketch"), "id").select("key", "id", "component", "n_shingles", "sketch"),
-        "near-open",
-    )
-    apart = sum((F.bit_count(F.col("l.sketch")[i].bitwiseXOR(F.col("r.sketch")[i])) for i in range(COORDINATES // 64)), F.lit(0))
-    size = F.least("l.n_shingles", "r.n_shingles") * 100 >= F.greatest("l.n_shingles", "r.n_shingles") * percent
-    rest = (
-        open_.alias("l")
-        .join(
-            open_.alias("r"),
-            (F.col("l.key") == F.col("r.key"))
-            & (F.col("l.id") < F.col("r.id"))
-            & (F.col("l.component") != F.col("r.component"))
-            & size
-            & (apart <= SKETCH_SLACK),
-        )
-        .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-        .distinct()
-    )
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "near-rest")
-    labels = _joined(labels, rest, texts, k, percent, "near-third")
-    of = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "doc_id", F.coalesce("component", "rep").alias("component")
-    )
+    open_ = written(named.join(written(mixed, "near-mixed"), "key"), "near-mixed-rows")
+    if open_.limit(1).count():
+        tops = labels.join(degrees, "id").groupBy("component").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("top"))
+        of = pairs.join(labels.withColumnRenamed("id", "a"), "a", "left").select(F.col("b").alias("id"), F.coalesce("component", "a").alias("of"))
+        whose = open_.select("id", "component").distinct().join(of, "id", "left").withColumn("of", F.coalesce("of", "component"))
+        whose = whose.join(tops.withColumnRenamed("component", "of"), "of", "left").select("id", "component", F.coalesce("top", "of").alias("pivot"))
+        # an id with several texts has no one difference: it and those beside it go without the bound
+        twice = written(sets.groupBy("id").count().where("count > 1").select("id"), "near-twice")
+        whose = whose.join(twice.select(F.col("id").alias("pivot"), F.lit(True).alias("x")), "pivot", "left").join(twice.withColumn("y", F.lit(True)), "id", "left")
+        whose = whose.select("id", "component", F.when(F.col("x").isNotNull() | F.col("y").isNotNull(), F.col("id")).otherwise(F.col("pivot")).alias("pivot"))
+        whose = written(whose, "near-whose")
+        apart = map_arrow(_beside(whose.select("id", "pivot"), sets, "id", "pivot"), _deltas, "id long, pivot long, n long, apart long, delta binary")
+        apart = written(apart, "near-apart")
+        held = map_arrow(apart.select("id", "pivot", "delta"), _holders, "pivot long, shingle long, low long, high long")
+        held = held.groupBy("pivot", "shingle").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low = high")
+        own = written(held.groupBy(F.col("low").alias("id")).agg(F.count("*").alias("own")), "near-own")
+        facts = whose.join(apart.select("id", "n", "apart"), "id").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        rest = _undecided(open_.select("key", "id"), written(facts, "near-facts"), percent)
+        tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        rest = written(rest.join(tried, ["a", "b"], "left_anti").distinct(), "near-rest")
+        old = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        labels = components(old.union(_links(rest, sets, percent)), "near-second")
+    of = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     of = of.groupBy("doc_id").agg(F.min("component").alias("component"))
     return (
         made.select("doc_id", "n_shingles")

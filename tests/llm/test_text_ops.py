@@ -60,6 +60,38 @@ def test_near_duplicates_against_all_pairs(spark):
     assert near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_a_group_of_near_copies_without_its_source(spark):
+    rng = random.Random(11)
+    base = [f"v{rng.randrange(300)}" for _ in range(100)]
+    rows = []
+    for i in range(160):  # most copies link with few others: words replaced, dropped, or taken from a small stock
+        w = list(base)
+        for _ in range(rng.randrange(2, 7)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], [f"z{rng.randrange(10**6)}"], [f"s{rng.randrange(4)}"]])
+        rows.append((1000 - i, " ".join(w)))
+    for k in (4, 5):
+        want = near_groups(rows, k, 80)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(documents(spark, rows), k=k).collect()}
+        assert got == want and 5 < len({c for _, c in want.values()}) < len(rows)
+    # one id with two texts joins what is near either
+    two = [(1, rows[0][1]), (2, LONG), (3, rows[0][1] + " x"), (3, LONG + " y"), (4, "alone " * 9)]
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(documents(spark, two)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_thinned_sets_share_keys(monkeypatch):
+    from belegwerk.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "DENSE", 256)
+    rng = np.random.default_rng(3)
+    for n in (240, 255, 256, 300, 2000, 2047, 2050, 9000):
+        for other in (n, n * 5 // 4):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            more = rng.integers(0, 2**63, other - n, dtype=np.uint64)
+            b = np.unique(np.concatenate([a, more]))
+            assert np.intersect1d(near_dedup.band_keys(a, 80), near_dedup.band_keys(b, 80)).size
+
+
 def test_repeated_spans_against_all_windows(spark):
     rng = random.Random(6)
     passage = [f"p{i}" for i in range(70)]
