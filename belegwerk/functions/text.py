@@ -6,6 +6,8 @@ string stripping knows. Lengths and offsets count code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,17 @@ LICENSE_LABELS = {
 }
 SKIPPED_SECTIONS = ("참고문헌", "연관 주제어", "연관주제어")
 SENTINEL = "__NO_ANSWER__"
+NO_EVIDENCE = "제공된 자료에서 근거를 찾지 못했습니다."
+NOT_FOUND = "지식 팩에서 이 질문의 근거를 찾지 못했습니다. 다른 질문을 해보시거나 전문가와 상담하세요."
+NOT_ANSWERED = "검증된 자료에서 이 질문의 근거를 찾지 못했습니다. 질문을 바꿔 보시거나 전문가와 상담하세요."
+#: Conjunctions that begin whole sentences, though they look like the end of a clause.
+HEAD_WORDS = ("그리고", "그러나", "하지만", "또한", "따라서", "그래서", "만약", "다만", "특히", "예를", "만일", "그러므로")
+CLAUSE_TAG, MODIFIER_TAG = "EC", "ETM"
+CONTENT_TAGS, NUMBER_TAG = ("N", "V", "S", "X", "M"), "SN"
+
+#: A morphological analyzer: text -> array<struct<form: string, tag: string>>, null where it has
+#: nothing to say. None is shipped; a pandas UDF around one fits.
+Analyzer = Callable[[Column], Column]
 
 _EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
@@ -67,26 +80,49 @@ def split_claims(text: Column) -> Column:
     return F.filter(_pieces(text, rf"(?U)(?<=[{ENDERS}])\s+|\n+"), lambda x: F.length(x) > 4)
 
 
-def is_wellformed(s: Column) -> Column:
-    """Complete as a sentence; the head test by morphology is a plug-in and off by default."""
-    return (F.length(s) >= 12) & s.rlike(TAIL_OK) & ~s.rlike(HEAD_BAD)
+def starts_midclause(s: Column, analyzer: Analyzer | None = None) -> Column:
+    """Whether the first word is the tail of a clause cut off before it: it ends in a connective, or
+    is short and ends in a modifier. Never without an analyzer, nor where it fails."""
+    if analyzer is None:
+        return F.lit(False)
+    head = F.regexp_extract(s, r"(?U)^[\s\x1c-\x1f]*([^\s\x1c-\x1f]+)", 1)
+    found = analyzer(head)
+    last = F.try_element_at(found, F.lit(-1))["tag"]
+    cut = (last == CLAUSE_TAG) | ((last == MODIFIER_TAG) & (F.length(head) <= 3))
+    return (head != "") & ~head.isin(*HEAD_WORDS) & F.coalesce(cut, F.lit(False))
+
+
+def is_wellformed(s: Column, analyzer: Analyzer | None = None) -> Column:
+    """Complete as a sentence; the test of the first word's morphology needs an analyzer."""
+    return (F.length(s) >= 12) & s.rlike(TAIL_OK) & ~s.rlike(HEAD_BAD) & ~starts_midclause(s, analyzer)
 
 
 def clean_sentences(text: Column, wellformed_only: bool = False) -> Column:
-    """Sentences of the paragraphs, without short headings."""
+    """Sentences of the paragraphs, without short headings. A Python analyzer can't run inside this
+    expression: explode the sentences and filter them by ``is_wellformed`` instead."""
     paragraphs = F.filter(F.transform(F.split(text, r"(?U)\n\s*\n|\n"), strip), lambda p: (p != "") & ((F.length(p) >= 20) | p.rlike(f"[{ENDERS}]$")))
     out = F.flatten(F.transform(paragraphs, split_sentences))
-    return F.filter(out, is_wellformed) if wellformed_only else out
+    return F.filter(out, lambda s: is_wellformed(s)) if wellformed_only else out
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), 0)
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased words of two code points or more."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0), lambda t: F.length(t) > 1)
+def tokens(text: Column, analyzer: Analyzer | None = None) -> Column:
+    """Lower-cased words of two code points or more. With an analyzer: content morphemes of two code
+    points or more and numbers of any length; without any, all words as they are."""
+    if analyzer is None:
+        return F.filter(_words(F.lower(text)), lambda t: F.length(t) > 1)
+    wanted = lambda m: (F.left(m["tag"], F.lit(1)).isin(*CONTENT_TAGS) & (F.length(m["form"]) > 1)) | m["tag"].startswith(NUMBER_TAG)
+    forms = F.transform(F.filter(F.coalesce(analyzer(text), F.array().cast("array<struct<form:string,tag:string>>")), wanted), lambda m: m["form"])
+    return F.when(F.size(forms) > 0, forms).otherwise(_words(text))
 
 
-def content_tokens(text: Column) -> Column:
-    """The set of tokens; words of Latin letters, digits and Hangul where there are none."""
-    known = F.array_distinct(tokens(text))
+def content_tokens(text: Column, analyzer: Analyzer | None = None) -> Column:
+    """The set of tokens of two code points or more; words of Latin letters, digits and Hangul where
+    there are none."""
+    known = F.array_distinct(F.filter(tokens(text, analyzer), lambda t: F.length(t) > 1))
     return F.when(F.size(known) > 0, known).otherwise(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9가-힣]{2,}"), 0)))
 
 
@@ -178,7 +214,9 @@ def parse_llm_json(text: Column, n_evidence: Column | int) -> Column:
     """The sentences of a JSON answer, fenced or with prose around it; null where none parses.
     An answer without sentences is an empty array: a refusal."""
     n = n_evidence if isinstance(n_evidence, Column) else F.lit(n_evidence)
-    body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    # a text in a fence loses the fence's first line, which a brace may stand in
+    fenced = F.regexp_replace(F.regexp_replace(strip(text), "^`+[^\\n]*\\n", ""), "`+$", "")
+    body = F.regexp_extract(F.when(strip(text).startswith("```"), fenced).otherwise(text), r"(?s)\{.*\}", 0)
     raw = F.from_json(body, _ANSWER)
     valid = (body != "") & F.try_parse_json(body).isNotNull()
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, KOREAN, Lexicon, Settings
 from ..functions import text as T
+from ..plans.store import written
 
 
 def evidence_payload(hits: DataFrame, docs: DataFrame) -> DataFrame:
@@ -28,18 +29,22 @@ def numbered_evidence(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("prompt"))
 
 
-def extractive_answer(hits: DataFrame, queries: DataFrame, similarity: Callable[[Column, Column], Column], most: int = 3) -> DataFrame:
+def extractive_answer(
+    hits: DataFrame, queries: DataFrame, similarity: Callable[[Column, Column], Column], most: int = 3, analyzer: T.Analyzer | None = None
+) -> DataFrame:
     """``hits(query_id, rank, doc_id, text)`` -> query_id, sidx, text, citations.
 
     Sentences of the first hit's document only, complete ones before any others, without repeats;
     the ``most`` similar to the question, in source order, each citing its hit.
-    ``similarity`` maps (question, sentence) columns to a score.
+    ``similarity`` maps (question, sentence) columns to a score; ``analyzer`` tells sentences that
+    begin in mid-clause.
     """
     top = hits.where("rank = 1").select("query_id", F.col("doc_id").alias("top_doc"))
     pool = hits.join(top, "query_id").where("doc_id = top_doc")
 
     def sentences(strict: bool) -> DataFrame:
-        each = pool.select("query_id", "rank", F.posexplode(T.clean_sentences(F.col("text"), strict)).alias("pos", "s")).where(F.length("s") > 15)
+        each = pool.select("query_id", "rank", F.posexplode(T.clean_sentences(F.col("text"))).alias("pos", "s")).where(F.length("s") > 15)
+        each = each.where(T.is_wellformed(F.col("s"), analyzer)) if strict else each
         first = Window.partitionBy("query_id", T.squash(F.col("s"))).orderBy("rank", "pos")
         return each.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
@@ -53,16 +58,87 @@ def extractive_answer(hits: DataFrame, queries: DataFrame, similarity: Callable[
     return chosen.select("query_id", "sidx", F.col("s").alias("text"), F.array("rank").alias("citations"))
 
 
+_SENTENCES = "array<struct<text:string,citations:array<int>>>"
+
+
+def advised(sentences: Column, lexicon: Lexicon = KOREAN) -> Column:
+    """An array of sentences, an advice appended where there are some and none speaks of one."""
+    spoken = F.exists(sentences, lambda s: s["text"].contains(lexicon.advisory[0]))
+    extra = F.array(F.struct(F.lit(lexicon.advice).alias("text"), F.array().cast("array<int>").alias("citations")))
+    return F.when(spoken | (F.size(sentences) == 0), sentences).otherwise(F.concat(sentences, extra))
+
+
+def _gathered(answers: DataFrame) -> DataFrame:
+    """Answers as arrays of sentences; an answer's sentences are few."""
+    sents = F.transform(F.array_sort(F.collect_list(F.struct("sidx", "text", "citations"))), lambda s: F.struct(s["text"].alias("text"), s["citations"].cast("array<int>").alias("citations")))
+    return answers.groupBy("query_id").agg(sents.alias("sentences"))
+
+
 def with_advice(answers: DataFrame, lexicon: Lexicon = KOREAN) -> DataFrame:
     """Answers as arrays of sentences, an advice appended where none speaks of one."""
-    sents = F.transform(F.array_sort(F.collect_list(F.struct("sidx", "text", "citations"))), lambda s: F.struct(s["text"].alias("text"), s["citations"].cast("array<int>").alias("citations")))
-    out = answers.groupBy("query_id").agg(sents.alias("sentences"))
-    advised = F.exists("sentences", lambda s: s["text"].contains(lexicon.advisory[0]))
-    extra = F.array(F.struct(F.lit(lexicon.advice).alias("text"), F.array().cast("array<int>").alias("citations")))
-    out = out.withColumn("sentences", F.when(advised, F.col("sentences")).otherwise(F.concat("sentences", extra)))
+    out = _gathered(answers).withColumn("sentences", advised(F.col("sentences"), lexicon))
     return out.withColumn("answer", T.render(F.col("sentences")))
 
 
+#: What a model is asked; {evidence} and {question} are filled in. Another wording is a parameter.
+PROMPT = """Answer the question from the numbered evidence alone, for a lay reader, in short sentences.
+Give every sentence the numbers of the evidence it rests on. Copy evidence marked as quote-only word
+for word. Do not speak of the evidence itself. Where it does not answer the question, or the question
+belongs to another field, give no sentences. Medical matters end in a sentence, without numbers, that
+advises to ask a professional.
+Reply with JSON only: {"sentences": [{"text": "...", "citations": [1, 2]}]}
+
+[evidence]
+{evidence}
+
+[question]
+{question}
+"""
+
+
+def prompts(evidence: DataFrame, queries: DataFrame, template: str = PROMPT) -> DataFrame:
+    """(query_id, prompt): the template with the numbered evidence and the question in place."""
+    before, rest = template.split("{evidence}", 1)
+    between, after = rest.split("{question}", 1)
+    listed = numbered_evidence(evidence).select("query_id", F.col("prompt").alias("listed"))
+    out = queries.join(listed, "query_id")
+    return out.select("query_id", F.concat(F.lit(before), "listed", F.lit(between), F.col("text"), F.lit(after)).alias("prompt"))
+
+
+def generate(
+    evidence: DataFrame,
+    queries: DataFrame,
+    llm: Callable[[DataFrame], DataFrame] | None = None,
+    similarity: Callable[[Column, Column], Column] | None = None,
+    lexicon: Lexicon = KOREAN,
+    template: str = PROMPT,
+    analyzer: T.Analyzer | None = None,
+) -> DataFrame:
+    """``evidence(query_id, rank, doc_id, text, title, lic_class)``, ``queries(query_id, text)`` ->
+    query_id, mode, sentences, answer, for every question with evidence.
+
+    ``llm`` takes (query_id, prompt) and returns (query_id, text), null where it failed: those
+    questions, and all without an ``llm``, get extractive answers. Its text is read as JSON, or as
+    plain text with ``[n]`` marks where it is none. No sentences are an answer that there is no
+    evidence; any others end in an advice. The model is called once.
+    """
+    asked = evidence.groupBy("query_id").agg(F.count("*").cast("int").alias("n"))
+    if llm:
+        said = written(llm(prompts(evidence, queries, template)).select("query_id", F.col("text").alias("said")), "said").where("said is not null")
+        read = said.join(asked, "query_id").withColumn("sentences", T.parse_llm_json(F.col("said"), F.col("n")))
+        read = read.withColumn("sentences", F.coalesce("sentences", T.parse_citations(F.col("said"), F.col("n"))))
+        made = read.select("query_id", F.lit("llm").alias("mode"), F.col("sentences").cast(_SENTENCES).alias("sentences"))
+        left = evidence.join(said.select("query_id"), "query_id", "left_anti")
+    else:
+        made, left = None, evidence
+    taken = _gathered(extractive_answer(left, queries, similarity or token_overlap, analyzer=analyzer))
+    none = F.array().cast(_SENTENCES)
+    plain = left.select("query_id").distinct().join(taken, "query_id", "left").select("query_id", F.lit("extractive").alias("mode"), F.coalesce(F.col("sentences").cast(_SENTENCES), none).alias("sentences"))
+    out = plain if made is None else made.unionByName(plain)
+    out = out.withColumn("sentences", advised(F.col("sentences"), lexicon))
+    return out.withColumn("answer", F.when(F.size("sentences") == 0, T.NO_EVIDENCE).otherwise(T.render(F.col("sentences"))))
+
+
 def token_overlap(a: Column, b: Column) -> Column:
     """Similarity without a model: shared tokens by the cosine of the sets."""
     x, y = F.array_distinct(T.tokens(a)), F.array_distinct(T.tokens(b))
