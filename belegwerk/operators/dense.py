@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ship import map_arrow
+from ..plans.store import least_hashed, written
 
 MAX_FEATURES = 50_000  # fixed value
 
@@ -41,12 +44,14 @@ def char_grams(text: Column) -> Column:
 
 def tfidf(chunks: DataFrame, max_features: int = MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
     """``chunks(cidx, text)`` -> (weights(cidx, gram, w), idf(gram, idf)), L2-normalised. The most
-    frequent grams of the corpus are the features, ties in order of the gram."""
+    frequent grams of the corpus are the features, ties in order of the gram. Counts and features
+    are written, so that grams are cut once."""
     counts = chunks.select("cidx", F.explode(char_grams(F.col("text"))).alias("gram")).groupBy("cidx", "gram").agg(F.count("*").alias("tf"))
+    counts = written(counts, "grams")
     n = chunks.agg(F.count("*").alias("n"))
     kept = counts.groupBy("gram").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).orderBy(F.col("cf").desc(), "gram").limit(max_features)
-    idf = kept.crossJoin(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    return weighted(counts, idf), idf
+    idf = written(kept.crossJoin(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "features")
+    return written(weighted(counts, F.broadcast(idf)), "weights"), idf  # no more than ``max_features`` rows
 
 
 def weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
@@ -62,6 +67,25 @@ def tfidf_scores(weights: DataFrame, idf: DataFrame, queries: DataFrame) -> Data
     return weights.join(vectors, "gram").groupBy("query_id", "cidx").agg(F.sum(F.col("w") * F.col("q")).alias("dense"))
 
 
+def encoded(rows: DataFrame, model: Callable[[list[str]], np.ndarray], kind: str = "passage", asymmetric: bool = True, batch: int = 256) -> DataFrame:
+    """``rows(id, text)`` -> id, v: normalised vectors of a bi-encoder, for questions (``kind``
+    query) or for what they are asked of (passage). ``model`` maps a list of texts to a matrix and
+    is loaded where it is called; asymmetric models are told the kind by a prefix."""
+    prefix = f"{kind}: " if asymmetric else ""
+
+    def run(batches):
+        for part in batches:
+            for lo in range(0, part.num_rows, batch):
+                some = part.slice(lo, batch)
+                v = np.asarray(model([prefix + (t or "") for t in some.column(1).to_pylist()]), dtype=np.float64)
+                norm = np.linalg.norm(v, axis=1, keepdims=True)
+                v = v / np.where(norm == 0, 1.0, norm)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(v), pa.list_(pa.float64()))], ["id", "v"])
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    return map_arrow(rows.select("id", F.col("text").cast("string").alias("text")), run, f"id {id_type}, v array<double>")
+
+
 def _block_top(k: int, apart: bool):
     """(block rows of either side) -> the k best of the right block for each left row."""
 
@@ -71,36 +95,39 @@ def _block_top(k: int, apart: bool):
                 lid, lown, lv = _unpacked(left)
                 rid, rown, rv = _unpacked(right)
                 sims = lv @ rv.T
-                drop = lid[:, None] == rid[None, :]
+                l_place, r_place = _places(lid, rid)
+                drop = l_place[:, None] == r_place[None, :]
                 if apart:
-                    drop |= lown[:, None] == rown[None, :]
+                    l_own, r_own = _places(lown, rown)
+                    drop |= l_own[:, None] == r_own[None, :]
                 sims[drop] = -np.inf
-                order = np.lexsort((np.broadcast_to(rid, sims.shape), -sims), axis=1)[:, :k]
-                rows = np.arange(len(lid))[:, None]
+                order = np.lexsort((np.broadcast_to(r_place, sims.shape), -sims), axis=1)[:, :k]
+                rows = np.arange(len(lv))[:, None]
                 good = sims[rows, order] > -np.inf
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.broadcast_to(lid[:, None], order.shape)[good]),
-                        pa.array(rid[order][good]),
-                        pa.array(sims[rows, order][good]),
-                    ],
-                    ["query_id", "cidx", "dense"],
-                )
+                mine = np.broadcast_to(rows, order.shape)[good]
+                yield pa.RecordBatch.from_arrays([lid.take(pa.array(mine)), rid.take(pa.array(order[good])), pa.array(sims[rows, order][good])], ["query_id", "cidx", "dense"])
 
     return run
 
 
-def _unpacked(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(block) -> tuple[pa.Array, pa.Array, np.ndarray]:
     rows = block.values
-    ids, own = rows.field("id").to_numpy(zero_copy_only=False), rows.field("own").to_numpy(zero_copy_only=False)
     vectors = np.stack([np.asarray(v) for v in rows.field("v").to_numpy(zero_copy_only=False)]).astype(np.float64)
-    return ids, own, vectors
+    return rows.field("id"), rows.field("own"), vectors
+
+
+def _places(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that stand to each other as the values of both arrays do; values may be structs."""
+    plain = lambda v: tuple(map(plain, v.values())) if isinstance(v, dict) else v
+    x, y = (list(map(plain, array.to_pylist())) for array in (a, b))
+    number = {v: i for i, v in enumerate(sorted({*x, *y}))}
+    return np.array([number[v] for v in x]), np.array([number[v] for v in y])
 
 
 def block_top_k(queries: DataFrame, base: DataFrame, k: int, block: int = 512, apart: bool = False) -> DataFrame:
     """Exact k nearest rows of ``base(id, own, v)`` for each row of ``queries(id, own, v)``, by
     cosine of normalised vectors, ties by id; never a row itself, nor with ``apart`` one of the
-    same own. -> query_id, cidx, dense, rank.
+    same own. -> query_id, cidx, dense, rank. Ids may be numbers, strings or structs.
 
     Both sides are cut into blocks of some ``block`` rows by hash; every pair of blocks is one
     matrix product in one task, and only its k best per row go on. Queries x rows is the work
@@ -113,6 +140,86 @@ def block_top_k(queries: DataFrame, base: DataFrame, k: int, block: int = 512, a
     n_left, n_right = (max(1, -(-df.count() // block)) for df in (queries, base))
     left = blocks(queries, "l", n_left).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)).cast("array<bigint>")))
     pairs = left.join(blocks(base, "r", n_right), "r").select("l_rows", "r_rows")
-    best = map_arrow(pairs, _block_top(k, apart), "query_id long, cidx long, dense double")
+    kinds = (df.schema["id"].dataType.simpleString() for df in (queries, base))
+    best = map_arrow(pairs, _block_top(k, apart), "query_id {}, cidx {}, dense double".format(*kinds))
+    order = Window.partitionBy("query_id").orderBy(F.col("dense").desc(), "cidx")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """``queries(query_id, v)``, ``vectors(cidx, v)`` of a model -> query_id, cidx, dense, rank: the k
+    nearest chunks of each question. Exact."""
+    unlike = lambda df, name, side: df.select(F.struct(F.lit(side).alias("side"), F.col(name).alias("id")).alias("id"), F.lit(side).alias("own"), "v")
+    found = block_top_k(unlike(queries, "query_id", 0), unlike(vectors, "cidx", 1), k)
+    return found.select(F.col("query_id.id").alias("query_id"), F.col("cidx.id").alias("cidx"), "dense", "rank")
+
+
+def fit_lists(vectors: DataFrame, lists: int, k: int, recall: float = 0.95, sample: int = 20_000, rounds: int = 10, seed: int = 1) -> tuple[np.ndarray, int]:
+    """Centres of an inverted file, by k-means in numpy over the ``sample`` rows of ``vectors(id, v)``
+    of least hash, and how many lists to probe: so many that of the k nearest sampled rows of a
+    thousand sampled ones a share of ``recall`` is in them. The index is fitted on this bounded
+    sample, but holds every row."""
+    rows = least_hashed(vectors.select("id", "v").withColumn("h", F.xxhash64("id")), sample, "id").select("v").collect()
+    x = np.array([r["v"] for r in rows], dtype=np.float64)
+    if not len(x):
+        return np.zeros((1, 1)), 1
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
+    for _ in range(rounds):
+        near = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.where(norm > 0, norm, 1.0), centres)
+    near, asked = (x @ centres.T).argmax(axis=1), x[:1000]
+    sims = asked @ x.T
+    sims[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    best = np.argsort(-sims, axis=1)[:, : max(1, min(k, len(x) - 1))]
+    rank = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)
+    needed = np.sort(np.take_along_axis(rank, near[best], axis=1).ravel())
+    return centres, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+
+
+def _listed(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """``rows(id, own, v)`` with each of its ``probes`` nearest lists."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            sims = flat.reshape(batch.num_rows, -1) @ shared.value.T
+            near = np.argsort(-sims, axis=1, kind="stable")[:, :probes]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(near.ravel().astype(np.int32))], ["id", "own", "v", "list"])
+
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("id", "own")]
+    return map_arrow(rows.select("id", "own", F.col("v").cast("array<double>").alias("v")), run, f"id {kinds[0]}, own {kinds[1]}, v array<double>, list int")
+
+
+def indexed_top_k(
+    queries: DataFrame, base: DataFrame, k: int, lists: int | None = None, probes: int | None = None, block: int = 1024, apart: bool = False, sample: int = 20_000, recall: float = 0.95
+) -> DataFrame:
+    """As ``block_top_k``, but each query is compared with the rows of its nearest lists only: an
+    inverted file, by default of as many lists as the root of the rows, of which as many are probed
+    as ``recall`` takes on a sample. Every row is in one list; a list of any size is dealt in blocks.
+    Vectors without structure need most lists for a high recall: none is a sure gain.
+    """
+    lists = lists or max(1, int(base.count() ** 0.5))
+    centres, fitted = fit_lists(base, lists, k, recall, sample)
+    probes = min(len(centres), probes or fitted)
+    if centres.shape == (1, 1):
+        return block_top_k(queries, base, k, block, apart)
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / block).alias("parts"))
+        part = F.pmod(F.xxhash64("id"), "parts").alias("part")
+        dealt = rows.join(F.broadcast(sizes), "list").select("list", part, F.struct("id", "own", "v").alias("row"))  # a row for each list
+        return dealt.groupBy("list", "part").agg(F.collect_list("row").alias(f"{name}_rows")).drop("part")
+
+    pairs = blocks(_listed(queries, centres, probes), "l").join(blocks(written(_listed(base, centres, 1), "lists"), "r"), "list").select("l_rows", "r_rows")
+    kinds = (df.schema["id"].dataType.simpleString() for df in (queries, base))
+    best = map_arrow(pairs, _block_top(k, apart), "query_id {}, cidx {}, dense double".format(*kinds))
     order = Window.partitionBy("query_id").orderBy(F.col("dense").desc(), "cidx")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..functions import text as T
+from ..plans.store import written
 from . import dense as dense_ops
 from . import lexical
 
@@ -37,33 +39,53 @@ def hybrid_search(
     k: int | None = None,
     settings: Settings = DEFAULT,
     rerank: Callable[[DataFrame], DataFrame] | None = None,
+    index: lexical.LexicalIndex | None = None,
+    vectors: DataFrame | None = None,
+    encode: Callable[[DataFrame, str], DataFrame] | None = None,
+    analyzer: T.Analyzer | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``chunks(cidx, doc_id, text)``, ``queries(query_id, text)`` -> (hits, signals).
 
     hits: query_id, rank, cidx, doc_id, text, score, bm25_score, rerank_score, fused_score.
     signals: query_id, dense_top, bm25_top, rerank_top, n_hits over all chunks that are on.
     ``rerank`` takes (query_id, query, cidx, text) and returns (query_id, cidx, rerank_score).
-    Corpus statistics cover every chunk; sources are switched off before any ranking.
+    ``encode`` takes (id, text) and a kind, query or passage, and returns (id, v), as
+    ``dense.encoded`` does; ``vectors(cidx, v)`` are those of the chunks, by default made by it.
+    Without an encoder the dense scores are cosines of TF-IDF vectors. ``index`` is a stored lexical
+    index of the chunks, by default made here.
+    Corpus statistics cover every chunk; sources are switched off before any ranking. Either score
+    is made once, and written.
     """
     k = settings.top_k if k is None else k
     allowed = excluding(chunks, disabled)
     on = allowed.select("cidx")
-    weights, idf = dense_ops.tfidf(chunks)
-    dense = dense_ops.tfidf_scores(weights, idf, queries).join(on, "cidx", "left_semi")
-    lex = lexical.bm25_scores(lexical.build_index(chunks), queries).join(on, "cidx", "left_semi")
-    dense_full = lexical.zero_filled(dense.withColumnRenamed("dense", "bm25"), queries, on, settings.pool).withColumnRenamed("bm25", "dense")
-    lex_full = lexical.zero_filled(lex, queries, on, settings.pool)
-    d_rank = lexical.top_ranked(dense_full, "dense", settings.pool, "rank")
-    b_rank = lexical.top_ranked(lex_full, "bm25", settings.pool, "rank")
+    index = index or lexical.build_index(chunks, analyzer)
+    lex = written(lexical.bm25_scores(index, queries, analyzer).join(on, "cidx", "left_semi"), "bm25")
+    b_rank = lexical.top_ranked(lexical.zero_filled(lex, queries, on, settings.pool), "bm25", settings.pool, "rank")
+    if encode:
+        vectors = vectors if vectors is not None else written(encode(chunks.select(F.col("cidx").alias("id"), "text"), "passage").withColumnRenamed("id", "cidx"), "vectors")
+        asked = written(encode(queries.select(F.col("query_id").alias("id"), "text"), "query").withColumnRenamed("id", "query_id"), "questions")
+        near = vectors.join(on, "cidx", "left_semi")
+        dense = d_rank = written(dense_ops.nearest(asked, near, settings.pool), "dense")
+    else:
+        weights, idf = dense_ops.tfidf(chunks)
+        dense = written(dense_ops.tfidf_scores(weights, idf, queries).join(on, "cidx", "left_semi"), "dense")
+        full = lexical.zero_filled(dense.withColumnRenamed("dense", "bm25"), queries, on, settings.pool).withColumnRenamed("bm25", "dense")
+        d_rank = lexical.top_ranked(full, "dense", settings.pool, "rank")
     pool = rrf_fuse(d_rank, b_rank, settings.rrf_k).where(F.col("fused_rank") <= settings.pool)
-    hits = pool.join(dense, ["query_id", "cidx"], "left").join(lex, ["query_id", "cidx"], "left").join(chunks.select("cidx", "doc_id", "text"), "cidx")
+    hits = pool.join(lex, ["query_id", "cidx"], "left").join(chunks.select("cidx", "doc_id", "text"), "cidx")
+    if encode:  # hits of the lexical ranking alone have a cosine too
+        pair = hits.select("query_id", "cidx").join(asked.select("query_id", F.col("v").alias("q")), "query_id").join(vectors.select("cidx", "v"), "cidx")
+        hits = hits.join(pair.select("query_id", "cidx", dense_ops.cosine(F.col("q"), F.col("v")).alias("dense")), ["query_id", "cidx"], "left")
+    else:
+        hits = hits.join(dense, ["query_id", "cidx"], "left")
     if rerank:
         scored = rerank(hits.select("query_id", "cidx", "text").join(queries.select("query_id", F.col("text").alias("query")), "query_id"))
         hits = hits.join(scored, ["query_id", "cidx"], "left")
     else:
         hits = hits.withColumn("rerank_score", F.lit(None).cast("double"))
     order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc_nulls_last(), "fused_rank")
-    hits = hits.withColumn("rank", F.row_number().over(order))
+    hits = written(hits.withColumn("rank", F.row_number().over(order)), "hits")
     tops = hits.groupBy("query_id").agg(F.max("rerank_score").alias("rerank_top"), F.count("*").alias("n_hits"))
     signals = (
         queries.select("query_id")
