@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, KOREAN, Lexicon, Settings
 from ..functions import text as T
+from ..plans.ship import map_arrow
 
 
 def citation_counts(sentences: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -48,6 +50,45 @@ def recall_mrr(hits: DataFrame, relevant: DataFrame) -> DataFrame:
     )
 
 
+def containing(passages: DataFrame, docs: DataFrame, most: int = 100_000) -> DataFrame:
+    """``passages(query_id, text)``, ``docs(doc_id, body)`` -> query_id, doc_id: the documents that
+    hold a passage whole, white space aside. Blank passages are in none.
+
+    Up to ``most`` passages are one automaton that every task walks its documents through once, so
+    the work is linear in the documents. More passages go over it in parts of that size.
+    """
+    asked = passages.select("query_id", T.squash(F.col("text")).alias("p")).where("p <> ''")
+    parts = max(1, -(-asked.count() // most))
+    texts = docs.select("doc_id", T.squash(F.col("body")).alias("t"))
+    out = None
+    for i in range(parts):
+        some = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("p"), F.lit(parts)) == i)
+        found = _held(texts, sorted({r[0] for r in some.select("p").collect()}))  # about ``most`` passages
+        out = found if out is None else out.unionByName(found)
+    return out.join(asked, "p").select("query_id", "doc_id").distinct()
+
+
+def _held(texts: DataFrame, passages: list[str]) -> DataFrame:
+    given = texts.sparkSession.sparkContext.broadcast(passages)
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for p in given.value:
+            automaton.add_word(p, p)
+        automaton.make_automaton() if given.value else None
+        for batch in batches:
+            rows, found = [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                for p in {p for _, p in automaton.iter(t)} if t and given.value else ():
+                    rows.append(i), found.append(p)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], ["doc_id", "p"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return map_arrow(texts, run, f"doc_id {kind}, p string")
+
+
 def refusal_rates(outcomes: DataFrame) -> DataFrame:
     """``outcomes(query_id, is_negative, refused)`` -> refusal_recall and false_refusal."""
     neg, pos = F.col("is_negative"), ~F.col("is_negative")

@@ -6,17 +6,21 @@ import io
 import re
 import subprocess
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import KOREAN, Lexicon
 from ..functions import text as T
+from ..operators.accounting import collector_rank, domain_filter
 from ..plans.ship import ship
 
 EXTENSIONS = ("md", "pdf", "hwp", "hwpx")
+_TAG = re.compile(r"<[^>]+>")
 
 
 def meta_of(text: Column) -> Column:
@@ -38,31 +42,43 @@ def front_matter(df: DataFrame, column: str) -> DataFrame:
 
 
 def strip_tags(x: Column) -> Column:
-    return F.regexp_replace(x, r"<[^>]+>", " ")
+    return F.regexp_replace(x, _TAG.pattern, " ")
 
 
-def _pdf(data: bytes) -> str:
+def _pdf(data: bytes) -> list[str]:
+    """The text of each page."""
     import fitz  # an optional library
 
-    with fitz.open(stream=data, filetype="pdf") as doc:
-        return "\n\n".join(page.get_text("text") for page in doc)
+    with fitz.open(stream=data, filetype="pdf") as pages:
+        return [page.get_text() for page in pages]
 
 
-def _hwpx(data: bytes) -> str:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        parts = [z.read(n).decode("utf-8", "ignore") for n in z.namelist() if n.startswith("Contents/") and n.endswith(".xml")]
-    return "\n".join(re.sub(r"<[^>]+>", " ", p) for p in parts)
+def _hwpx(data: bytes) -> list[str]:
+    """The text of each section: what the XML of its content says outside tags, a space for each."""
+    texts = []
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        for entry in archive.infolist():
+            if entry.filename.startswith("Contents/") and entry.filename.endswith(".xml"):
+                texts.append(strip_tags_of(archive.read(entry).decode("utf-8", "ignore")))
+    return texts
 
 
-def _hwp(data: bytes) -> str:
+def strip_tags_of(xml: str) -> str:
+    """As ``strip_tags``, of a string."""
+    return _TAG.sub(" ", xml)
+
+
+def _hwp(data: bytes) -> list[str]:
     with tempfile.NamedTemporaryFile(suffix=".hwp") as f:  # read again by this same task only
         f.write(data)
         f.flush()
         out = subprocess.run(["hwp5txt", f.name], capture_output=True, timeout=60, check=True)
-    return out.stdout.decode("utf-8", "ignore")
+    return [out.stdout.decode("utf-8", "ignore")]
 
 
-READERS: dict[str, Callable[[bytes], str]] = {"md": lambda b: b.decode("utf-8"), "pdf": _pdf, "hwpx": _hwpx, "hwp": _hwp}
+#: The parts of a file by its extension, and what joins them.
+READERS: dict[str, Callable[[bytes], list[str]]] = {"md": lambda b: [b.decode("utf-8")], "pdf": _pdf, "hwpx": _hwpx, "hwp": _hwp}
+BETWEEN = {"pdf": "\n\n"}
 
 
 def extracted(files: DataFrame) -> DataFrame:
@@ -74,7 +90,7 @@ def extracted(files: DataFrame) -> DataFrame:
             rows = []
             for path, ext, content in zip(pdf["path"], pdf["ext"], pdf["content"]):
                 try:
-                    rows.append((path, ext, READERS[ext](bytes(content)), None))
+                    rows.append((path, ext, BETWEEN.get(ext, "\n").join(READERS[ext](bytes(content))), None))
                 except Exception as e:  # noqa: BLE001  each file by itself, reported in its row
                     rows.append((path, ext, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "ext", "raw", "error"])
@@ -87,7 +103,8 @@ def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     """All documents of a folder -> (docs(doc_id, meta, body), skipped(path, error)).
 
     Markdown has its metadata in front; other formats have them in a ``<file>.meta`` beside, with
-    the file's stem as the title by default. Bodies are cleaned. Extensions match in any case.
+    the file's stem as the title by default. Bodies are cleaned. Extensions match in any case. Of
+    files with one stem the last in order of their paths is the document; the others are skipped.
     """
     all_files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "content")
     name = F.substring_index("path", "/", -1)
@@ -99,10 +116,13 @@ def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     is_md = F.col("ext") == "md"
     side_meta = meta_of(F.coalesce("side", F.lit("")))
     titled = F.when(F.map_contains_key(side_meta, "title"), side_meta).otherwise(F.map_concat(side_meta, F.create_map(F.lit("title"), F.col("stem"))))
-    docs = with_head.select(
+    last = Window.partitionBy("stem").orderBy(F.col("path").desc())
+    with_head = with_head.withColumn("nth", F.row_number().over(last))
+    twins = with_head.where("nth > 1").select("path", F.concat(F.lit("another file is the document "), "stem").alias("error"))
+    docs = with_head.where("nth = 1").select(
         F.col("stem").alias("doc_id"), F.when(is_md, F.col("meta")).otherwise(titled).alias("meta"), T.clean_extracted(F.when(is_md, F.col("body")).otherwise(F.col("raw"))).alias("body")
     )
-    return docs, text.where("error is not null").select("path", "error")
+    return docs, text.where("error is not null").select("path", "error").unionByName(twins)
 
 
 def write_index(docs: DataFrame, chunks: DataFrame, folder: str, kind: str) -> None:
@@ -120,8 +140,34 @@ def read_index(spark: SparkSession, folder: str, kind: str | None = None) -> tup
     return spark.read.parquet(f"{folder}/docs"), spark.read.parquet(f"{folder}/chunks")
 
 
-def write_markdown(articles: DataFrame, folder: str, license_text: str, portal: str) -> None:
-    """``articles(sn, title, body)`` as text files with front matter, replacing those there were."""
+def write_markdown(articles: DataFrame, folder: str, license_text: str, portal: str, prefix: str = "portal_") -> None:
+    """``articles(sn, title, body)`` as files ``<prefix><sn>_<title>.md`` with front matter, as
+    ``read_documents`` reads them; files of that prefix that were there go once the new ones are
+    written. The articles are a collector's, a few hundred: the driver renames each file."""
+    spark = articles.sparkSession
+    jvm = spark._jvm
+    of = jvm.org.apache.hadoop.fs.Path
+    fs = of(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     head = F.concat_ws("\n", F.concat(F.lit("title: "), "title"), F.lit(f"url: {portal}"), F.lit(f"license: {license_text}"))
-    name = F.concat(F.col("sn"), F.lit("_"), T.safe_name(F.col("title")))
-    articles.select(name.alias("name"), F.concat(head, F.lit("\n---\n"), "body").alias("value")).write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(folder)
+    name = F.concat(F.lit(prefix), F.col("sn").cast("string"), F.lit("_"), T.safe_name(F.col("title")))
+    beside = f"{folder}/_writing-{uuid.uuid4().hex}"
+    rows = articles.select(F.hex(F.encode(name, "UTF-8")).alias("name"), F.concat(head, F.lit("\n---\n"), "body").alias("value"))
+    rows.write.partitionBy("name").option("lineSep", "\n").text(beside)
+    before = [s.getPath() for s in fs.listStatus(of(folder)) if s.isFile() and s.getPath().getName().startswith(prefix)]
+    for path in before:
+        fs.delete(path, False)
+    for made in fs.listStatus(of(beside)):
+        if made.isDirectory():
+            file = bytes.fromhex(made.getPath().getName().removeprefix("name=")).decode("utf-8") + ".md"
+            part = next(s.getPath() for s in fs.listStatus(made.getPath()) if s.getPath().getName().startswith("part-"))
+            fs.rename(part, of(folder, file))
+    fs.delete(of(beside), True)
+
+
+def collect_articles(articles: DataFrame, folder: str, license_text: str, portal: str, lexicon: Lexicon = KOREAN) -> DataFrame:
+    """The portal's articles that belong to the domain, the densest ones first, written to
+    ``folder``; returns them with their score."""
+    kept = collector_rank(domain_filter(articles.select(F.col("sn").alias("doc_id"), "body"), lexicon))
+    out = articles.join(kept.select(F.col("doc_id").alias("sn"), "score"), "sn")
+    write_markdown(out, folder, license_text, portal)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,50 +14,86 @@ from ..functions.text import SENTINEL
 from ..plans.ship import ship
 
 OUT = "request_id string, seq long, event string, data string"
-_STATE = "held string, next long, passed boolean, refused boolean"
+_STATE = "held string, full string, next long, passed boolean, refused boolean"
+_MARK = re.compile(r"\[(\d+)\]")
 
 
 def step(held: str, passed: bool, refused: bool, piece: str, last: bool) -> tuple[str, bool, bool, list[tuple[str, str]]]:
-    """One token delta: text is held until it is as long as the sentinel, or differs from its
-    start; then it flows. The sentinel alone is a refusal."""
+    """One token delta: text is held until it is as long as the sentinel, then it flows, blank or
+    not. The sentinel is a refusal, and so is an answer that ends before it flows and is blank."""
     if refused:
         return "", passed, True, []
     if passed:
         return "", True, False, [("delta", piece)] if piece else []
     held += piece
-    if held.lstrip().startswith(SENTINEL):
-        return "", False, True, [("refused", "")]
-    if (len(held) >= len(SENTINEL) or last) and held:
+    if len(held) >= len(SENTINEL) or last:
+        if held.lstrip().startswith(SENTINEL) or (last and len(held) < len(SENTINEL) and not held.strip()):
+            return "", False, True, [("refused", "")]
         return "", True, False, [("delta", held)]
     return held, False, False, []
 
 
+def cites(text: str, n_evidence: int) -> bool:
+    """Whether an answer cites any of its evidence."""
+    return any(len(m) < 10 and 1 <= int(m) <= n_evidence for m in _MARK.findall(text))
+
+
 def gate(tokens: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """Streaming ``tokens(request_id, seq, token, last)`` -> request_id, seq, event, data, in append
-    mode. State is the held text of each open request; an event's place in its request makes a
-    repeated write recognisable. A request that says nothing for ``idle_ms`` is dropped; leave it
-    None for a finite stream, which would else wait for time to pass."""
+    """Streaming ``tokens(request_id, seq, token, last, ...)`` -> request_id, seq, event, data, in
+    append mode.
+
+    Events of a request: deltas, then meta, or a refusal, also after deltas that have gone out.
+    With a column ``n_evidence`` an answer that cites none of its evidence ends in a refusal. With
+    columns ``failed`` and ``fallback`` a row that reports a failure ends the request with the whole
+    fallback answer, under the same test, in place of what was held; a null one is a refusal.
+    State is the text of each open request; an event's place in its request makes a repeated write
+    recognisable. A request that says nothing for ``idle_ms`` is dropped; leave it None for a
+    finite stream, which would else wait for time to pass.
+    """
+    counted, may_fail = "n_evidence" in tokens.columns, "failed" in tokens.columns
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        held, nxt, passed, refused = state.get if state.exists else ("", 0, False, False)
+        held, full, nxt, passed, refused = state.get if state.exists else ("", "", 0, False, False)
         out, ended = [], False
+
+        def say(event: str, data: str = "") -> None:
+            nonlocal nxt
+            out.append((key[0], nxt, event, data))
+            nxt += 1
+
+        def close(row, text: str) -> None:
+            cited = not counted or cites(text, 0 if pd.isna(row.n_evidence) else int(row.n_evidence))
+            say("meta" if cited else "refused")
+
         for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-            held, passed, refused, events = step(held, passed, refused, row.token or "", bool(row.last))
+            if ended:
+                break
+            if may_fail and row.failed == True:  # noqa: E712  numpy booleans and nulls too
+                ended = True
+                if refused:
+                    break
+                if not isinstance(row.fallback, str) or counted and not cites(row.fallback, 0 if pd.isna(row.n_evidence) else int(row.n_evidence)):
+                    say("refused")
+                else:
+                    say("delta", row.fallback)
+                    say("meta")
+                break
+            piece = row.token if isinstance(row.token, str) else ""
+            full += piece
+            held, passed, refused, events = step(held, passed, refused, piece, bool(row.last))
             for event, data in events:
-                out.append((key[0], nxt, event, data))
-                nxt += 1
+                say(event, data)
             if row.last:
                 ended = True
                 if not refused:
-                    out.append((key[0], nxt, "meta", ""))
-                    nxt += 1
+                    close(row, full)
         if ended:
             state.remove()
         else:
-            state.update((held, nxt, passed, refused))
+            state.update((held, full, nxt, passed, refused))
             if idle_ms:
                 state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["request_id", "seq", "event", "data"])
