@@ -9,14 +9,17 @@ events are citations and feedback.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import DEFAULT, KOREAN, PROSE
 from ..functions import text as T
-from ..operators import accounting, answers, chunking, dense, graph, lexical, search
+from ..operators import accounting, answers, ask, chunking, dense, graph, lexical, search
 from ..sources import articles, documents, feedback
+from .store import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,13 +44,21 @@ def bodies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks with cidx, an id that follows the order of documents and chunks."""
+    """Chunks with cidx, their place in the order of documents and chunks."""
     out = chunking.chunk_documents(bodies(spark, sf))
-    return out.withColumn("cidx", F.col("doc_id") * 1_000_000 + F.col("i"))
+    return out.withColumn("cidx", F.struct("doc_id", "i"))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """Rows whose cidx is a chunk's place, with the chunk's name instead; others as they are."""
+    if not isinstance(rows.schema["cidx"].dataType, StructType):
+        return rows
+    return rows.withColumn("chunk_id", F.concat_ws("--", "cidx.doc_id", "cidx.i")).drop("cidx")
 
 
 # -- SQL building blocks --------------------------------------------------------------------
 _WS = r"[\s\p{Z}\x0b\x{85}]"
+PROSE_MARKS = r"[\s\x0b\x1c-\x1f]"
 _STRIP = lambda x: f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
 _TOKENS = lambda x: f"list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) > 1)"
 _SENTENCES = lambda x: (
@@ -84,12 +95,14 @@ c AS (
 chunks AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS i, pos AS start, stop AS "end", text
   FROM (SELECT *, {_STRIP('substr(body, CAST(pos + 1 AS INTEGER), CAST(stop - pos AS INTEGER))')} AS text FROM c WHERE NOT first) WHERE text <> '')"""
+_NAME = "(cidx // 1000000) || '--' || (cidx % 1000000) AS chunk_id"
 _BM25 = rf"""
-ws AS (SELECT doc_id * 1000000 + i AS cidx, {_TOKENS('text')} AS t FROM chunks),
-p AS (SELECT cidx, dl, term, count(*) AS tf FROM (SELECT cidx, len(t) AS dl, unnest(t) AS term FROM ws) GROUP BY 1, 2, 3),
+ws AS MATERIALIZED (SELECT doc_id * 1000000 + i AS cidx, {_TOKENS('text')} AS t FROM chunks),
+p AS MATERIALIZED (SELECT cidx, dl, term, count(*) AS tf FROM (SELECT cidx, len(t) AS dl, unnest(t) AS term FROM ws) GROUP BY 1, 2, 3),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM ws),
-tr AS (SELECT term, count(*) AS df, ln(any_value(st.n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, st GROUP BY term),
-te AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM tr) ELSE raw END AS idf FROM tr),
+tr AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(st.n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, st GROUP BY term),
+tm AS MATERIALIZED (SELECT avg(raw) AS mean FROM tr),
+te AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM tr, tm),
 q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TOKENS('text')}) AS term FROM benchmark) GROUP BY 1, 2),
 sc AS (
   SELECT query_id, cidx, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25
@@ -193,21 +206,21 @@ def term_stats(spark, sf):
 
 
 def _bm25(spark, sf):
-    all_chunks = chunks(spark, sf).select("cidx", "doc_id", "text")
+    all_chunks = written(chunks(spark, sf).select("cidx", "doc_id", "text"), "chunks")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return all_chunks, asked, lexical.bm25_scores(lexical.build_index(all_chunks), asked).withColumn("bm25", F.round("bm25", 6))
+    return all_chunks, asked, written(lexical.bm25_scores(lexical.build_index(all_chunks), asked).withColumn("bm25", F.round("bm25", 6)), "scores")
 
 
-@query("bm25_topk", f"WITH RECURSIVE {_CHUNKS}, {_BM25} SELECT * FROM (SELECT query_id, cidx, round(bm25, 6) AS bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, cidx) AS INTEGER) AS rank FROM sc) WHERE rank <= 4")
+@query("bm25_topk", f"WITH RECURSIVE {_CHUNKS}, {_BM25} SELECT query_id, {_NAME}, bm25, rank FROM (SELECT query_id, cidx, round(bm25, 6) AS bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, cidx) AS INTEGER) AS rank FROM sc) WHERE rank <= 4")
 def bm25_topk(spark, sf):
     _, _, scores = _bm25(spark, sf)
-    return lexical.top_ranked(scores, "bm25", DEFAULT.pool, "rank")
+    return _named(lexical.top_ranked(scores, "bm25", DEFAULT.pool, "rank"))
 
 
-@query("bm25_zero_fill", f"WITH RECURSIVE {_CHUNKS}, {_BM25}, f AS (SELECT b.item_id AS query_id, ws.cidx, round(coalesce(bm25, 0), 6) AS bm25 FROM benchmark b CROSS JOIN ws LEFT JOIN sc ON sc.query_id = b.item_id AND sc.cidx = ws.cidx) SELECT * FROM (SELECT query_id, cidx, bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, cidx) AS INTEGER) AS rank FROM f) WHERE rank <= 4")
+@query("bm25_zero_fill", f"WITH RECURSIVE {_CHUNKS}, {_BM25}, f AS (SELECT b.item_id AS query_id, ws.cidx, round(coalesce(bm25, 0), 6) AS bm25 FROM benchmark b CROSS JOIN ws LEFT JOIN sc ON sc.query_id = b.item_id AND sc.cidx = ws.cidx) SELECT query_id, {_NAME}, bm25, rank FROM (SELECT query_id, cidx, bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, cidx) AS INTEGER) AS rank FROM f) WHERE rank <= 4")
 def bm25_zero_fill(spark, sf):
     all_chunks, asked, scores = _bm25(spark, sf)
-    return lexical.top_ranked(lexical.zero_filled(scores, asked, all_chunks, DEFAULT.pool), "bm25", DEFAULT.pool, "rank")
+    return _named(lexical.top_ranked(lexical.zero_filled(scores, asked, all_chunks, DEFAULT.pool), "bm25", DEFAULT.pool, "rank"))
 
 
 # -- dense retrieval ---------------------------------------------------------------------------
@@ -221,8 +234,15 @@ def cosine_topk(spark, sf):
     return dense.block_top_k(rows.where("id % 100 = 0"), rows, DEFAULT.pool).withColumn("dense", F.round("dense", 5))
 
 
+@query("indexed_topk")
+def indexed_topk(spark, sf):
+    """The nearest vectors by an inverted file, for every hundredth row; recall is in the tests."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("own"), dense.normalised(F.col("embedding")).alias("v"))
+    return dense.indexed_top_k(rows.where("id % 100 = 0"), rows, DEFAULT.pool).withColumn("dense", F.round("dense", 5))
+
+
 _GRAMS = lambda x: f"flatten(list_transform(list_filter(string_split(regexp_replace(lower({x}), '{_WS}+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: flatten([list_transform(range(1, greatest(length(w) + 2 - 2 + 1, 1) + 1), lambda i: substr(' ' || w || ' ', CAST(i AS INTEGER), 2)), list_transform(range(1, greatest(length(w) + 2 - 3 + 1, 1) + 1), lambda i: substr(' ' || w || ' ', CAST(i AS INTEGER), 3)), CASE WHEN length(w) + 2 > 3 THEN list_transform(range(1, length(w) + 2 - 4 + 2), lambda i: substr(' ' || w || ' ', CAST(i AS INTEGER), 4)) ELSE [] END])))"
-_TURNS = "SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user'"
+_TURNS = "SELECT conv_id || '-' || turn AS query_id, text FROM conversations WHERE role = 'user'"
 _DENSE = f"""
 b AS (SELECT item_id AS cidx, text FROM benchmark), u AS ({_TURNS}),
 g AS (SELECT cidx, gram, count(*) AS tf FROM (SELECT cidx, unnest({_GRAMS('text')}) AS gram FROM b) GROUP BY 1, 2),
@@ -238,13 +258,13 @@ ds AS (SELECT query_id, cidx, sum(x.w * y.w) AS dense FROM x JOIN y USING (gram)
 def _small(spark, sf):
     """Benchmark passages as chunks (a document for every four) and user turns as questions."""
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("cidx"), F.call_function("div", "item_id", F.lit(4)).alias("doc_id"), "text")
-    u = table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    u = table(spark, sf, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "text")
     return b, u
 
 
 def _whole(spark, sf):
     """Chunks of all documents, and benchmark passages as questions."""
-    b = chunks(spark, sf).select("cidx", "doc_id", "text")
+    b = written(chunks(spark, sf).select("cidx", "doc_id", "text"), "chunks")
     return b, table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
@@ -252,7 +272,7 @@ def _whole(spark, sf):
 def tfidf_charwb_topk(spark, sf, corpus=_small):
     b, u = corpus(spark, sf)
     weights, idf = dense.tfidf(b)
-    return lexical.top_ranked(dense.tfidf_scores(weights, idf, u).withColumn("dense", F.round("dense", 6)), "dense", DEFAULT.pool, "rank")
+    return _named(lexical.top_ranked(dense.tfidf_scores(weights, idf, u).withColumn("dense", F.round("dense", 6)), "dense", DEFAULT.pool, "rank"))
 
 
 _LEX = f"""
@@ -281,7 +301,8 @@ _SIGNALS = "sg AS (SELECT u.query_id, coalesce(max(fu.dense), 0) AS dense_top, c
 
 
 def _hits(hits: DataFrame) -> DataFrame:
-    return hits.select("query_id", "rank", "cidx", "doc_id", F.round("score", 6).alias("score"), F.round("bm25_score", 6).alias("bm25_score"), F.round("fused_score", 9).alias("fused_score"))
+    out = hits.select("query_id", "rank", "cidx", "doc_id", F.round("score", 6).alias("score"), F.round("bm25_score", 6).alias("bm25_score"), F.round("fused_score", 9).alias("fused_score"))
+    return _named(out)
 
 
 @query("hybrid_search", f"WITH {_DENSE}, {_LEX}, {_hybrid()} {_HITS}")
@@ -296,7 +317,7 @@ def rrf_fuse(spark, sf, corpus=_small):
     d = lexical.zero_filled(dense.tfidf_scores(weights, idf, u).withColumnRenamed("dense", "bm25"), u, b, DEFAULT.pool)
     x = lexical.zero_filled(lexical.bm25_scores(lexical.build_index(b), u), u, b, DEFAULT.pool)
     out = search.rrf_fuse(lexical.top_ranked(d, "bm25", DEFAULT.pool, "rank"), lexical.top_ranked(x, "bm25", DEFAULT.pool, "rank"))
-    return out.withColumn("fused", F.round("fused", 9))
+    return _named(out.withColumn("fused", F.round("fused", 9)))
 
 
 def _off(spark, sf, corpus=_small) -> DataFrame:
@@ -321,6 +342,12 @@ def refusal_decision(spark, sf, corpus=_small):
     return s.select("query_id", search.refused().alias("refused"), search.refused(bm25_available=False).alias("refused_dense"))
 
 
+#: Markers by which claims of the invented prose are opposed to each other.
+_SIDES = replace(PROSE, negative=("on", "es"), positive=("th", "en", "er"))
+
+_SIM = lambda a, b: f"len(list_intersect(list_distinct({_TOKENS(a)}), list_distinct({_TOKENS(b)}))) / sqrt(greatest(len(list_distinct({_TOKENS(a)})), 1) * greatest(len(list_distinct({_TOKENS(b)})), 1)::DOUBLE)"
+
+
 # -- evidence, answers, verification -------------------------------------------------------------
 _META = f"m AS (SELECT DISTINCT item_id // 4 AS doc_id, 'Title ' || (item_id // 4) AS title, CASE WHEN (item_id // 4) % 2 = 0 THEN 'CC BY 4.0' ELSE 'All rights reserved' END AS license FROM benchmark)"
 
@@ -342,7 +369,7 @@ def _evidence(spark, sf, corpus=_small) -> DataFrame:
 
 @query("evidence_payload", f"WITH {_DENSE}, {_LEX}, {_hybrid()}, {_META} SELECT query_id, rank, cidx, title, license, {_CLASS('license')} AS lic_class FROM hits JOIN m USING (doc_id)")
 def evidence_payload(spark, sf, corpus=_small):
-    return _evidence(spark, sf, corpus).select("query_id", "rank", "cidx", "title", "license", "lic_class")
+    return _named(_evidence(spark, sf, corpus).select("query_id", "rank", "cidx", "title", "license", "lic_class"))
 
 
 @query("numbered_evidence", f"WITH {_DENSE}, {_LEX}, {_hybrid()}, {_META} SELECT query_id, string_agg('[' || rank || '] (' || title || ')' || CASE WHEN {_CLASS('license')} = 'open' THEN '' ELSE '〔원문 그대로만 인용〕' END || ' ' || b.text, chr(10) ORDER BY rank) AS prompt FROM hits JOIN m USING (doc_id) JOIN b ON b.cidx = hits.cidx GROUP BY 1")
@@ -350,20 +377,55 @@ def numbered_evidence(spark, sf, corpus=_small):
     return answers.numbered_evidence(_evidence(spark, sf, corpus))
 
 
-@query("extractive_answer")
-def extractive_answer(spark, sf):
-    b, u = _whole(spark, sf)
+_EXTRACT = f"""
+tp AS (SELECT query_id, doc_id AS top FROM hits WHERE rank = 1),
+cs AS (SELECT h.query_id, h.rank, unnest(range(len(c))) AS pos, unnest(c) AS s
+       FROM (SELECT hits.query_id, hits.rank, {_CLEAN.replace('text', 'b.text')} AS c FROM hits JOIN tp ON tp.query_id = hits.query_id AND tp.top = hits.doc_id JOIN b ON b.cidx = hits.cidx) h),
+wf AS (SELECT *, {_GOOD} AS good FROM cs WHERE length(s) > 15),
+us AS (SELECT * FROM wf WHERE good OR query_id NOT IN (SELECT query_id FROM wf WHERE good)),
+un AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, regexp_replace(s, '{_WS}+', '', 'g') ORDER BY rank, pos) AS rn FROM us) WHERE rn = 1),
+sm AS (SELECT un.*, {_SIM('u.text', 's')} AS sim FROM un JOIN u ON u.query_id = un.query_id),
+bt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, rank, pos) AS bn FROM sm) WHERE bn <= 3),
+ex AS (SELECT query_id, list({{'text': s, 'citations': [rank]}} ORDER BY rank, pos) AS ss FROM bt GROUP BY 1)"""
+
+
+@query("extractive_answer", f"""WITH {_DENSE}, {_LEX}, {_hybrid()}, {_EXTRACT},
+ad AS (SELECT query_id, CASE WHEN len(list_filter(ss, lambda x: contains(x.text, '{PROSE.advisory[0]}'))) > 0 THEN ss ELSE list_append(ss, {{'text': '{PROSE.advice}', 'citations': []}}) END AS ss FROM ex)
+SELECT query_id, CAST(len(ss) AS INTEGER) AS n, array_to_string(list_transform(ss, lambda x: x.text || array_to_string(list_transform(x.citations, lambda c: '[' || c || ']'), '')), ' ') AS answer FROM ad""")
+def extractive_answer(spark, sf, corpus=_small):
+    b, u = corpus(spark, sf)
     found = answers.extractive_answer(search.hybrid_search(b, u)[0], u, answers.token_overlap)
     return answers.with_advice(found, PROSE).select("query_id", F.size("sentences").alias("n"), "answer")
 
 
+def _model(asked: DataFrame) -> DataFrame:
+    """A stand-in for a language model, by the length of its prompt: JSON, text with marks, no
+    sentences, or a failure."""
+    kind = F.length("prompt") % 4
+    text = F.when(kind == 0, '{"sentences": [{"text": "First.", "citations": [1, 9]}, {"text": "Rest with it.", "citations": []}]}').when(kind == 1, "One thing.[2] Another.[7]").when(kind == 2, '{"sentences": []}')
+    return asked.select("query_id", text.alias("text"))
+
+
+@query("generate_answer", f"""WITH {_DENSE}, {_LEX}, {_hybrid()}, {_META}, {_EXTRACT},
+ev AS (SELECT query_id, string_agg('[' || rank || '] (' || title || ')' || CASE WHEN {_CLASS('license')} = 'open' THEN '' ELSE '〔원문 그대로만 인용〕' END || ' ' || b.text, chr(10) ORDER BY rank) AS prompt FROM hits JOIN m USING (doc_id) JOIN b ON b.cidx = hits.cidx GROUP BY 1),
+kd AS (SELECT ev.query_id, (length(prompt) + length(u.text) + {len(answers.PROMPT) - len('{evidence}') - len('{question}')}) % 4 AS kind FROM ev JOIN u ON u.query_id = ev.query_id),
+xa AS (SELECT query_id, CASE WHEN len(list_filter(ss, lambda x: contains(x.text, '{PROSE.advisory[0]}'))) > 0 THEN ss ELSE list_append(ss, {{'text': '{PROSE.advice}', 'citations': []}}) END AS ss FROM ex)
+SELECT kd.query_id, CASE WHEN kind < 3 THEN 'llm' ELSE 'extractive' END AS mode, CASE kind WHEN 0 THEN 'First.[1] Rest with it.' WHEN 1 THEN 'One thing. Another.[2] {PROSE.advice}' WHEN 2 THEN '{T.NO_EVIDENCE}'
+  ELSE coalesce(array_to_string(list_transform(ss, lambda x: x.text || array_to_string(list_transform(x.citations, lambda c: '[' || c || ']'), '')), ' '), '{T.NO_EVIDENCE}') END AS answer
+FROM kd LEFT JOIN xa ON xa.query_id = kd.query_id""")
+def generate_answer(spark, sf, corpus=_small):
+    _, u = corpus(spark, sf)
+    made = answers.generate(_evidence(spark, sf, corpus), u, _model, answers.token_overlap, PROSE)
+    return made.select("query_id", "mode", "answer")
+
+
 def _marked(spark, sf) -> DataFrame:
     """Assistant turns with a citation mark after each sentence, numbered by its length."""
     a = table(spark, sf, "conversations").where("role = 'assistant'")
-    return a.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.regexp_replace("text", r"\. ", F.lit(".[2] ")).alias("text"))
+    return a.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.regexp_replace("text", r"\. ", F.lit(".[2] ")).alias("text"))
 
 
-_MARKED = r"a AS (SELECT conv_id * 1000 + turn AS query_id, regexp_replace(text, '\. ', '.[2] ', 'g') AS text FROM conversations WHERE role = 'assistant')"
+_MARKED = r"a AS (SELECT conv_id || '-' || turn AS query_id, regexp_replace(text, '\. ', '.[2] ', 'g') AS text FROM conversations WHERE role = 'assistant')"
 _PARSED = f"s AS (SELECT query_id, unnest(range(len(p))) AS sidx, unnest(p) AS raw FROM (SELECT query_id, {_SENTENCES('text')} AS p FROM a)), pc AS (SELECT query_id, sidx, {_STRIP(chr(39).join(['regexp_replace(raw, ', chr(92)+'['+chr(92)+'d+'+chr(92)+']', ', ', '', ', ', 'g', ')']))} AS text, len(list_distinct(list_filter(list_transform(regexp_extract_all(raw, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x BETWEEN 1 AND 4))) AS n FROM s)"
 
 
@@ -380,38 +442,57 @@ def render_answer(spark, sf):
     return s.select("query_id", T.render(F.col("s")).alias("answer"))
 
 
-@query("parse_llm_json", "SELECT conv_id * 1000 + turn AS query_id, CASE WHEN turn % 3 = 2 THEN NULL WHEN turn % 3 = 1 THEN 0 ELSE 1 END AS n, CASE WHEN turn % 3 = 0 THEN trim(text) END AS text FROM conversations WHERE trim(text) = text AND text <> '' AND NOT contains(text, '{') AND NOT contains(text, '}')")
+_JSON = f"""
+SELECT conv_id || '-' || turn AS query_id,
+  CASE turn % 5 WHEN 1 THEN 0 WHEN 2 THEN NULL WHEN 4 THEN NULL ELSE CASE WHEN text = '' THEN 0 ELSE 1 END END AS n,
+  CASE WHEN turn % 5 IN (0, 3) AND text <> '' THEN {_STRIP('text')} END AS text
+FROM (SELECT conv_id, turn, coalesce(text, '') || CASE WHEN turn % 2 = 0 THEN ' {{{{x}}}} ' ELSE '' END AS text FROM conversations)"""
+
+
+@query("parse_llm_json", _JSON.replace("{{", "{").replace("}}", "}"))
 def parse_llm_json(spark, sf):
-    a = table(spark, sf, "conversations").where("trim(text) = text and text <> '' and not contains(text, '{') and not contains(text, '}')")
+    """Turns as answers of a model: fenced JSON, JSON without sentences, no JSON, JSON within prose,
+    and JSON that breaks off. Texts may be blank and hold braces."""
+    braces = F.when(F.col("turn") % 2 == 0, " {x} ").otherwise("")
+    a = table(spark, sf, "conversations").withColumn("text", F.concat(F.coalesce("text", F.lit("")), braces))
     body = F.to_json(F.struct(F.array(F.struct("text", F.array(F.lit("1"), F.lit("9")).alias("citations"))).alias("sentences")))
-    raw = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("turn") % 3 == 1, '{"sentences": []}').otherwise("no json")
-    s = a.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), T.parse_llm_json(raw, 4).alias("s"))
+    kind = F.col("turn") % 5
+    raw = (
+        F.when(kind == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(kind == 1, '{"sentences": []}')
+        .when(kind == 2, "no json")
+        .when(kind == 3, F.concat(F.lit("Here it is:\n"), body, F.lit("\nas asked.")))
+        .otherwise(F.concat(F.lit('{"sentences": ['), F.left(body, F.lit(20))))
+    )
+    s = a.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), T.parse_llm_json(raw, 4).alias("s"))
     return s.select("query_id", F.when(F.col("s").isNotNull(), F.size("s")).alias("n"), F.try_element_at("s", F.lit(1))["text"].alias("text"))
 
 
 def _sentences(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Answers to verify: sentences of benchmark passages, each citing its own passage and the
-    next one; every fifth cites nothing."""
+    """Answers to verify: the sentences of each benchmark passage, each citing the passage itself
+    and the next one; every fifth cites nothing."""
     b = table(spark, sf, "benchmark")
-    s = b.select(F.lit(1).cast("long").alias("query_id"), "item_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "text"))
-    s = s.withColumn("sidx", F.col("item_id") * 1000 + F.col("pos"))
-    cites = F.when(F.col("sidx") % 5 == 4, F.array().cast("array<int>")).otherwise(F.array((F.col("item_id") + 1).cast("int"), (F.col("item_id") + 2).cast("int")))
-    return s.select("query_id", "sidx", "text", cites.alias("citations")), b.select(F.lit(1).cast("long").alias("query_id"), (F.col("item_id") + 1).cast("int").alias("rank"), F.col("item_id").alias("doc_id"), "text")
+    s = b.select(F.col("item_id").alias("query_id"), F.posexplode(T.split_sentences(F.col("text"))).alias("sidx", "text"))
+    none = (F.col("query_id") + F.col("sidx")) % 5 == 4
+    cites = F.when(none, F.array().cast("array<int>")).otherwise(F.array(F.lit(1), F.lit(2)))
+    own = b.select(F.col("item_id").alias("query_id"), F.lit(1).alias("rank"), F.col("item_id").alias("doc_id"), "text")
+    after = b.select((F.col("item_id") - 1).alias("query_id"), F.lit(2).alias("rank"), F.col("item_id").alias("doc_id"), "text")
+    return s.select("query_id", "sidx", "text", cites.alias("citations")), own.union(after)
 
 
-_SIM = lambda a, b: f"len(list_intersect(list_distinct({_TOKENS(a)}), list_distinct({_TOKENS(b)}))) / sqrt(greatest(len(list_distinct({_TOKENS(a)})), 1) * greatest(len(list_distinct({_TOKENS(b)})), 1)::DOUBLE)"
 _VERIFY = f"""
-s0 AS (SELECT item_id, unnest(range(len(p))) AS pos, unnest(p) AS sentence FROM (SELECT item_id, {_SENTENCES('text')} AS p FROM benchmark)),
-s AS (SELECT item_id * 1000 + pos AS sidx, sentence, CASE WHEN (item_id * 1000 + pos) % 5 = 4 THEN [] ELSE [item_id + 1, item_id + 2] END AS given FROM s0 WHERE length(sentence) >= 8),
-c AS (SELECT sidx, sentence, unnest(given) AS rank FROM s),
-pr AS (SELECT c.*, b.text AS evidence, {_SIM('sentence', 'b.text')} AS sim, contains(regexp_replace(b.text, '{_WS}+', '', 'g'), regexp_replace(sentence, '{_WS}+', '', 'g')) AS quoted FROM c JOIN benchmark b ON b.item_id + 1 = c.rank),
-cl AS (SELECT sidx, rank, unnest(range(len(k))) AS pos, unnest(k) AS claim, sentence FROM (SELECT sidx, rank, sentence, {_CLAIMS('evidence')} AS k FROM pr)),
+ev AS (SELECT item_id AS query_id, 1 AS rank, item_id AS doc_id, text FROM benchmark UNION ALL SELECT item_id - 1, 2, item_id, text FROM benchmark),
+s0 AS (SELECT item_id AS query_id, unnest(range(len(p))) AS sidx, unnest(p) AS sentence FROM (SELECT item_id, {_SENTENCES('text')} AS p FROM benchmark)),
+s AS (SELECT query_id, sidx, sentence, CASE WHEN (query_id + sidx) % 5 = 4 THEN [] ELSE [1, 2] END AS given FROM s0 WHERE length(sentence) >= 8),
+c AS (SELECT query_id, sidx, sentence, unnest(given) AS rank FROM s),
+pr AS (SELECT c.*, ev.text AS evidence, ev.doc_id, {_SIM('sentence', 'ev.text')} AS sim, contains(regexp_replace(ev.text, '{_WS}+', '', 'g'), regexp_replace(sentence, '{_WS}+', '', 'g')) AS quoted FROM c JOIN ev ON ev.query_id = c.query_id AND ev.rank = c.rank),
+cl AS (SELECT query_id, sidx, rank, unnest(range(len(k))) AS pos, unnest(k) AS claim, sentence FROM (SELECT query_id, sidx, rank, sentence, {_CLAIMS('evidence')} AS k FROM pr)),
 ov AS (SELECT *, len(list_intersect(list_distinct({_TOKENS('sentence')}), list_distinct({_TOKENS('claim')}))) AS ov FROM cl),
-be AS (SELECT *, row_number() OVER (PARTITION BY sidx, rank ORDER BY ov DESC, pos) AS rn FROM ov WHERE ov > 0),
-cf AS (SELECT sidx, rank, ov >= 2 AND {_POLARITY('sentence')} <> 0 AND {_POLARITY('claim')} <> 0 AND {_POLARITY('sentence')} <> {_POLARITY('claim')} AS conflict FROM be WHERE rn = 1),
-jd AS (SELECT pr.sidx, max(sim) AS sim, bool_or(quoted) AS verbatim, bool_or(coalesce(conflict, false)) AS against FROM pr LEFT JOIN cf ON cf.sidx = pr.sidx AND cf.rank = pr.rank GROUP BY 1),
-vr AS (SELECT s.sidx, s.sentence, jd.sim, jd.sidx IS NOT NULL AS cited, coalesce(NOT verbatim AND against, false) AS against, {' OR '.join(f"contains(s.sentence, '{h}')" for h in PROSE.advisory)} AS adv FROM s LEFT JOIN jd ON jd.sidx = s.sidx),
-rows AS (SELECT sidx, sentence, round(sim, 3) AS similarity, CASE WHEN cited THEN sim < 0.45 OR against ELSE NOT adv END AS warn,
+be AS (SELECT *, row_number() OVER (PARTITION BY query_id, sidx, rank ORDER BY ov DESC, pos) AS rn FROM ov WHERE ov > 0),
+cf AS (SELECT query_id, sidx, rank, ov >= 2 AND {_POLARITY('sentence')} <> 0 AND {_POLARITY('claim')} <> 0 AND {_POLARITY('sentence')} <> {_POLARITY('claim')} AS conflict FROM be WHERE rn = 1),
+jd AS (SELECT pr.query_id, pr.sidx, max(sim) AS sim, bool_or(quoted) AS verbatim, bool_or(coalesce(conflict, false)) AS against FROM pr LEFT JOIN cf ON cf.query_id = pr.query_id AND cf.sidx = pr.sidx AND cf.rank = pr.rank GROUP BY 1, 2),
+vr AS (SELECT s.query_id, s.sidx, s.sentence, jd.sim, jd.sidx IS NOT NULL AS cited, coalesce(NOT verbatim AND against, false) AS against, {' OR '.join(f"contains(s.sentence, '{h}')" for h in PROSE.advisory)} AS adv FROM s LEFT JOIN jd ON jd.query_id = s.query_id AND jd.sidx = s.sidx),
+rows AS (SELECT query_id, CAST(sidx AS INTEGER) AS sidx, sentence, round(sim, 3) AS similarity, CASE WHEN cited THEN sim < 0.45 OR against ELSE NOT adv END AS warn,
   CASE WHEN cited AND against THEN 'contradiction' WHEN cited THEN 'grounded' WHEN adv THEN 'advisory' ELSE 'uncited' END AS status, against AS contradiction FROM vr)"""
 
 
@@ -421,32 +502,32 @@ def _verified(spark, sf) -> DataFrame:
 
 @query("verify_sentences", f"WITH {_VERIFY} SELECT * FROM rows")
 def verify_sentences(spark, sf):
-    return _verified(spark, sf).select("sidx", "sentence", "similarity", "warn", "status", "contradiction")
+    return _verified(spark, sf).select("query_id", "sidx", "sentence", "similarity", "warn", "status", "contradiction")
 
 
-@query("verbatim_quote", f"WITH {_VERIFY} SELECT sidx, CAST(rank AS INTEGER) AS rank, quoted FROM pr")
+@query("verbatim_quote", f"WITH {_VERIFY} SELECT query_id, CAST(sidx AS INTEGER) AS sidx, CAST(rank AS INTEGER) AS rank, quoted FROM pr")
 def verbatim_quote(spark, sf):
     s, e = _sentences(spark, sf)
-    s = s.where(F.length("text") >= 8).select("sidx", "text", F.explode("citations").alias("rank"))
-    return s.join(e.select("rank", F.col("text").alias("evidence")), "rank").select("sidx", "rank", T.squash(F.col("evidence")).contains(T.squash(F.col("text"))).alias("quoted"))
+    s = s.where(F.length("text") >= 8).select("query_id", "sidx", "text", F.explode("citations").alias("rank"))
+    return s.join(e.select("query_id", "rank", F.col("text").alias("evidence")), ["query_id", "rank"]).select("query_id", "sidx", "rank", T.squash(F.col("evidence")).contains(T.squash(F.col("text"))).alias("quoted"))
 
 
-@query("negation_conflict", f"WITH {_VERIFY} SELECT pr.sidx, CAST(pr.rank AS INTEGER) AS rank, coalesce(conflict, false) AS conflict FROM pr LEFT JOIN cf ON cf.sidx = pr.sidx AND cf.rank = pr.rank")
+@query("negation_conflict", f"WITH {_VERIFY} SELECT pr.query_id, CAST(pr.sidx AS INTEGER) AS sidx, CAST(pr.rank AS INTEGER) AS rank, coalesce(conflict, false) AS conflict FROM pr LEFT JOIN cf ON cf.query_id = pr.query_id AND cf.sidx = pr.sidx AND cf.rank = pr.rank")
 def negation_conflict(spark, sf):
     s, e = _sentences(spark, sf)
-    s = s.where(F.length("text") >= 8).select("sidx", F.col("text").alias("sentence"), F.explode("citations").alias("rank"))
-    pairs = s.join(e.select("rank", F.col("text").alias("evidence")), "rank").withColumn("pair_id", F.struct("sidx", "rank"))
-    return answers.negation_conflict(pairs, PROSE).select("pair_id.sidx", "pair_id.rank", "conflict")
+    s = s.where(F.length("text") >= 8).select("query_id", "sidx", F.col("text").alias("sentence"), F.explode("citations").alias("rank"))
+    pairs = s.join(e.select("query_id", "rank", F.col("text").alias("evidence")), ["query_id", "rank"]).withColumn("pair_id", F.struct("query_id", "sidx", "rank"))
+    return answers.negation_conflict(pairs, PROSE).select("pair_id.query_id", "pair_id.sidx", "pair_id.rank", "conflict")
 
 
 @query("source_conflict", f"""
 WITH {_DENSE}, {_LEX}, {_hybrid()},
 k AS (SELECT query_id, rank, doc_id, unnest(range(len(c))) AS pos, unnest(c) AS claim FROM (SELECT query_id, rank, doc_id, {_CLAIMS('b.text')} AS c FROM hits JOIN b ON b.cidx = hits.cidx)),
-kp AS (SELECT *, {_POLARITY('claim')} AS pol, list_distinct({_TOKENS('claim')}) AS toks FROM k),
+kp AS (SELECT *, {_POLARITY('claim', _SIDES)} AS pol, list_distinct({_TOKENS('claim')}) AS toks FROM k),
 mt AS (SELECT x.query_id, x.rank AS i, y.rank AS j, x.pos AS p, y.pos AS q, x.claim AS a, y.claim AS c FROM kp x JOIN kp y ON x.query_id = y.query_id AND x.rank < y.rank AND x.doc_id <> y.doc_id AND x.pol <> 0 AND x.pol = -y.pol WHERE len(list_intersect(x.toks, y.toks)) >= 3)
 SELECT query_id, i, j, a AS claim_a, c AS claim_b FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i, j, p, q) AS rn FROM mt) WHERE rn = 1""")
 def source_conflict(spark, sf, corpus=_small):
-    out = answers.source_conflict(search.hybrid_search(*corpus(spark, sf))[0], PROSE)
+    out = answers.source_conflict(search.hybrid_search(*corpus(spark, sf))[0], _SIDES)
     return out.select("query_id", F.col("between")[0].alias("i"), F.col("between")[1].alias("j"), F.col("claims")[0].alias("claim_a"), F.col("claims")[1].alias("claim_b"))
 
 
@@ -488,26 +569,61 @@ def chunk_knn(spark, sf):
     return graph.chunk_knn(_vectors(spark, sf)).withColumn("w", F.round("w", 5))
 
 
-@query("conflict_edges", f"""
-WITH {_UNIT.replace('FROM embeddings', 'FROM embeddings JOIN benchmark ON item_id = vec_id')},
-k AS (SELECT item_id AS cidx, item_id // 4 AS doc_id, unnest(range(len(c))) AS pos, unnest(c) AS claim FROM (SELECT item_id, {_CLAIMS('text')} AS c FROM benchmark)),
-kp AS (SELECT *, {_POLARITY('claim')} AS pol, list_distinct({_TOKENS('claim')}) AS toks FROM k)
-SELECT DISTINCT x.cidx AS a, y.cidx AS b FROM kp x JOIN kp y ON x.cidx < y.cidx AND x.doc_id <> y.doc_id AND x.pol <> 0 AND x.pol = -y.pol JOIN e ON e.vec_id = x.cidx JOIN e f ON f.vec_id = y.cidx
-WHERE len(list_intersect(x.toks, y.toks)) >= 4 AND list_dot_product(e.v, f.v) >= 0.1""")
+_PARTS = "v AS (SELECT vec_id AS cidx, CAST(label AS BIGINT) AS doc_id, text FROM embeddings JOIN benchmark ON item_id = vec_id)"
+_OPPOSED = f"""{_UNIT}, {_PARTS},
+k AS (SELECT cidx, doc_id, unnest(range(len(c))) AS pos, unnest(c) AS claim FROM (SELECT cidx, doc_id, {_CLAIMS('text')} AS c FROM v)),
+kp AS (SELECT *, {_POLARITY('claim', _SIDES)} AS pol, list_distinct({_TOKENS('claim')}) AS toks FROM k),
+cf AS (SELECT DISTINCT x.cidx AS a, y.cidx AS b FROM kp x JOIN kp y ON x.cidx < y.cidx AND x.doc_id <> y.doc_id AND x.pol <> 0 AND x.pol = -y.pol JOIN e ON e.vec_id = x.cidx JOIN e f ON f.vec_id = y.cidx
+  WHERE len(list_intersect(x.toks, y.toks)) >= 4 AND list_dot_product(e.v, f.v) >= -0.3)"""
+
+
+def _parts(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Benchmark passages as chunks of the documents that the labels of their vectors name."""
+    v = _vectors(spark, sf).join(table(spark, sf, "benchmark").withColumnRenamed("item_id", "cidx"), "cidx")
+    chunk = v.select("cidx", F.concat_ws("--", "doc_id", "cidx").alias("chunk_id"), "doc_id", "text")
+    return chunk, v.select("cidx", "doc_id", "v")
+
+
+@query("conflict_edges", f"WITH {_OPPOSED} SELECT a, b FROM cf")
 def conflict_edges(spark, sf):
-    from dataclasses import replace
+    chunk, vectors = _parts(spark, sf)
+    return graph.conflict_edges(chunk, vectors, _SIDES, settings=replace(DEFAULT, conflict_similarity=-0.3))
+
 
-    b, _ = _small(spark, sf)
-    return graph.conflict_edges(b, _vectors(spark, sf).select("cidx", "v"), PROSE, settings=replace(DEFAULT, conflict_similarity=0.1))
+_NEAR = _KNN("SELECT p.vec_id AS a, q.vec_id AS b, list_dot_product(p.v, q.v) AS w FROM e p JOIN e q ON p.doc_id <> q.doc_id JOIN v x ON x.cidx = p.vec_id JOIN v y ON y.cidx = q.vec_id", "vec_id")
 
 
-@query("graph_stats", f"WITH RECURSIVE {_CHUNKS} SELECT 'member' AS kind, count(*) AS n FROM chunks")
+def _graph(spark, sf, limit: int) -> tuple[DataFrame, DataFrame]:
+    chunk, vectors = _parts(spark, sf)
+    docs = chunk.select("doc_id").distinct().select("doc_id", F.concat(F.lit("Label "), "doc_id").alias("title"), *[F.lit(None).cast("string").alias(c) for c in ("publisher", "license", "url")])
+    return graph.knowledge_graph(docs, chunk, vectors, _SIDES, replace(DEFAULT, graph_limit=limit, conflict_similarity=-0.3))
+
+
+@query("graph_nodes", f"""
+WITH {_PARTS} SELECT 'doc:' || doc_id AS id, 'doc' AS type, 'Label ' || doc_id AS label, count(*) AS size FROM v GROUP BY doc_id
+UNION ALL SELECT 'chunk:' || doc_id || '--' || cidx, 'chunk', left(text, 38), NULL FROM v""")
+def graph_nodes(spark, sf):
+    return _graph(spark, sf, 1_000_000)[0].select("id", "type", "label", "size")
+
+
+@query("graph_stats", f"""
+WITH {_OPPOSED}, kn AS (WITH {_NEAR})
+SELECT 'member' AS kind, count(*) AS n FROM v UNION ALL SELECT 'xsim', count(*) FROM kn UNION ALL SELECT 'conflict', count(*) FROM cf""")
 def graph_stats(spark, sf):
-    return graph.graph_stats(graph.member_edges(chunks(spark, sf)))
+    """Edges by kind of the graph with chunks."""
+    return graph.graph_stats(_graph(spark, sf, 1_000_000)[1])
+
+
+@query("graph_doc_level", f"""
+WITH {_DOCV.replace('FROM embeddings', 'FROM embeddings JOIN benchmark ON item_id = vec_id')}, kn AS (WITH {_KNN('SELECT p.doc_id AS a, q.doc_id AS b, sum(p.x * q.x) AS w FROM dv p JOIN dv q ON p.i = q.i AND p.doc_id <> q.doc_id GROUP BY 1, 2', 'doc_id')})
+SELECT 'doc:' || a AS s, 'doc:' || b AS t, 'xsim' AS kind, round(w, 3) + 0.0 AS w FROM kn""")
+def graph_doc_level(spark, sf):
+    """The graph of a corpus with too many chunks to show: its documents alone."""
+    return _graph(spark, sf, 10)[1].withColumn("w", F.col("w") + 0.0)
 
 
 # -- accounting and evaluation -----------------------------------------------------------------
-_CITED = f"{_VERIFY}, cc AS (SELECT rank - 1 AS doc_id, count(*) AS cited FROM (SELECT DISTINCT sidx, rank FROM c) JOIN benchmark b ON b.item_id = rank - 1 GROUP BY 1)"
+_CITED = f"{_VERIFY}, cc AS (SELECT doc_id, count(*) AS cited FROM (SELECT DISTINCT query_id, sidx, rank, doc_id FROM pr) GROUP BY 1)"
 
 
 def _counts(spark, sf) -> DataFrame:
@@ -545,9 +661,8 @@ def toggle_sources(spark, sf):
 
 def _relevant(spark, sf) -> DataFrame:
     """Documents that hold a benchmark passage, by containment without white space."""
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.squash(F.col("text")).alias("p"))
-    d = table(spark, sf, "documents").select("doc_id", T.squash(F.col("text")).alias("t"))
-    return d.join(q, F.col("t").contains(F.col("p"))).select("query_id", "doc_id")
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return accounting.containing(q, bodies(spark, sf))
 
 
 _RELEVANT = f"rel AS (SELECT b.item_id AS query_id, t.doc_id FROM (SELECT item_id, regexp_replace(text, '{_WS}+', '', 'g') AS p FROM benchmark) b JOIN (SELECT doc_id, regexp_replace(text, '{_WS}+', '', 'g') AS t FROM documents) t ON contains(t.t, b.p))"
@@ -559,16 +674,25 @@ bs AS (SELECT rel.query_id, min(rank) AS best FROM rel LEFT JOIN (SELECT * FROM
 SELECT count(*) AS n, round(avg(CASE WHEN best IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(coalesce(1.0 / best, 0)), 6) AS mrr FROM bs""")
 def recall_mrr(spark, sf):
     _, _, scores = _bm25(spark, sf)
-    hits = lexical.top_ranked(scores, "bm25", DEFAULT.pool, "rank").withColumn("doc_id", F.call_function("div", "cidx", F.lit(1_000_000)))
+    hits = lexical.top_ranked(scores, "bm25", DEFAULT.pool, "rank").withColumn("doc_id", F.col("cidx.doc_id"))
     return accounting.recall_mrr(hits, _relevant(spark, sf)).select("n", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
 
 
 @query("refusal_rates", f"""WITH {_DENSE}, {_LEX}, {_hybrid()}, {_SIGNALS},
-oc AS (SELECT query_id, query_id % 2 = 0 AS neg, n = 0 OR dense_top < 0.06 AS ref FROM sg)
+ng AS (SELECT doc_id FROM labels WHERE toxic = 1),
+oc AS (SELECT query_id, CAST(split_part(query_id, '-', 1) AS BIGINT) IN (SELECT doc_id FROM ng) AS neg, n = 0 OR dense_top < 0.06 AS ref FROM sg)
 SELECT round(count(*) FILTER (neg AND ref) / greatest(count(*) FILTER (neg), 1), 6) AS refusal_recall, round(count(*) FILTER (NOT neg AND ref) / greatest(count(*) FILTER (NOT neg), 1), 6) AS false_refusal FROM oc""")
 def refusal_rates(spark, sf, corpus=_small):
+    """Questions that should be refused: those of conversations labelled toxic; over the documents,
+    those whose passage no document holds."""
     s = search.hybrid_search(*corpus(spark, sf))[1]
-    out = accounting.refusal_rates(s.select("query_id", (F.col("query_id") % 2 == 0).alias("is_negative"), search.refused(bm25_available=False).alias("refused")))
+    if corpus is _small:
+        negative = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("no")).distinct()
+        s = s.join(negative, F.split_part("query_id", F.lit("-"), F.lit(1)).cast("long") == F.col("no"), "left").withColumn("is_negative", F.col("no").isNotNull())
+    else:
+        held = _relevant(spark, sf).select("query_id").distinct().withColumn("held", F.lit(True))
+        s = s.join(held, "query_id", "left").withColumn("is_negative", F.col("held").isNull())
+    out = accounting.refusal_rates(s.select("query_id", "is_negative", search.refused(bm25_available=False).alias("refused")))
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
@@ -580,7 +704,7 @@ def faithfulness(spark, sf):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@query("answer_summary", f"WITH {_VERIFY} SELECT CAST(1 AS BIGINT) AS query_id, count(*) FILTER (status = 'contradiction') AS n_contradiction, count(*) FILTER (warn AND status = 'grounded') AS n_weak, count(*) FILTER (status = 'uncited') AS n_uncited FROM rows")
+@query("answer_summary", f"WITH {_VERIFY} SELECT query_id, count(*) FILTER (status = 'contradiction') AS n_contradiction, count(*) FILTER (warn AND status = 'grounded') AS n_weak, count(*) FILTER (status = 'uncited') AS n_uncited FROM rows GROUP BY 1")
 def answer_summary(spark, sf):
     return accounting.answer_summary(_verified(spark, sf))
 
@@ -630,6 +754,36 @@ def feedback_log(spark, sf):
     return feedback.from_log(lines, "event_id long, rating string, comment string").select("event_id", "rating", F.coalesce(T.cut_text(F.col("comment"), 500), F.lit("")).alias("comment"))
 
 
+@query("embedding_search")
+def embedding_search(spark, sf):
+    """Hybrid search with vectors of an encoder: here hashed words, in place of a model."""
+    b, u = _whole(spark, sf)
+    hits, _ = search.hybrid_search(b, u, encode=lambda rows, kind: dense.encoded(rows, hashed_words, kind))
+    return _hits(hits)
+
+
+def hashed_words(texts: list[str]):
+    """A stand-in for a bi-encoder: 64 buckets of words, of the text without its prefix."""
+    import zlib
+
+    import numpy as np
+
+    out = np.zeros((len(texts), 64))
+    for i, t in enumerate(texts):
+        for w in t.split(": ", 1)[-1].lower().split():
+            out[i, zlib.crc32(w.encode()) % 64] += 1
+    return out
+
+
+@query("ask_documents")
+def ask_documents(spark, sf):
+    """Questions to verified answers over the documents."""
+    b, u = _whole(spark, sf)
+    out = ask.ask(b, _meta(spark, sf, _whole), u, lexicon=PROSE)
+    n = out.verification.groupBy("query_id").agg(F.count("*").alias("n_checked"))
+    return out.answers.join(n, "query_id", "left").select("query_id", "refused", "mode", "answer", F.coalesce("n_checked", F.lit(0)).alias("n_checked"))
+
+
 # -- the same over the documents: no SQL, DuckDB is too slow for the grams of all chunks --------
 def _over_documents(f):
     def run(spark, sf):
@@ -640,7 +794,7 @@ def _over_documents(f):
 
 for _f in (
     tfidf_charwb_topk, hybrid_search, rrf_fuse, search_excluding_sources, query_signals, refusal_decision, evidence_payload, numbered_evidence,
-    source_conflict, refusal_rates,
+    source_conflict, refusal_rates, extractive_answer,
 ):
     _over_documents(_f)
 

@@ -27,6 +27,12 @@ def sf(spark, tmp_path_factory):
     return d
 
 
+def place(r):
+    """The number by which this file names a chunk."""
+    doc, i = r["chunk_id"].split("--")
+    return int(doc) * 1_000_000 + int(i)
+
+
 def chunked():
     out = {}
     for d, t, _ in DOCS:
@@ -86,9 +92,9 @@ def test_search_ranks_chunks_of_documents(spark, sf):
     for name, off in (("hybrid_search_documents", ()), ("search_excluding_sources_documents", (3, 6))):
         got = {}
         for r in QUERIES[name](spark, sf).orderBy("query_id", "rank").collect():
-            got.setdefault(r["query_id"], []).append(r["cidx"])
-            assert r["doc_id"] == r["cidx"] // 1_000_000
-            assert r["score"] == pytest.approx(dense[r["query_id"], r["cidx"]], abs=1e-6) and r["bm25_score"] == pytest.approx(lex[r["query_id"], r["cidx"]], abs=1e-6)
+            got.setdefault(r["query_id"], []).append(place(r))
+            assert r["doc_id"] == place(r) // 1_000_000
+            assert r["score"] == pytest.approx(dense[r["query_id"], place(r)], abs=1e-6) and r["bm25_score"] == pytest.approx(lex[r["query_id"], place(r)], abs=1e-6)
         assert got == fused(off)
 
 
@@ -100,7 +106,7 @@ def test_signals_and_answers_come_from_documents(spark, sf):
     assert {r["query_id"]: r["refused"] for r in QUERIES["refusal_decision_documents"](spark, sf).collect()} == {0: False, 1: False, 2: True}
     payload = QUERIES["evidence_payload_documents"](spark, sf).collect()
     assert {r["title"] for r in payload} <= {f"Document {d}" for d, _, _ in DOCS} and any(r["lic_class"] == "open" for r in payload)
-    answers = {r["query_id"]: r["answer"] for r in QUERIES["extractive_answer"](spark, sf).collect()}
+    answers = {r["query_id"]: r["answer"] for r in QUERIES["extractive_answer_documents"](spark, sf).collect()}
     assert "harbours" in answers[1]
-    best = {r["query_id"]: r["cidx"] for r in QUERIES["tfidf_charwb_topk_documents"](spark, sf).where("rank = 1").collect()}
+    best = {r["query_id"]: place(r) for r in QUERIES["tfidf_charwb_topk_documents"](spark, sf).where("rank = 1").collect()}
     assert best == {q: max(chunked(), key=lambda c: dense[q, c]) for q in (0, 1)}

@@ -57,6 +57,88 @@ def test_state_tables(spark, tmp_path):
     assert feedback.read_state(spark, path, "doc_id string").count() == 2
 
 
+def test_questions_that_repeat_stay_apart(spark, tmp_path):
+    (tmp_path / "q.jsonl").write_text('{"question": "a", "relevant_doc": "d"}\n{"question": "a", "relevant_doc": "e"}\n')
+    got = feedback.read_questions(spark, str(tmp_path / "q.jsonl")).collect()
+    assert len({r["query_id"] for r in got}) == 2 and {tuple(r["relevant_docs"]) for r in got} == {("d",), ("e",)}
+
+
+def test_a_broken_state_leaves_the_one_before(spark, tmp_path):
+    path = str(tmp_path / "s")
+    for names in (["a"], ["a", "b"], ["c"]):
+        feedback.write_state(spark.createDataFrame([(n,) for n in names], "doc_id string"), path)
+    spark.createDataFrame([("x",)], "doc_id string").write.parquet(f"{path}/version-000000000009-broken")
+    (tmp_path / "s/version-000000000009-broken/_SUCCESS").unlink()
+    assert [r["doc_id"] for r in feedback.read_state(spark, path, "doc_id string").collect()] == ["c"]
+    feedback.write_state(spark.createDataFrame([("d",)], "doc_id string"), path)
+    assert [r["doc_id"] for r in feedback.read_state(spark, path, "doc_id string").collect()] == ["d"]
+
+
+def test_two_files_of_one_stem(spark, tmp_path):
+    (tmp_path / "a.md").write_text("first", encoding="utf-8")
+    with zipfile.ZipFile(tmp_path / "a.hwpx", "w") as z:
+        z.writestr("Contents/section0.xml", "<p>other</p>")
+    docs, skipped = documents.read_documents(spark, str(tmp_path))
+    assert [(r["doc_id"], r["body"]) for r in docs.collect()] == [("a", "first")]
+    assert [r["path"].rsplit("/", 1)[1] for r in skipped.collect()] == ["a.hwpx"]
+
+
+def test_missing_libraries_and_programs_skip_the_file(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 broken")
+    (tmp_path / "b.hwp").write_bytes(b"broken")
+    (tmp_path / "c.md").write_text("good", encoding="utf-8")
+    docs, skipped = documents.read_documents(spark, str(tmp_path))
+    assert [r["doc_id"] for r in docs.collect()] == ["c"] and {r["path"][-5:] for r in skipped.collect()} == {"a.pdf"[-5:], "b.hwp"[-5:]}
+
+
+def test_pages_and_sections_are_joined(monkeypatch, spark):
+    monkeypatch.setitem(documents.READERS, "pdf", lambda b: ["one", "two"])
+    files = spark.createDataFrame([("x/a.pdf", "pdf", bytearray(b"x"))], "path string, ext string, content binary")
+    assert documents.BETWEEN["pdf"].join(documents.READERS["pdf"](b"")) == "one\n\ntwo" and documents.extracted(files).count() == 1
+
+
+def test_collected_articles_are_read_again(spark, tmp_path):
+    folder = tmp_path / "pack"
+    folder.mkdir()
+    (folder / "portal_9_old.md").write_text("gone", encoding="utf-8")
+    (folder / "mine.md").write_text("title: mine\n---\nstays", encoding="utf-8")
+    body = "영유아 모유 이유식 이야기. " * 60
+    rows = [("1", "열: 이 나는/아기", body), ("2", "다른 글", "x" * 900)]
+    kept = documents.collect_articles(spark.createDataFrame(rows, "sn string, title string, body string"), str(folder), "공공누리", "https://portal.example")
+    assert [r["sn"] for r in kept.collect()] == ["1"]
+    docs, skipped = documents.read_documents(spark, str(folder))
+    got = {r["doc_id"]: r for r in docs.collect()}
+    assert set(got) == {"mine", "portal_1_열_이_나는아기"} and skipped.count() == 0
+    new = got["portal_1_열_이_나는아기"]
+    assert new["meta"]["title"] == rows[0][1] and new["meta"]["license"] == "공공누리" and new["body"] == body.strip()
+
+
+def test_feedback_stream_appends_each_row_once(spark, tmp_path):
+    lines = tmp_path / "log"
+    lines.mkdir()
+    for i in range(2):
+        (lines / f"{i}.txt").write_text(f'noise\n12:00 [FEEDBACK] {{"question": "{"q" * 600}{i}", "rating": "up"}}\n', encoding="utf-8")
+        q = feedback.stream_feedback(feedback.from_log(spark.readStream.text(str(lines))), str(tmp_path / "out"), str(tmp_path / "cp"), availableNow=True)
+        q.awaitTermination()
+    got = spark.read.json(str(tmp_path / "out")).collect()
+    assert len(got) == 2 and all(len(r["question"]) == 500 and r["ts"] for r in got)
+
+
+def drive(*pieces):
+    held, passed, refused, out = "", False, False, []
+    for i, piece in enumerate(pieces):
+        held, passed, refused, events = gate.step(held, passed, refused, piece, i == len(pieces) - 1)
+        out += events
+    return out
+
+
+def test_gate_refuses_blank_answers_and_ends_short_ones():
+    assert drive("  ") == [("refused", "")] and drive("") == [("refused", "")] and drive(" ", "\n", "") == [("refused", "")]
+    assert drive("Yes") == [("delta", "Yes")] and drive(" " * 20) == [("delta", " " * 20)]
+    assert drive("  __NO_ANSWER__") == [("refused", "")] and drive("__NO_ANSWER__ but") == [("refused", "")]
+    assert gate.cites("a [2]", 2) and not gate.cites("a [3] [0]", 2) and not gate.cites("[99999999999999]", 2)
+
+
 def test_gate_holds_back_a_split_sentinel():
     held, passed, refused, out = "", False, False, []
     for piece in ("__NO_", "ANSWER", "__"):
