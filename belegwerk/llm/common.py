@@ -6,15 +6,14 @@ are single bytes in UTF-8, so words are found on the bytes of a whole Arrow batc
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.store import fresh_path, least_hashed, written  # noqa: F401  for the operators
+
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 21
 
@@ -29,6 +28,10 @@ _RNG = np.random.default_rng(0x5EED)
 _BYTE_KEYS = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | _U(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 2**64)
+#: A second family of keys and multipliers, for hashes of 128 bits.
+_OTHER_KEYS = np.random.default_rng(0xD15C).integers(0, 2**64, 256, dtype=np.uint64) | _U(1)
+_OTHER = 0xC2B2AE3D27D4EB4F | 1
+_OTHER_INV = pow(_OTHER, -1, 2**64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -36,28 +39,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local
-    session takes a folder under /tmp and a cluster one under its warehouse."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known and spark.sparkContext.master.startswith("local"):
-        known = os.path.join(tempfile.gettempdir(), "belegwerk-shared")
-    return (known or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/belegwerk"
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, lost executors
-    cost nothing, and the reader knows the size."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser on 64 bits."""
     x = x ^ (x >> _U(30))
@@ -95,13 +76,15 @@ class Words:
         #: words of document i: self.at[i] to self.at[i + 1]
         self.at = np.searchsorted(self.starts, bounds)
 
-    def hashes(self, table: np.ndarray = PLAIN) -> np.ndarray:
+    def hashes(self, table: np.ndarray = PLAIN, other: bool = False) -> np.ndarray:
         """A 64-bit hash of each word, its bytes seen through ``table``: a polynomial over keyed
-        bytes from one prefix sum, moved to a common origin, then mixed with the length."""
+        bytes from one prefix sum, moved to a common origin, then mixed with the length. ``other``
+        gives one of other keys."""
+        keys, base, inverse = (_OTHER_KEYS, _OTHER, _OTHER_INV) if other else (_BYTE_KEYS, _BASE, _BASE_INV)
         n = len(self.data)
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_KEYS[table][self.data] * _powers(_BASE, n), out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * _powers(_BASE_INV, n)[self.starts]
+        np.cumsum(keys[table][self.data] * _powers(base, n), out=sums[1:])
+        h = (sums[self.ends] - sums[self.starts]) * _powers(inverse, n)[self.starts]
         return mix(h + (self.ends - self.starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
@@ -139,12 +122,13 @@ def pair_hash(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
-def rolled(h: np.ndarray, k: int) -> np.ndarray:
+def rolled(h: np.ndarray, k: int, other: bool = False) -> np.ndarray:
     """As ``chained``, in a fixed number of passes for any ``k``: a polynomial over the word
     hashes from one prefix sum, each window moved to a common origin."""
     if len(h) < k:
         return h[:0]
+    base, inverse = (_OTHER, _OTHER_INV) if other else (_BASE, _BASE_INV)
     n = len(h)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(h * _powers(_BASE, n), out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * _powers(_BASE_INV, n)[: n - k + 1] + _U(k))
+    np.cumsum(h * _powers(base, n), out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * _powers(inverse, n)[: n - k + 1] + _U(k))

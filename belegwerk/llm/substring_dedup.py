@@ -7,9 +7,9 @@
    that follow each other are joined where the way neither branches nor merges. Paths are
    compacted by pointer jumping in Spark joins, and the occurrences of a path in a document
    become one span of source coordinates.
-3. Verification. Inside the spans, and only there, each 50-word window is hashed from the source
-   and the smallest document that holds it is found by a combining minimum. Words under a window
-   that a smaller document holds go.
+3. Verification. Inside the spans, and only there, each 50-word window is hashed from the source,
+   to 128 bits from two hashes of words, and the smallest document that holds it is found by a
+   combining minimum. Words under a window that a smaller document holds go.
 
 What moves between tasks are hashes and coordinates of repeated spans, and each text once for
 its spans and once for its cuts. No group is gathered: hot hashes meet only combining
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..plans.ship import map_arrow
 from .common import pair_hash, rolled, steps, written
@@ -70,28 +71,29 @@ def _profile(window: int, kmer: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array(n_words, pa.int64()),
                         pa.array(digests, pa.binary()),
                         pa.array(places, pa.list_(pa.int32())),
                         pa.array(marks, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_words", "digest", "places", "marks"],
+                    ["doc_id", "version", "n_words", "digest", "places", "marks"],
                 )
 
     return run
 
 
 def _windows(window: int):
-    """(doc_id, text, spans) -> the window hashes of each span, as runs from a first place."""
+    """(doc_id, text, version, spans) -> the window hashes of each span, as runs from a first place."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                docs, firsts, runs = [], [], []
-                spans = part.column(2)
+                rows, firsts, runs, others = [], [], [], []
+                spans = part.column(3)
                 for i, j, words in steps(part.column(1)):
-                    grams = rolled(words.hashes(), window)
+                    grams, more = rolled(words.hashes(), window), rolled(words.hashes(other=True), window, other=True)
                     for d in range(j - i):
                         a, n = int(words.at[d]), int(words.at[d + 1] - words.at[d])
                         last = n - window
@@ -102,11 +104,14 @@ def _windows(window: int):
                             elif s[0] <= s[1]:
                                 merged.append(list(s))
                         for s, e in merged:
-                            docs.append(part.column(0)[i + d].as_py())
+                            rows.append(i + d)
                             firsts.append(s)
                             runs.append(grams[a + s : a + e + 1].view(np.int64))
+                            others.append(more[a + s : a + e + 1].view(np.int64))
+                at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(firsts, pa.int32()), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "first", "run"]
+                    [part.column(0).take(at), part.column(2).take(at), pa.array(firsts, pa.int32()), pa.array(runs, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.int64()))],
+                    ["doc_id", "version", "first", "run", "other"],
                 )
 
     return run
@@ -136,21 +141,21 @@ def _paths(steps_: DataFrame, label: str) -> DataFrame:
             return settled
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> tuple[DataFrame, DataFrame]:
-    """(profile, cuts): per row doc_id and n_words; per document what goes: ``whole`` for a later
-    copy of a whole word sequence, else the first places of the windows that an earlier one has."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = written(
-        map_arrow(texts, _profile(window, kmer), "doc_id long, n_words long, digest binary, places array<int>, marks array<long>"), "sub-profile"
-    )
+def repeated_windows(texts: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
+    """``texts(doc_id, text, version)``, a version being a hash of the text -> (doc_id, version, whole,
+    windows): what goes of a text, all of it for a later copy of a whole word sequence, else the
+    first places of the windows that a document of a smaller id has."""
+    row = ["doc_id", "version"]
+    made = map_arrow(texts, _profile(window, kmer), "doc_id long, version long, n_words long, digest binary, places array<int>, marks array<long>")
+    made = written(made, "sub-profile")
     some = made.where("digest is not null and doc_id is not null")
     first = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "sub-first")
-    copies = some.select("doc_id", "digest").join(first, "digest").where("doc_id > rep").select("doc_id").distinct()
+    copies = some.select(*row, "digest").join(first, "digest").where("doc_id > rep").select(*row).distinct()
     copies = written(copies, "sub-copies")
-    alone = some.join(copies, "doc_id", "left_anti")
+    alone = some.join(copies, row, "left_anti")
     occurs = alone.select(
-        "doc_id", F.posexplode(F.arrays_zip("places", "marks", F.slice("marks", 2, F.size("marks")).alias("then"))).alias("at", "x")
-    ).select("doc_id", "at", F.col("x.places").alias("place"), F.col("x.marks").alias("mark"), F.col("x.then").alias("following"))
+        *row, F.posexplode(F.arrays_zip("places", "marks", F.slice("marks", 2, F.size("marks")).alias("then"))).alias("at", "x")
+    ).select(*row, "at", F.col("x.places").alias("place"), F.col("x.marks").alias("mark"), F.col("x.then").alias("following"))
     often = written(
         occurs.groupBy("mark").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("mark"), "sub-often"
     )
@@ -158,32 +163,34 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) ->
     ways = occurs.where("following is not null").join(often.withColumnRenamed("mark", "following"), "following", "left_semi")
     paths = _paths(ways.select("mark", "following"), "sub-paths")
     placed = occurs.join(paths, "mark", "left").select(
-        "doc_id", "at", "place", F.coalesce("head", "mark").alias("head"), F.coalesce("depth", F.lit(0)).alias("depth")
+        *row, "at", "place", F.coalesce("head", "mark").alias("head"), F.coalesce("depth", F.lit(0)).alias("depth")
     )
-    spans = placed.groupBy("doc_id", "head", (F.col("at") - F.col("depth")).alias("lane")).agg(
+    spans = placed.groupBy(*row, "head", (F.col("at") - F.col("depth")).alias("lane")).agg(
         (F.min("place") - (window - kmer)).alias("low"), F.max("place").alias("high")
     )
-    spans = written(spans.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "sub-spans")
-    held = map_arrow(texts.join(spans, "doc_id"), _windows(window), "doc_id long, first int, run array<long>")
+    spans = written(spans.groupBy(*row).agg(F.collect_list(F.struct("low", "high")).alias("spans")), "sub-spans")
+    held = map_arrow(texts.join(spans, row).select("doc_id", "text", "version", "spans"), _windows(window), "doc_id long, version long, first int, run array<long>, other array<long>")
     held = written(held, "sub-windows")
-    each = held.select("doc_id", "first", F.posexplode("run").alias("i", "hash")).select("doc_id", (F.col("first") + F.col("i")).alias("place"), "hash")
-    owner = each.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("y")).where("owner < y").select("hash", "owner")
+    each = held.select(*row, "first", F.posexplode(F.arrays_zip("run", "other")).alias("i", "h"))
+    each = each.select(*row, (F.col("first") + F.col("i")).alias("place"), F.col("h.run").alias("hash"), F.col("h.other").alias("more"))
+    owner = each.groupBy("hash", "more").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("y")).where("owner < y").select("hash", "more", "owner")
     owner = written(owner, "sub-owner")  # so that the join has an exchange of its own on either side, which may be split
-    gone = each.join(owner, "hash").where("doc_id > owner")
-    cut = gone.groupBy("doc_id").agg(F.collect_list("place").alias("windows")).select("doc_id", F.lit(False).alias("whole"), "windows")
-    whole = copies.select("doc_id", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("windows"))
-    return made.select("doc_id", "n_words"), written(cut.union(whole), "sub-cuts")
+    gone = each.join(owner, ["hash", "more"]).where("doc_id > owner")
+    cut = gone.groupBy(*row).agg(F.collect_list("place").alias("windows")).select(*row, F.lit(False).alias("whole"), "windows")
+    whole = copies.select(*row, F.lit(True).alias("whole"), F.array().cast("array<int>").alias("windows"))
+    return written(cut.union(whole), "sub-cuts")
 
 
-def _cut(window: int, keep_text: bool):
-    """(doc_id, text, whole, windows) -> counts and the words kept, joined by one space."""
+def _cut(window: int, keep_text: bool, carry: str | None):
+    """(doc_id, row, whole, windows), text in the row -> counts and the words kept, joined by one space."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 counts, removed, digests, kept = [], [], [], []
-                whole, windows, source = part.column(2), part.column(3), part.column(1)
+                given, whole, windows = part.column(1), part.column(2), part.column(3)
+                source = given.field("text").cast(pa.string())
                 for i, j, words in steps(source):
                     raw = words.data.tobytes()
                     for d in range(j - i):
@@ -210,22 +217,30 @@ def _cut(window: int, keep_text: bool):
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
                 if keep_text:
                     out, names = [*out, pa.array(kept, pa.string())], [*names, "kept_text"]
+                if carry:
+                    out, names = [*out, given], [*names, carry]
                 yield pa.RecordBatch.from_arrays(out, names)
 
     return run
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, keep_text: bool = True) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> doc_id, n_words, n_removed, kept_sha256 (, kept_text).
+def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, keep_text: bool = True, carry: str | None = None) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> doc_id, n_words, n_removed, kept_sha256 (, kept_text) (, the
+    row of ``docs`` as a struct named ``carry``).
 
     A word goes when it lies in ``window`` consecutive words that also stand in a document with a
     smaller doc_id; all windows are judged on the input. kept_sha256 is of the kept words joined
     by one space. kept_text is that string, or the text as it was where nothing goes (null stays
     null). Null, blank and short texts have no window and lose nothing. Repeats inside one
-    document, or among rows of one doc_id, are no reason; rows without a doc_id lose nothing.
-    Other columns are ignored; an empty table gives an empty result.
+    document, or among rows of one doc_id, are no reason; rows of one doc_id with different texts
+    are cut each by itself; rows without a doc_id lose nothing. Other columns are ignored, or only
+    carried along; an empty table gives an empty result.
     """
-    _, cuts = repeated_windows(docs, window, kmer)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return map_arrow(texts.join(cuts, "doc_id", "left"), _cut(window, keep_text), schema)
+    text = F.col("text").cast("string")
+    given = docs.select(F.struct(*(docs.columns if carry else ["text"])).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"))
+    cuts = repeated_windows(texts, window, kmer)
+    fields = [StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())]
+    fields += [StructField("kept_text", StringType())] * keep_text + ([StructField(carry, given.schema["row"].dataType)] if carry else [])
+    joined = given.join(cuts, ["doc_id", "version"], "left").select("doc_id", "row", "whole", "windows")
+    return map_arrow(joined, _cut(window, keep_text, carry), StructType(fields))
