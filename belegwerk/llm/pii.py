@@ -13,30 +13,41 @@ zipped together again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-EPOCH, DAYS = "1900-01-01", (319, 229)  # 319 * 229 days: 1900-01-01 to 2099-12-31
+#: Days from 0001-01-01 to 9999-12-31, and those of them that are permuted among themselves as
+#: recent: 319 * 229 from 1900-01-01 on, to 2100-01-02. The others number 27961 * 128.
+EPOCH, RECENT, DAYS = "0001-01-01", 693595, 3652059
+RECENT_HALVES, OTHER_HALVES = (319, 229), (27961, 128)
+#: The setting that holds the key where the caller gives none.
+KEY_SETTING = "spark.belegwerk.pseudonym.key"
+#: A published key, for the queries over invented tables, where a session sets none.
+TABLE_KEY = "invented tables need no secret"
 
 #: One pattern per kind. None can start inside a run that it could have started before, so the
 #: search is linear in the text.
-SECRET = r'(?i:\b(?:api[_-]?key|token|secret|password)\s{0,4}[=:]\s{0,4}"[^"\s]{4,256}")'
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
+_NAMED = r"(?i:\b(?:api[_-]?key|token|secret|password)\s*+[=:]\s*+)"
+SECRET = _NAMED + r"""(?:"[^"\n]++"|'[^'\n]++'|(?=[^\s"',;]*[0-9])(?=[^\s"',;]*[A-Za-z])[A-Za-z0-9_.+/=~-]{8,}+)"""
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IPV4 = r"(?<![\w.])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}(?![\w]|\.[0-9])"
 DATE = r"(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w-])"
+#: With a country code, or as in North America.
 PHONE = r"(?<![\w+])\+[0-9]{1,3} ?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ -][0-9]{3}[ -][0-9]{4}(?![0-9])"
+LOCAL = r"(?<![\w.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![\w-]|\.[0-9])"
 SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
+IBAN = r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?+(?!\w)"
 #: A run of whole digit groups, of which cards are found later; no group starts another kind.
 _GROUP = r"[0-9]++(?!\w|-(?![0-9]))"
-CARD = rf"(?<![\w.+-])(?=[0-9](?:[ -]?[0-9]){{12}}){_GROUP}(?:[ -](?!{EMAIL}|{IPV4}|{DATE}|{SSN}){_GROUP})*+"
+CARD = rf"(?<![\w.+-])(?=[0-9](?:[ -]?[0-9]){{12}}){_GROUP}(?:[ -](?!{EMAIL}|{IPV4}|{DATE}|{LOCAL}|{SSN}){_GROUP})*+"
 #: The usual groupings of a card number; they win over chance ones.
 SHAPED = "^(?:[0-9]+|[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\\2[0-9]{4,5})$"
-CANDIDATE = "|".join((SECRET, EMAIL, IPV4, DATE, PHONE, SSN, CARD))
+CANDIDATE = "|".join((SECRET, EMAIL, IPV4, DATE, PHONE, LOCAL, SSN, IBAN, CARD))
 
 
-def feistel(value: Column, left: Column, right: Column, key: str, tweak: str) -> Column:
-    """A keyed permutation of 0 <= value < left * right, for columns of positive longs."""
+def _turned(halves: Column, left: Column, right: Column, key: str, tweak: str, shown) -> Column:
+    """The rounds on the halves (a, b), 0 <= a < left and 0 <= b < right."""
 
     def turn(acc: Column, i: Column) -> Column:
         even = i % 2 == 0
@@ -48,8 +59,13 @@ def feistel(value: Column, left: Column, right: Column, key: str, tweak: str) ->
             F.when(even, acc["b"]).otherwise((acc["b"] + shift % right) % right).alias("b"),
         )
 
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves, turn, shown)
+
+
+def feistel(value: Column, left: Column, right: Column, key: str, tweak: str) -> Column:
+    """A keyed permutation of 0 <= value < left * right, for columns of positive longs."""
     halves = F.struct(_div(value, right).alias("a"), (value % right).alias("b"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves, turn, lambda acc: acc["a"] * right + acc["b"])
+    return _turned(halves, left, right, key, tweak, lambda acc: acc["a"] * right + acc["b"])
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -89,10 +105,12 @@ def _filled(shape: Column, digits: Column) -> Column:
 
 
 def _permuted_digits(digits: Column, key: str, tweak: str) -> Column:
-    """Digit strings of 2 to 18 places onto strings of the same length."""
+    """Digit strings of 2 to 36 places onto strings of the same length."""
     n = F.length(digits)
-    high = F.floor(n / 2)
-    return F.lpad(feistel(digits.cast("long"), _ten(high), _ten(n - high), key, tweak).cast("string"), n.cast("int"), "0")
+    high = F.floor(n / 2).cast("int")
+    halves = F.struct(F.substr(digits, F.lit(1), high).cast("long").alias("a"), F.substr(digits, high + 1).cast("long").alias("b"))
+    padded = lambda acc: F.concat(F.lpad(acc["a"].cast("string"), high, "0"), F.lpad(acc["b"].cast("string"), n - high, "0"))
+    return _turned(halves, _ten(high), _ten(n - high), key, tweak, padded)
 
 
 def _card(x: Column, key: str) -> Column:
@@ -110,7 +128,7 @@ def _let(value: Column, body) -> Column:
 
 def _phone(x: Column, key: str) -> Column:
     """The country code stays, so a number stays one of its country."""
-    head = F.regexp_extract(x, r"^\+[0-9]{1,3}", 0)
+    head = F.regexp_extract(x, r"^(?:\+[0-9]{1,3})?", 0)
     rest = F.substr(x, F.length(head) + 1)
     return F.concat(head, _filled(rest, _permuted_digits(_digits(rest), key, "phone")))
 
@@ -155,24 +173,66 @@ def _day(x: Column) -> Column:
 
 
 def _date(x: Column, key: str) -> Column:
-    left, right = (F.lit(n).cast("long") for n in DAYS)
-    day = F.date_add(F.lit(EPOCH).cast("date"), feistel(_day(x).cast("long"), left, right, key, "date").cast("int"))
+    """Recent days stay recent ones, and all others are permuted among themselves."""
+    day, size = _day(x).cast("long"), RECENT_HALVES[0] * RECENT_HALVES[1]
+    half = lambda n: F.lit(n).cast("long")
+    recent = feistel(day - RECENT, *map(half, RECENT_HALVES), key, "date") + RECENT
+    other = feistel(F.when(day < RECENT, day).otherwise(day - size), *map(half, OTHER_HALVES), key, "other date")
+    new = F.when(_is_recent(day), recent).otherwise(_let(other, lambda v: F.when(v < RECENT, v).otherwise(v + size)))
+    day = F.date_add(F.lit(EPOCH).cast("date"), new.cast("int"))
     shape = F.when(x.contains("-"), F.date_format(day, "yyyy-MM-dd")).otherwise(
         F.when(x.contains("/"), F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
     )
     return shape
 
 
+def _is_recent(day: Column) -> Column:
+    return day.between(RECENT, RECENT + RECENT_HALVES[0] * RECENT_HALVES[1] - 1)
+
+
+def _rest97(x: Column) -> Column:
+    """What is left of a digit string of any length modulo 97."""
+    return F.aggregate(F.filter(F.split(x, ""), lambda c: c != ""), F.lit(0), lambda s, c: (s * 10 + c.cast("int")) % 97)
+
+
+def _iban_digits(x: Column) -> Column:
+    """An account number without blanks, its first four places moved to the end, letters as 10 to 35."""
+    plain = F.replace(x, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))
+    return F.array_join(F.transform(F.split(turned, ""), lambda c: F.when(c.rlike("[A-Z]"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
+
+
+def _iban(x: Column, key: str) -> Column:
+    """Country and letters stay, the digits after the check digits are permuted, and these made anew."""
+
+    def checked(body: Column) -> Column:
+        blank = F.concat(F.substr(body, F.lit(1), F.lit(2)), F.lit("00"), F.substr(body, F.lit(5)))
+        check = F.lpad((98 - _rest97(_iban_digits(blank))).cast("string"), 2, "0")
+        return F.concat(F.substr(body, F.lit(1), F.lit(2)), check, F.substr(body, F.lit(5)))
+
+    tail = F.substr(x, F.lit(5))
+    digits = _digits(tail)
+    new = F.when(F.length(digits) >= 2, _filled(tail, _permuted_digits(digits, key, "iban"))).otherwise(tail)
+    return _let(F.concat(F.substr(x, F.lit(1), F.lit(4)), new), checked)
+
+
 def _email(x: Column, key: str) -> Column:
     """A keyed digest in the reserved domain; letter case does not tell addresses apart."""
     return F.concat(F.lit("person-"), F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lit("email"), F.lower(x)), 256), 1, 16), F.lit("@redacted.invalid"))
 
 
 def _secret(x: Column, key: str) -> Column:
-    """The quoted value becomes as many hexadecimal digits of keyed digests."""
-    quoted = F.regexp_extract(x, '"([^"]*)"', 1)
-    stream = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.sha2(F.concat_ws(":", F.lit(key), F.lit("secret"), i.cast("string"), quoted), 256)), "")
-    return F.concat(F.regexp_extract(x, '^[^"]*"', 0), F.substr(stream, F.lit(1), F.length(quoted)), F.lit('"'))
+    """The value becomes as many hexadecimal digits of keyed digests; its name and quotes stay."""
+    head = F.regexp_extract(x, _NAMED + "[\"']?", 0)
+    quote = F.when(F.substr(x, F.length(x)).isin('"', "'"), F.substr(x, F.length(x))).otherwise("")
+    value = F.substr(x, F.length(head) + 1, F.length(x) - F.length(head) - F.length(quote))
+
+    def digits(v: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor(F.length(v) / 64).cast("int"))
+        stream = F.array_join(F.transform(blocks, lambda i: F.sha2(F.concat_ws(":", F.lit(key), F.lit("secret"), i.cast("string"), v), 256)), "")
+        return F.substr(stream, F.lit(1), F.length(v))
+
+    return F.concat(head, _let(value, digits), quote)
 
 
 def _is_card(x: Column) -> Column:
@@ -210,27 +270,37 @@ def _pieces(run: Column) -> Column:
     return _let(units, lambda u: _let(F.transform(F.sequence(F.lit(1), F.size(u)), lambda i: best(u, i)), lambda cards: walked(u, cards)))
 
 
+_IS_LOCAL = r"^(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}$"
+_IS_DATE = "^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([/.])[0-9]{2}\\1[0-9]{4})$"
+
+
 def kind_of(x: Column) -> Column:
     """The kind of a candidate that is valid as one; null for any other, and for digit runs."""
     octets = F.transform(F.split(x, r"\."), lambda p: p.cast("int"))
     area, group, serial = (F.substr(x, F.lit(a), F.lit(n)) for a, n in ((1, 3), (5, 2), (8, 4)))
     return (
-        F.when(x.contains('"'), "secret")
+        F.when(x.rlike("^" + _NAMED), F.lit("secret"))
         .when(x.contains("@"), "email")
-        .when(x.startswith("+"), "phone")
+        .when(x.startswith("+") | x.rlike(_IS_LOCAL), "phone")
         .when(x.rlike(r"^[0-9]+(\.[0-9]+){3}$"), F.when(~F.exists(octets, lambda o: o > 255), F.lit("ip")))
-        .when(x.rlike("^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([/.])[0-9]{2}\\1[0-9]{4})$"), F.when(_day(x).between(0, DAYS[0] * DAYS[1] - 1), F.lit("date")))
+        .when(x.rlike(_IS_DATE), F.when(_day(x).between(0, DAYS - 1), F.lit("date")))
         .when(
             x.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
             F.when(~area.isin("000", "666") & (area < "900") & (group != "00") & (serial != "0000"), F.lit("ssn")),
         )
+        .when(x.rlike("^[A-Z]{2}[0-9]{2}"), F.when(F.length(F.replace(x, F.lit(" "), F.lit(""))).between(15, 34) & (_rest97(_iban_digits(x)) == 1), F.lit("iban")))
     )
 
 
 def _found(x: Column) -> Column:
-    """The pieces of a candidate: itself, or those of a digit run."""
-    other = x.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$|[^0-9 -]|^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
-    return F.when(other, F.array(F.struct(x.alias("x"), kind_of(x).alias("kind")))).otherwise(_pieces(x))
+    """The pieces of a candidate: itself, or those of a digit run. What only looked like an account
+    number may end in one."""
+    other = x.rlike(f"^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$|[^0-9 -]|^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$|{_IS_LOCAL}")
+    whole = F.array(F.struct(x.alias("x"), kind_of(x).alias("kind")))
+    tail = F.regexp_extract(x, "(?: [0-9]+)+$", 0)
+    begun = F.array(F.struct(F.substr(x, F.lit(1), F.length(x) - F.length(tail)).alias("x"), F.lit(None).cast("string").alias("kind")))
+    missed = x.rlike("^[A-Z]{2}[0-9]{2}") & x.rlike("(?: [0-9]+)+$") & kind_of(x).isNull()
+    return F.when(missed, F.concat(begun, _pieces(tail))).when(other, whole).otherwise(_pieces(x))
 
 
 def pseudonym(x: Column, kind: Column, key: str) -> Column:
@@ -241,32 +311,49 @@ def pseudonym(x: Column, kind: Column, key: str) -> Column:
         .when(kind == "ip", _ip(x, key))
         .when(kind == "date", _date(x, key))
         .when(kind == "ssn", _ssn(x, key))
+        .when(kind == "iban", _iban(x, key))
         .when(kind == "card", _card(x, key))
         .otherwise(x)
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = "belegwerk") -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The key of the session's setting."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"give a key, or set {KEY_SETTING}: whoever knows it can undo the pseudonyms")
+    return key
+
+
+def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs(text, ...)`` -> the same columns with ``text`` rewritten, and ``_kinds``, the kinds
     found in order of place.
 
-    Kinds: secret, email, phone, ip, date, ssn, card. A card may stand next to other numbers: all
-    groupings of its digit run are tried. A candidate that fails its kind's
-    validation (check digit, octets, calendar, area) stays as it is. Null texts stay null and
-    find nothing; repeated rows are rewritten alike. A column named ``_kinds`` is replaced. An
-    empty table gives an empty result. The key is a parameter: keep a production key secret.
+    Kinds: secret, email, phone, ip, date, ssn, iban, card. A card may stand next to other numbers:
+    all groupings of its digit run are tried. Secrets are quoted values of any length after a name
+    such as ``password``, or unquoted ones of 8 characters and more that hold a letter and a digit.
+    All days of the calendar from year 1 to 9999 are dates. Leading zeros do not tell the octets of
+    addresses apart. A candidate that fails its kind's validation (check digit, octets, calendar,
+    area) stays as it is. Where two kinds could start at one place, the first in the order above is
+    taken. Null texts stay null and find nothing; repeated rows are rewritten alike. A column named
+    ``_kinds`` is replaced; all others, whatever their names, stay. An empty table gives an empty
+    result. ``key`` is by default that of the setting KEY_SETTING; without either nothing is done.
     """
+    key = key or key_of(docs.sparkSession)
     text = F.col("text").cast("string")
+    spare = "_found"
+    while spare in docs.columns:
+        spare += "_"
     # most texts hold no candidate: they skip both searches
-    some = text.rlike("[0-9@\"]")
+    some = text.rlike("[0-9@\"'=:]")
     out = docs.withColumn(
-        "_found",
+        spare,
         F.when(some, F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), _found)).otherwise(F.array().cast("array<array<struct<x:string,kind:string>>>")),
     )
-    found = F.exists("_found", lambda pieces: F.exists(pieces, lambda f: f["kind"].isNotNull()))
+    found = F.exists(spare, lambda pieces: F.exists(pieces, lambda f: f["kind"].isNotNull()))
     gaps = F.split(text, CANDIDATE, -1)
-    put = F.transform("_found", lambda pieces: F.array_join(F.transform(pieces, lambda f: pseudonym(f["x"], f["kind"], key)), ""))
+    put = F.transform(spare, lambda pieces: F.array_join(F.transform(pieces, lambda f: pseudonym(f["x"], f["kind"], key)), ""))
     whole = F.array_join(F.zip_with(gaps, put, lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
     out = out.withColumn("text", F.when(found, whole).otherwise(text))
-    kinds = F.transform(F.filter(F.flatten("_found"), lambda f: f["kind"].isNotNull()), lambda f: f["kind"])
-    return out.withColumn("_kinds", F.coalesce(kinds, F.array().cast("array<string>"))).drop("_found")
+    kinds = F.transform(F.filter(F.flatten(spare), lambda f: f["kind"].isNotNull()), lambda f: f["kind"])
+    return out.withColumn("_kinds", F.coalesce(kinds, F.array().cast("array<string>"))).drop(spare)

@@ -9,7 +9,7 @@ from .common import fresh_path, read_table
 from .fingerprints import fingerprints
 from .near_dedup import near_duplicates
 from .packing import packed
-from .pii import pseudonymised
+from .pii import KEY_SETTING, TABLE_KEY, pseudonymised
 from .quality_classifier import quality_scores
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .sentencepiece_codec import encoded
@@ -132,7 +132,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op5_pii")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pseudonymised(docs)
+    out = pseudonymised(docs, spark.conf.get(KEY_SETTING, None) or TABLE_KEY)
     return out.select("doc_id", F.size("_kinds").cast("long").alias("n_found"), F.array_join("_kinds", ",").alias("kinds"), "text")
 
 
