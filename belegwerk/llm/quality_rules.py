@@ -85,29 +85,35 @@ def _repeat_words(words: Column, n: Column, k: int = 5) -> Column:
     return F.when(n <= k, 0).otherwise(F.element_at(bound, 1)).cast("long")
 
 
-def measures(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``docs(doc_id, text)`` -> doc_id, the columns ``carry`` and every measure a rule may name."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select("doc_id", *carry, text.alias("_t"), words_of(text).alias("_w"))
+def measures(docs: DataFrame, carry: str | None = None) -> DataFrame:
+    """``docs(doc_id, text)`` -> doc_id, every measure a rule may name, and the whole row of ``docs``
+    as a struct named ``carry``."""
+    if carry:  # the struct holds the only copy of the text
+        docs, kept, at = docs.select(F.struct(*docs.columns).alias(carry)), [carry], f"{carry}."
+    else:
+        kept, at = [], ""
+    text = F.coalesce(F.col(f"{at}text").cast("string"), F.lit(""))
+    base = docs.select(F.col(f"{at}doc_id").alias("doc_id"), *(kept or [F.col("text").alias("_t")]), words_of(text).alias("_w"))
+    text = F.coalesce(F.col(f"{carry}.text" if carry else "_t").cast("string"), F.lit(""))
     base = base.withColumn("_n", F.size("_w"))
-    lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     counted = base.select(
         "doc_id",
-        *carry,
+        *kept,
         F.col("_n").cast("long").alias("n_words"),
-        F.length(F.translate("_t", SPACES, "")).cast("long").alias("word_chars"),
-        _count_of(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"),
+        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
+        _count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
         F.element_at(F.transform(F.array(lines), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))), 1).alias("_l"),
         _repeat_words(F.col("_w"), F.col("_n")).alias("n_repeat_words"),
         F.size(F.filter("_w", lambda x: F.lower(x).isin(STOP_WORDS))).alias("_stops"),
-        _count_of(F.col("_t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("_upper"),
-        _count_of(F.col("_t"), "abcdefghijklmnopqrstuvwxyz").alias("_small"),
-        _count_of(F.col("_t"), "!").alias("_marks"),
+        _count_of(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("_upper"),
+        _count_of(text, "abcdefghijklmnopqrstuvwxyz").alias("_small"),
+        _count_of(text, "!").alias("_marks"),
     )
     n = F.greatest("n_words", F.lit(1))
     return counted.select(
         "doc_id",
-        *carry,
+        *kept,
         "n_words",
         "word_chars",
         "n_symbols",
@@ -137,20 +143,22 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_compact(F.array(*broken))
 
 
-def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: str | None = None) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> doc_id, the counts, ``base_failed``, ``kept``, ``broken``.
 
     One row per input row, in no order. base_failed: fewer than 10 words, or more than a fifth
     of the words in repeated 5-word windows. kept: neither base_failed nor a broken rule. A null
     text counts as empty and fails; null ids and repeated rows pass through; columns beside
-    doc_id and text are ignored, but for those in ``carry``, which come along; an empty table
-    gives an empty result.
+    doc_id and text are ignored; with ``carry`` the whole row comes along as a struct of that name,
+    which no column of the row can clash with. An empty table gives an empty result. The rule on
+    stop words knows those of STOP_WORDS only: a longer text in a language without any of them is
+    rejected, so give other ``rules`` for such a corpus.
     """
     out = measures(docs, carry).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     out = out.withColumn("broken", verdict(rules))
     return out.select(
         "doc_id",
-        *carry,
+        *([carry] if carry else []),
         "n_words",
         "word_chars",
         "n_symbols",
