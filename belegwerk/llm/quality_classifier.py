@@ -1,11 +1,13 @@
 """Text quality by random-indexing word vectors and a small network.
 
-Random indexing: every word has a fixed sparse ternary index vector, found by hash, and so has
-its shape (letters by case, digits, marks). A word's context vector is the sum of the index
-vectors of its neighbours' shapes and of its own, gathered over a bounded sample of labelled
-documents into BUCKETS hashed rows, so that the table's size does not depend on the corpus. A
-document is the mean of its words' vectors and the mean of their shapes' vectors. Two layers
-of weights, trained in numpy on the driver from the same sample, give a score, whose
+Random indexing: every word has a fixed sparse ternary index vector, found by hash. A word's
+context vector is the sum of the index vectors of the words up to REACH places before and after it,
+gathered over a bounded sample of labelled documents into BUCKETS hashed rows, so that the table's
+size does not depend on the corpus: words of one row share a vector, and a word that the sample
+lacks has none, or that of what shares its row. A document is the mean of its words' context
+vectors, the mean index vector of their shapes (letters by case, digits, marks), which words
+outside the sample have too, and the mean likeness of neighbouring words' index vectors. Two
+layers of weights, trained in numpy on the driver from the same sample, give a score, whose
 temperature is fitted on a part of the sample left out of training.
 """
 
@@ -19,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ship import map_arrow
-from .common import LOWER, mix, steps
+from .common import LOWER, least_hashed, mix, steps, written
 
-BUCKETS, DIM, NONZERO = 1 << 12, 48, 6
+BUCKETS, DIM, NONZERO, REACH = 1 << 15, 48, 6, 2
 #: At most this many labelled documents train the vectors and the network.
 SAMPLE = 6_000
 HIDDEN, CUT = 24, 0.3
@@ -38,8 +40,8 @@ def index_vectors(n: int = BUCKETS, dim: int = DIM, seed: int = 7) -> np.ndarray
     """A sparse ternary vector for each bucket."""
     rng = np.random.default_rng(seed)
     out = np.zeros((n, dim), dtype=np.float32)
-    for i in range(n):
-        out[i, rng.choice(dim, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO)
+    at = np.argpartition(rng.random((n, dim)), NONZERO, axis=1)[:, :NONZERO]
+    np.put_along_axis(out, at, rng.choice(np.array([-1.0, 1.0], dtype=np.float32), (n, NONZERO)), axis=1)
     return out
 
 
@@ -58,14 +60,13 @@ def _contexts(batches):
     seen = np.zeros(BUCKETS, dtype=np.int64)
     for batch in batches:
         for i, j, words in steps(batch.column(0)):
-            w, s = _keys(words)
-            edge = np.zeros(len(w) + 1, dtype=bool)
-            edge[words.at] = True
-            v = index[s]
-            around = v.copy()
-            joined = ~edge[1 : len(w)]
-            around[1:][joined] += v[:-1][joined]
-            around[:-1][joined] += v[1:][joined]
+            w, _ = _keys(words)
+            of = np.repeat(np.arange(j - i), np.diff(words.at))
+            around = np.zeros((len(w), DIM), dtype=np.float32)
+            for d in range(1, REACH + 1):
+                near = of[d:] == of[:-d]  # neighbours in one document
+                around[d:][near] += index[w[:-d][near]]
+                around[:-d][near] += index[w[d:][near]]
             order = np.argsort(w, kind="stable")
             firsts = np.flatnonzero(np.diff(w[order], prepend=-1))
             if len(firsts):
@@ -75,9 +76,10 @@ def _contexts(batches):
 
 
 def pooled(words, contexts: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """A row for each document: mean context vector, mean shape vector, log of the word count."""
+    """A row for each document: mean context vector, mean shape vector, mean likeness of a word's
+    index vector to the next one's (1 for the same word), log of the word count."""
     n = len(words.at) - 1
-    out = np.zeros((n, 2 * DIM + 1), dtype=np.float32)
+    out = np.zeros((n, 2 * DIM + 2), dtype=np.float32)
     w, s = _keys(words)
     counts = np.diff(words.at)
     full = np.flatnonzero(counts)
@@ -87,6 +89,9 @@ def pooled(words, contexts: np.ndarray, index: np.ndarray) -> np.ndarray:
         at = words.at[some] - a
         out[some, :DIM] = np.add.reduceat(contexts[w[a:b]], at, axis=0) / counts[some, None]
         out[some, DIM : 2 * DIM] = np.add.reduceat(index[s[a:b]], at, axis=0) / counts[some, None]
+        like = np.append(np.einsum("ij,ij->i", index[w[a : b - 1]], index[w[a + 1 : b]]) / NONZERO, 0)
+        like[np.append(at[1:], b - a) - 1] = 0  # the next word is another document's
+        out[some, -2] = np.add.reduceat(like, at) / counts[some]
     out[:, -1] = np.log1p(counts)
     return out
 
@@ -109,7 +114,7 @@ class Network:
 
 
 def train(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 0.01, decay: float = 1e-3, seed: int = 3) -> Network:
-    """Adam on the logistic loss with equal class weights; a fifth of the rows fits the
+    """Adam on the logistic loss, rows in another order each epoch; a fifth of the rows fits the
     temperature. With one class, or without rows, the score is constant."""
     rng, dim = np.random.default_rng(seed), x.shape[1]
     if not len(y) or y.min() == y.max():
@@ -121,15 +126,15 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 0.01, de
     if len(set(y[used])) < 2:
         used = order
     z = np.clip((x - mean) / scale, -8, 8)
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
     params = [rng.normal(0, 1 / np.sqrt(dim), (dim, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.2, HIDDEN), np.zeros(1)]
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(epochs):
+        shuffled = rng.permutation(used)
         for lo in range(0, len(used), 128):
-            i = used[lo : lo + 128] if lo else used[rng.permutation(len(used))[:128]]
+            i = shuffled[lo : lo + 128]
             hidden = np.tanh(z[i] @ params[0] + params[1])
             p = 1 / (1 + np.exp(-np.clip(hidden @ params[2] + params[3], -40, 40)))
-            e = (p - y[i]) * weight[i] / len(i)
+            e = (p - y[i]) / len(i)
             back = e[:, None] * params[2] * (1 - hidden**2)
             grads = [z[i].T @ back + decay * params[0], back.sum(axis=0), hidden.T @ e + decay * params[2], np.array([e.sum()])]
             t += 1
@@ -161,9 +166,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.where("doc_id is not null and quality is not null").where(fold != 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = spark.createDataFrame([(r[0], r[1]) for r in known.collect()], "doc_id long, y double")  # at most ``sample`` rows
-    learned = texts.join(F.broadcast(chosen), "doc_id")
+    known = least_hashed(known.withColumn("h", F.xxhash64("doc_id")), sample, "doc_id")
+    chosen = spark.createDataFrame([(r["doc_id"], r["y"]) for r in known.collect()], "doc_id long, y double")  # at most ``sample`` rows
+    # every document is scanned once for the sample, in as many tasks as there are; the few rows are written
+    learned = written(texts.join(F.broadcast(chosen), "doc_id"), "quality-sample")
 
     parts = map_arrow(learned.select("text").coalesce(8), _contexts, "vectors binary, seen binary").collect()  # one fixed-size table for each of at most 8 tasks
     table, seen = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS, dtype=np.int64)
@@ -183,7 +189,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     rows = map_arrow(learned.select("y", "text"), gathered, "y double, x binary").collect()  # at most the labelled sample, some 400 bytes each
     rows = sorted((r["x"], r["y"]) for r in rows)
-    x = np.array([np.frombuffer(bytes(r[0]), dtype=np.float32) for r in rows], dtype=np.float64).reshape(len(rows), 2 * DIM + 1)
+    x = np.array([np.frombuffer(bytes(r[0]), dtype=np.float32) for r in rows], dtype=np.float64).reshape(len(rows), 2 * DIM + 2)
     net = train(x, np.array([r[1] for r in rows]))
     final = spark.sparkContext.broadcast(net)
 
