@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hashed, written
+
 #: (verdict, host and path prefix); the longest that fits wins.
 RULES = (
     ("block", "com/en/"),
@@ -28,6 +30,9 @@ RULES = (
 UNWANTED = ("casino", "pills", "bets", "spam", "loan", "viagra", "porn")
 #: At most this many labelled URLs of each class train the trees.
 SAMPLE = 10_000
+#: Shares of suffixes that train the trees are counted without a URL's own fold, and shrunk to the
+#: share of all by so many imagined URLs. Up to so many suffixes are broadcast.
+FOLDS, SMOOTH, MOST_SUFFIXES = 5, 20, 200_000
 FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "labels", "digit_share", "hyphens", "entropy", "parameters", "query_chars", "suffix_block_share", "longest_label")
 
 
@@ -183,29 +188,34 @@ def url_verdicts(pages: DataFrame, labelled: DataFrame | None = None, rules: Seq
     path, else null. verdict is the rule's; without one it is the trees': block where their
     probability is 0.5 or more. score is that probability for every URL. ``labelled(url, label)``
     trains the trees, by default ``seed_labels``; of each class the ``sample`` URLs of least
-    hash are used. The shares of suffixes are of all labels, each (url, label) once; a suffix
-    without any has the share of all. Null urls, and urls without ``://``, have an
+    hash are used. The shares of suffixes are of all labels, each (url, label) once, so a URL with
+    both labels counts for either; a suffix without any has the share of all. Labels other than 0
+    and 1 are none. Null urls, and urls without ``://``, have an
     empty host and path and are judged by the trees. Repeated rows are judged each; other columns
     are ignored; an empty table gives an empty result.
     """
     labelled = seed_labels(pages) if labelled is None else labelled
-    labelled = labelled.where("url is not null and label is not null").withColumn("page_id", F.lit(None).cast("long"))
-    known = None
-    for label in (0, 1):
-        part = labelled.where(F.col("label") == label).dropDuplicates(["url"])
-        known = part if known is None else known.union(part)
+    labelled = labelled.where("url is not null and label in (0, 1)").select("url", F.col("label").cast("int").alias("label")).distinct()
     host, path = host_and_path(F.col("url"))
-    known = known.withColumn("host", host).withColumn("path", path).withColumn("suffix", _suffix())
-    counts = known.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("blocked"))
-    whole = counts.agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).first()
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS))
+    known = labelled.withColumn("host", host).withColumn("path", path).withColumn("suffix", _suffix()).withColumn("fold", fold)
+    each = written(known.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")), "url-suffixes")
+    counts = each.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+    whole = each.agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).first()
     prior = whole["blocked"] / whole["n"] if whole["n"] else 0.0
-    shares = F.broadcast(counts.select("suffix", ((F.col("blocked") + 20 * prior) / (F.col("n") + 20)).alias("share")))
+    smoothed = lambda blocked, n: (blocked + SMOOTH * prior) / (n + SMOOTH)
+    shares = counts.select("suffix", smoothed(F.col("blocked"), F.col("n")).alias("share"))
+    shares = F.broadcast(shares) if counts.limit(MOST_SUFFIXES + 1).count() <= MOST_SUFFIXES else shares
     drawn = None
     for label in (0, 1):
-        part = known.where(F.col("label") == label).orderBy(F.xxhash64("url"), "url").limit(sample)
+        part = least_hashed(known.where(F.col("label") == label).withColumn("h", F.xxhash64("url")), sample, "url")
         drawn = part if drawn is None else drawn.union(part)
+    # a URL that trains the trees does not see its own label in its suffix's share
+    own = each.select("suffix", "fold", F.col("n").alias("own_n"), F.col("blocked").alias("own_blocked"))
+    drawn = drawn.join(counts, "suffix").join(own, ["suffix", "fold"]).withColumn("page_id", F.lit(None).cast("long"))
+    apart = smoothed(F.col("blocked") - F.col("own_blocked"), F.col("n") - F.col("own_n"))
+    rows = features(drawn, apart).select("label", *FEATURES).collect()  # at most the sample of either class
     share = F.coalesce("share", F.lit(prior))
-    rows = features(drawn.join(shares, "suffix", "left"), share).select("label", *FEATURES).collect()
     y = np.array([r["label"] for r in rows], dtype=float)
     x = np.array([[r[f] for f in FEATURES] for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
     model = train(x, y)
