@@ -2,9 +2,11 @@
 
 A change carries a before image, an after image or both (a delete, an insert, a revision). Its
 delta is minus the one and plus the other, so totals are sums of deltas and never need the
-documents again. A batch is committed as one written folder named by its id: Spark's own commit
-marker makes it all or nothing, and a batch delivered again finds its folder and changes
-nothing. Totals add up the folders' few rows; ``compact`` folds them into one.
+documents again. A batch is committed as a written folder below one named by its id: Spark's own
+commit marker makes it all or nothing, and a batch delivered again finds it and changes nothing.
+Writers need no lock: an attempt has a folder of its own, and where two writers of one batch both
+end, readers take the first by name, which holds the same sums. Totals add up the folders' few
+rows; ``compact`` folds those of one listing into one.
 """
 
 from __future__ import annotations
@@ -54,58 +56,64 @@ class Rollup:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
+    def _listed(self, path: str) -> list[str]:
+        """Names of the folders below ``path``."""
+        fs, of = self._fs()
+        return sorted(s.getPath().getName() for s in fs.listStatus(of(path)) if s.isDirectory()) if fs.exists(of(path)) else []
+
+    def _done(self, folder: str) -> str | None:
+        """The attempt of a batch or fold that readers take: the first that is committed."""
+        fs, of = self._fs()
+        return next((f"{folder}/{x}" for x in self._listed(f"{self.path}/{folder}") if fs.exists(of(f"{self.path}/{folder}/{x}/_SUCCESS"))), None)
+
     def committed(self) -> list[str]:
-        """Names of the batches whose commit marker is there."""
-        fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.path)) if s.isDirectory()]
-        return sorted(n for n in names if fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+        """Names of the batches that are committed."""
+        return [n for n in self._listed(f"{self.path}/batches") if self._done(f"batches/{n}")]
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Add a batch once; False if it was there already. What a broken attempt left is replaced."""
-        name = "batch-" + re.sub(r"[^\w.-]", lambda m: f"%{ord(m[0]):x}", str(batch_id))
-        if name in self.committed() or self._folded(name):
+        """Add a batch once; False if it was there already. A batch id names its content. What a
+        broken attempt left is never read."""
+        name = re.sub(r"[^\w.-]", lambda m: f"%{ord(m[0]):x}", str(batch_id)) or "%"
+        if self._done(f"batches/{name}"):
             return False
         # the deltas of a batch are as many as its keys: one file
-        deltas(changes).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        deltas(changes).coalesce(1).write.parquet(f"{self.path}/batches/{name}/{uuid.uuid4().hex}")
         return True
 
-    def _folded(self, name: str) -> bool:
-        fs, path = self._fs()
-        return any(fs.exists(path(f"{self.path}/{n}/names/{name}")) for n in self.committed() if n.startswith("folded-"))
-
-    def _live(self) -> list[str]:
-        """Committed folders less those that a newer fold has taken in."""
-        names = self.committed()
-        folds = [n for n in names if n.startswith("folded-")]
-        newest = folds[-1:] if folds else []
-        return newest + [n for n in names if n.startswith("batch-") and not self._folded(n)]
+    def _live(self) -> tuple[list[str], list[str]]:
+        """The folders that make up the totals, the newest fold and the batches not in it, and the
+        names of all those batches."""
+        newest, known = None, set()
+        for fold in reversed(self._listed(f"{self.path}/folds")):
+            if (done := self._done(f"folds/{fold}/totals")) is not None:
+                newest = done
+                known = {r[0] for r in self.spark.read.schema("name string").parquet(f"{self.path}/folds/{fold}/names").collect()}  # a name for each batch
+                break
+        rest = {n: done for n in self._listed(f"{self.path}/batches") if n not in known and (done := self._done(f"batches/{n}"))}
+        return [*([newest] if newest else []), *rest.values()], sorted(known | rest.keys())
+
+    def _sums(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], _TOTALS)
+        rows = self.spark.read.schema(_TOTALS).parquet(*[f"{self.path}/{n}" for n in folders])
+        total = rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_chars")])
+        return total.where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer_version, n_docs, n_tokens, n_chars) over all committed batches;
         keys whose documents are all deleted again are left out."""
-        live = self._live()
-        if not live:
-            return self.spark.createDataFrame([], _TOTALS)
-        rows = self.spark.read.schema(_TOTALS).parquet(*[f"{self.path}/{n}" for n in live])
-        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_chars")]).where(
-            "n_docs <> 0 or n_tokens <> 0 or n_chars <> 0"
-        )
+        return self._sums(self._live()[0])
 
     def compact(self) -> None:
-        """Fold all committed batches into one folder. The names it holds are kept beside the
-        totals, so that a folded batch delivered again is still known."""
-        live = self._live()
-        if len(live) < 2:
+        """Fold all committed batches into one folder. Its sums and the names it holds are of one
+        listing, so a batch that is committed meanwhile stays outside, and a folded batch
+        delivered again is still known. Batch folders stay: they are the record."""
+        folders, names = self._live()
+        if len(folders) < 2:
             return
-        fs, path = self._fs()
-        order = sum(n.startswith("folded-") for n in self.committed())
-        target = f"{self.path}/folded-{order:08d}-{uuid.uuid4().hex}"
-        known = [s.getPath().getName() for n in live if n.startswith("folded-") for s in fs.listStatus(path(f"{self.path}/{n}/names"))]
-        for name in [*known, *[n for n in live if n.startswith("batch-")]]:
-            fs.create(path(f"{target}/names/{name}"), True).close()
-        self.totals().coalesce(1).write.mode("append").parquet(target)
+        target = f"{self.path}/folds/{len(names):012d}-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.parquet(f"{target}/names")
+        self._sums(folders).coalesce(1).write.parquet(f"{target}/totals/{uuid.uuid4().hex}")
 
 
 def counted(docs: DataFrame, tokenizer: str) -> DataFrame:
