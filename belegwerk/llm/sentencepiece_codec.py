@@ -9,7 +9,9 @@ looked up among the sorted piece keys at once. From that table of scores
   adjacent pair of each word being a vectorised maximum over the same scores. The best sum of
   piece scores is not what a BPE model returns, so Viterbi would give other ids there.
 
-Words are cut before each space mark. Code points outside the model fall back to bytes.
+Words are cut before each space mark. Code points outside the model fall back to bytes. A batch of
+words costs their length squared by merges, so a text with a word of over LONGEST code points is
+encoded by the library itself, whose queue of merges takes n log n: ids are the same.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from .common import _BASE, _powers, mix
 
 MARK = "▁"
 MEMO = 500_000
+LONGEST = 256
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+", re.S)
 _U = np.uint64
 
@@ -119,6 +122,7 @@ class Codec:
         while (at > 0).any():
             cuts[np.arange(rows), at] = True
             at = at - np.where(at > 0, back[np.arange(rows), at], 0)
+        cuts[:, 0] = False  # where a row was done before the others
         return self._ids(chars, found, cuts)
 
     def _merge(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,10 +158,9 @@ class Codec:
             each = {i: self._fallback(int(chars[row[i], start[i]])) for i in odd.tolist()}
             sizes = np.ones(len(ids), dtype=np.int64)
             sizes[odd] = [len(x) for x in each.values()]
-            wide = np.repeat(ids, sizes)
+            wide, starts = np.repeat(ids, sizes), np.cumsum(sizes) - sizes
             for i, x in each.items():
-                lo = int(sizes[:i].sum())
-                wide[lo : lo + len(x)] = x
+                wide[starts[i] : starts[i] + len(x)] = x
             counts = np.bincount(row, sizes, minlength=len(chars)).astype(np.int64)
             ids = wide
         return ids.astype(np.uint32), counts
@@ -187,6 +190,8 @@ class Codec:
     def encode(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
         cut = [self.words(t) for t in texts]
+        whole = {i: self.library.encode(texts[i], num_threads=1) for i, ws in enumerate(cut) if any(len(w) > LONGEST for w in ws)}
+        cut = [[] if i in whole else ws for i, ws in enumerate(cut)]
         flat = [w for ws in cut for w in ws]
         new = set(flat) - self.memo.keys()
         if len(self.memo) + len(new) > MEMO:
@@ -198,8 +203,8 @@ class Codec:
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.at[slot] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
         edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(ws) for ws in cut])]).astype(np.int64)]
-        for a, b in zip(edge[:-1], edge[1:]):
-            yield ids[a:b]
+        for i, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+            yield np.array(whole[i], dtype=np.uint32) if i in whole else ids[a:b]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids: pieces and bytes joined, space marks as spaces, the first dropped."""

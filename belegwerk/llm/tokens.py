@@ -6,7 +6,8 @@ text's ids are its segments' ids in order. Distinct segments of a step are looke
 among those seen before by this worker; new ones of equal length are merged together in numpy.
 Words with other bytes than printable ASCII and Latin-1 letters go to the tokenizer itself, and
 so do whole texts that hold an added token, which is matched before any cut.
-The memo holds MEMO segments and starts anew beyond.
+The memo starts anew where a step would take it beyond MEMO segments; a single step with more
+holds what it needs, for its table grows.
 """
 
 from __future__ import annotations
@@ -134,19 +135,25 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(SLOTS, dtype=np.uint64)
-        self.slots = np.zeros(SLOTS, dtype=np.int32)
+        self._table(SLOTS)
         self.at = np.zeros(1, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint32)
 
+    def _table(self, size: int) -> None:
+        self.keys = np.zeros(size, dtype=np.uint64)
+        self.slots = np.zeros(size, dtype=np.int32)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(20) & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Segment numbers of the keys, -1 for those not seen; 0 marks a free slot of the table."""
-        at = (keys >> np.uint64(20) & np.uint64(SLOTS - 1)).astype(np.int64)
+        at, last = self._place(keys), len(self.keys) - 1
         seen = self.keys[at]
         out = np.where(seen == keys, self.slots[at], -1)
         open_ = np.flatnonzero((seen != keys) & (seen != 0))
         while len(open_):
-            at[open_] = (at[open_] + 1) & (SLOTS - 1)
+            at[open_] = (at[open_] + 1) & last
             seen = self.keys[at[open_]]
             hit = seen == keys[open_]
             out[open_[hit]] = self.slots[at[open_[hit]]]
@@ -154,7 +161,12 @@ class WordEncoder:
         return out
 
     def _insert(self, keys: np.ndarray, slots: np.ndarray) -> None:
-        at = (keys >> np.uint64(20) & np.uint64(SLOTS - 1)).astype(np.int64)
+        """Add keys not seen so far; the table grows so that half of it stays free."""
+        if 2 * (len(self.at) - 1) > len(self.keys):
+            used = np.flatnonzero(self.keys)
+            keys, slots = np.concatenate([self.keys[used], keys]), np.concatenate([self.slots[used], slots])
+            self._table(1 << int(4 * len(keys) - 1).bit_length())
+        at, last = self._place(keys), len(self.keys) - 1
         left = np.arange(len(keys))
         while len(left):
             free = left[self.keys[at[left]] == 0]
@@ -162,7 +174,7 @@ class WordEncoder:
             won = free[self.keys[at[free]] == keys[free]]
             self.slots[at[won]] = slots[won]
             left = left[self.keys[at[left]] != keys[left]]
-            at[left] = (at[left] + 1) & (SLOTS - 1)
+            at[left] = (at[left] + 1) & last
 
     def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, simple: np.ndarray, raw: np.ndarray) -> None:
         n = len(keys)
