@@ -109,6 +109,19 @@ def test_repeated_spans_against_all_windows(spark):
     assert without_repeats(documents(spark, [])).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_cut_each(spark):
+    span = " ".join(f"s{i}" for i in range(60))
+    rows = [(1, span), (2, "own words here " + span), (2, "other words with no span " * 30), (3, span), (3, " ".join(f"u{i}" for i in range(80))), (4, None), (4, span + " tail")]
+    docs = documents(spark, rows)
+    got = without_repeats(docs, carry="row").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t = r["row"]["text"] or ""
+        cut = r["doc_id"] > 1 and span in t
+        want = " ".join(t.replace(span, "").split()) if cut else t
+        assert r["n_removed"] == (60 if cut else 0) and (r["kept_text"] or "") == want and r["row"]["component"] == 1
+
+
 def test_packing_holds_each_id_once(spark):
     rows = [*ODD, *[(100 + i, f"word{i} and more " * (i * 7)) for i in range(40)]]
     tokenizer = encoder("word_bpe_49k.json").tokenizer
@@ -179,16 +192,69 @@ def test_sentencepiece_ids_and_round_trip(spark):
     assert encoded(documents(spark, [])).count() == 0
 
 
-def test_viterbi_finds_the_best_sum():
+def test_viterbi_finds_the_best_sums():
+    coder = codec("piece_bpe_32k.model")
+    rng = random.Random(8)
+    score = {coder.pieces[i]: coder.scores[i] for i in coder.ids.tolist()}
+    low = coder.scores.min() - 10
+    letters = "etaoinshrdlu▁é漢"
+    by = {}
+    for _ in range(400):
+        w = "▁" * rng.randrange(2) + "".join(rng.choice(letters) for _ in range(rng.randrange(1, 24)))
+        by.setdefault(len(w), []).append(w)
+    for length, some in by.items():
+        chars = np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32).reshape(len(some), length)
+        ids, counts = coder._viterbi(chars)
+        ends = np.cumsum(counts)
+        for w, a, b in zip(some, ends - counts, ends):
+            best = [0.0]
+            for end in range(1, length + 1):
+                best.append(max(best[s] + score.get(w[s:end], low if end - s == 1 else -np.inf) for s in range(max(0, end - coder.width), end)))
+            got = "".join(coder.pieces[i] for i in ids[a:b])
+            if all(c in score for c in w):
+                assert got == w and abs(sum(coder.scores[ids[a:b]]) - best[-1]) < 1e-9, w
+
+
+def test_long_unspaced_words_take_linear_time():
+    import time
+
     coder = codec("piece_bpe_32k.model")
-    known = {int(k): int(i) for k, i in zip(coder.keys, coder.ids)}
-    text = "▁thereading"
-    chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).reshape(1, -1)
-    ids, counts = coder._viterbi(chars)
-    best = {0: 0.0}
-    for end in range(1, len(text) + 1):
-        best[end] = max(best[s] + coder.scores[coder.library.piece_to_id(text[s:end])] for s in range(max(0, end - 16), end) if s in best and coder.library.piece_to_id(text[s:end]) != coder.unknown)
-    assert sum(coder.scores[ids]) == best[len(text)] and counts.tolist() == [len(ids)] and len(known) == len(coder.keys)
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    start = time.time()
+    texts = [text, "short and plain", None, "x" * 300 + " y"]
+    got = list(coder.encode([t or "" for t in texts]))
+    assert time.time() - start < 6  # 2 s on an idle machine
+    assert [x.tolist() for x in got] == coder.library.encode([t or "" for t in texts], num_threads=1)
+
+
+def test_the_segment_table_grows(monkeypatch):
+    from belegwerk.llm import tokens
+
+    monkeypatch.setattr(tokens, "SLOTS", 64)
+    monkeypatch.setattr(tokens, "MEMO", 100)
+    small = tokens.WordEncoder("word_bpe_49k.json")
+    texts = [" ".join(f"q{i}x{i * 7}" for i in range(3000)), "few words", " ".join(f"z{i}" for i in range(500)), "few words"]
+    want = [e.ids for e in small.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for t, w in zip(texts, want):
+        assert [x.tolist() for x in small.encode(pa.array([t]))] == [w]
+    assert [x.tolist() for x in small.encode(pa.array(texts))] == want
+
+
+def test_texts_of_megabytes(spark):
+    big = " ".join(f"w{i * i % 99991}" for i in range(300_000))
+    rows = [(1, big), (2, big + " end"), (3, "z" * 1_500_000), (4, "plain words of a short text"), (5, None)]
+    docs = documents(spark, rows).repartition(2)
+    near = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    cut = {r["doc_id"]: r["n_removed"] for r in without_repeats(docs).collect()}
+    assert cut == {1: 0, 2: 300_000, 3: 0, 4: 0, 5: 0}
+    assert {r["doc_id"]: r["text"] for r in pseudonymised(docs).collect()} == dict(rows)
+    prints = {r["doc_id"]: r for r in fingerprints(docs).collect()}
+    assert prints[2]["near_next"] > 0.99 and prints[3]["fingerprint"] and prints[5]["fingerprint"] == ""
+    packs = packed(docs).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
+    assert all(r["n"] == r["d"] for r in packs) and len(packs) == 5
+    assert {r["doc_id"]: r["n_words"] for r in quality_rules(docs).collect()} == {1: 300_000, 2: 300_001, 3: 1, 4: 6, 5: 0}
 
 
 def test_fingerprints(spark):
@@ -236,6 +302,67 @@ def test_short_and_unspaced_texts_share_fingerprints_with_their_edit(spark):
             assert any(s <= p < s + width for p in places)
 
 
+def winnowed_by_brute_force(text, gram=5, window=12):
+    """hash@place of the k-grams kept, from the definition alone."""
+    import xxhash
+
+    line = " ".join(words(text))
+    n = len(line)
+    if not n:
+        return ""
+    wide = n >= 6 * window
+    k = gram if wide or n - n // 3 >= gram else min(2, n)
+    width = window if wide else max(1, min(window, n // 6))
+    hashes = []
+    for i in range(n - k + 1):
+        h = xxhash.xxh64(line[i : i + k].encode(), seed=42).intdigest()
+        hashes.append(h - (1 << 64) if h >> 63 else h)
+    kept = set()
+    for s in range(max(1, len(hashes) - width + 1)):
+        part = [(h >> 32, -(s + j)) for j, h in enumerate(hashes[s : s + width])]
+        kept.add(-min(part)[1])
+    return " ".join(f"{hashes[p] % (1 << 64):X}@{p}" for p in sorted(kept))
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = random.Random(17)
+    alphabet = list("aaaab  \n\t") + ["é", "漢", "😀", "\x85", "\u3000"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 5, 14, 15, 16, 17, 30, 47, 70, 71, 72, 73, 75, 80, 100, 105, 107, 110, 130, 200, 400]))) for _ in range(120)]
+    texts += ["a" * 500, " " * 400 + "b", "x y " * 60, "ab" * 36, "", "tail " * 30 + " ", "z" * 48, "q" * 71 + " ", *(t for _, t in ODD)]
+    # ids far apart, negative ones, ties
+    ids = sorted({rng.randrange(-(2**62), 2**62) for _ in range(len(texts) - 3)} | {2**62 + 1, -(2**63), 5 << 40})
+    rows = list(zip(ids, texts))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r for r in fingerprints(documents(spark, rows).repartition(5)).collect()}
+    order = sorted((d for d, _ in rows), reverse=True)
+    text = {d: t or "" for d, t in rows}
+    sets = lambda f: {x.split("@")[0] for x in f.split(" ") if x}
+    like = lambda x, y: 1.0 if not x and not y else len(x & y) / len(x | y)
+    for i, d in enumerate(order):
+        t, after = text[d], text[order[(i + 1) % len(order)]]
+        cut = len(t) // 3
+        own, edited = winnowed_by_brute_force(t), winnowed_by_brute_force(t[: len(t) - cut] + after[:cut])
+        r = got[d]
+        assert r["fingerprint"] == own, (d, t)
+        assert r["edited_fingerprint"] == edited, (t, after)
+        assert abs(r["near_edited"] - like(sets(own), sets(edited))) < 1e-12
+        assert abs(r["near_next"] - like(sets(own), sets(winnowed_by_brute_force(after)))) < 1e-12
+
+
+def test_repeated_ids_have_one_next_document(spark):
+    rows = [(1, "one first text of some length"), (2, "b second text"), (2, "a second text"), (2, "c second text"), (3, "third text, " * 9), (3, "third text, " * 9)]
+    got = fingerprints(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t = next(t for d, t in rows if d == r["doc_id"] and len(t) == r["n_chars"])
+        after = {1: "third text, " * 9, 3: "a second text", 2: rows[0][1]}[r["doc_id"]]
+        if r["doc_id"] != 2:
+            cut = len(t) // 3
+            assert r["edited_sha256"] == hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()
+    one = fingerprints(documents(spark, [(7, "only one document")])).collect()[0]
+    assert one["near_next"] == 1.0
+
+
 def luhn(s):
     digits = [int(c) for c in s if c.isdigit()][::-1]
     return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
@@ -275,6 +402,55 @@ def test_cards_beside_other_numbers(spark):
     assert card not in out[11]["text"] and [out[i]["text"] for i in (90, 91)] == [t for i, t in rows if i in (90, 91)]
 
 
+def test_secrets_phones_dates_and_accounts_of_any_length(spark):
+    long, account = "a" * 300, "DE89 3704 0044 0532 0130 00"
+    texts = [
+        f'password = "{long}"', 'password="abc"', "token: abcdef123456", "api_key='two words'", "the password: required field", "token" + " " * 60 + '= "x y z"', f"{'m' * 90}@{'d' * 80}.example.com",
+        "call (555) 123-4567 or 555-123-4567.", "born 1850-05-05, died 0044-03-15 and 9999-12-31", f"pay to {account} now", account.replace(" ", ""), "GB82 WEST 1234 5698 7654 33", "AB12 3456 4111 1111 1111 1111", "on 2024-02-29",
+    ]
+    rows = list(enumerate(texts))
+    docs = documents(spark, rows).withColumn("_found", F.lit("mine"))
+    got = {r["doc_id"]: r for r in pseudonymised(docs).collect()}
+    assert [got[i]["_kinds"] for i, _ in rows] == [["secret"]] * 4 + [[], ["secret"], ["email"], ["phone"] * 2, ["date"] * 3, ["iban"], ["iban"], [], ["card"], ["date"]]
+    assert all(got[i]["_found"] == "mine" for i, _ in rows)
+    assert re.fullmatch('password = "[0-9a-f]{300}"', got[0]["text"]) and re.fullmatch('password="[0-9a-f]{3}"', got[1]["text"]) and re.fullmatch("token: [0-9a-f]{12}", got[2]["text"])
+    assert re.fullmatch("api_key='[0-9a-f]{9}'", got[3]["text"]) and got[4]["text"] == texts[4] and got[11]["text"] == texts[11]
+    assert re.fullmatch(r"call \([0-9]{3}\) [0-9]{3}-[0-9]{4} or [0-9]{3}-[0-9]{3}-[0-9]{4}\.", got[7]["text"]) and "123-4567" not in got[7]["text"]
+    a, b = re.findall(r"[0-9]{3}\)? ?-?[0-9]{3}-[0-9]{4}", got[7]["text"])
+    assert re.sub("[^0-9]", "", a) == re.sub("[^0-9]", "", b)  # one number in two formats
+    dates = re.findall("[0-9]{4}-[0-9]{2}-[0-9]{2}", got[8]["text"])
+    assert len(dates) == 3 and not {*dates} & {"1850-05-05", "0044-03-15", "9999-12-31"} and all(not 1900 <= int(d[:4]) <= 2099 for d in dates)
+    assert 1900 <= int(got[13]["text"][3:7]) <= 2100
+    new = got[10]["text"]
+    assert got[9]["text"].replace(" ", "") == f"payto{new}now" and new[:2] == "DE" and new != account.replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+    assert got[12]["text"].startswith("AB12 3456 ") and "1111" not in got[12]["text"]
+    # other keys, other pseudonyms; no key, nothing
+    other = pseudonymised(docs, "another key").where("doc_id = 13").first()["text"]
+    assert other != got[13]["text"]
+    from belegwerk.llm.pii import KEY_SETTING
+
+    kept = spark.conf.get(KEY_SETTING)
+    spark.conf.unset(KEY_SETTING)
+    try:
+        pseudonymised(docs)
+        raise AssertionError("a key is needed")
+    except ValueError:
+        pass
+    finally:
+        spark.conf.set(KEY_SETTING, kept)
+
+
+def test_days_are_permuted_within_the_calendar(spark):
+    from belegwerk.llm.pii import DAYS, OTHER_HALVES, RECENT, RECENT_HALVES, _date
+
+    assert OTHER_HALVES[0] * OTHER_HALVES[1] + RECENT_HALVES[0] * RECENT_HALVES[1] == DAYS
+    days = [*range(0, 400), *range(RECENT - 300, RECENT + 300), *range(RECENT + 73051 - 200, RECENT + 73051 + 200), *range(DAYS - 300, DAYS)]
+    rows = spark.createDataFrame([(d,) for d in days], "d int").select(F.date_format(F.date_add(F.lit("0001-01-01").cast("date"), F.col("d")), "yyyy-MM-dd").alias("x"))
+    got = rows.select("x", _date(F.col("x"), "k").alias("y")).collect()
+    assert len({r["y"] for r in got}) == len(days) and all(re.fullmatch("[0-9]{4}-[0-9]{2}-[0-9]{2}", r["y"]) for r in got)
+
+
 def test_feistel_is_a_bijection(spark):
     from belegwerk.llm.pii import feistel
 
