@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from belegwerk.llm.common import read_table, written
 from belegwerk.llm.near_dedup import near_duplicates
 from belegwerk.llm.packing import packed
-from belegwerk.llm.pii import pseudonymised
+from belegwerk.llm.pii import KEY_SETTING, TABLE_KEY, pseudonymised
 from belegwerk.llm.quality_rules import quality_rules
 from belegwerk.llm.substring_dedup import without_repeats
 
@@ -25,31 +25,35 @@ def _documents(df: DataFrame, given: DataFrame) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. The verdict is made in the scan's own rows."""
-    whole = docs.withColumn("_all", F.struct(*docs.columns)).select("doc_id", "text", "_all")
-    return quality_rules(whole, carry=("_all",)).where("kept").select("_all.*")
+    """Documents that the quality rules keep. The verdict is made in the scan's own rows. Null, empty
+    and blank texts go; repeated rows are judged each; an empty table stays empty."""
+    return quality_rules(docs, carry="row").where("kept").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the smallest id."""
+    """One document of each group of near copies, the one of the smallest id. Texts without words
+    and rows without an id are in no group and stay; rows that repeat an id stay or go together."""
     kept = near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_anti").select(*docs.columns)
 
 
 def spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the long spans that earlier ones have; emptied ones go."""
-    cut = without_repeats(docs, keep_text=True).where("n_removed > 0").select("doc_id", "kept_text")
-    out = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text"))
-    return _documents(out.where("kept_text is null or kept_text <> ''"), docs)
+    """Documents without the long spans that earlier ones have; those that only were copies go. Null
+    and short texts, and rows without an id, stay as they are; rows that repeat an id are cut each."""
+    cut = without_repeats(docs, keep_text=True, carry="row")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
+    out = cut.where("n_removed = 0 or kept_text <> ''").select(*[text.alias(c) if c == "text" else F.col(f"row.{c}") for c in docs.columns])
+    return _documents(out, docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data under pseudonyms."""
-    return _documents(pseudonymised(docs), docs)
+    """Documents with personal data under pseudonyms, by the session's key; without one, by that of
+    invented tables. Null texts stay null."""
+    return _documents(pseudonymised(docs, spark.conf.get(KEY_SETTING, None) or TABLE_KEY), docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences."""
+    """The pieces of packed sequences; a null or empty text is its end id alone."""
     return packed(docs)
 
 
