@@ -32,17 +32,24 @@ def source_catalog(docs: DataFrame, counts: DataFrame, disabled: DataFrame) -> D
 
 
 def toggle_sources(disabled: DataFrame, changes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``changes(doc_id, enabled)`` applied to ``disabled(doc_id)``; unknown documents are ignored."""
+    """``changes(doc_id, enabled)`` applied to ``disabled(doc_id)``; unknown documents are ignored, and
+    listed by ``unknown_sources``."""
     known = changes.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     kept = disabled.select("doc_id").join(known.where("enabled"), "doc_id", "left_anti")
     return kept.union(known.where("not enabled").select("doc_id")).distinct()
 
 
-def recall_mrr(hits: DataFrame, relevant: DataFrame) -> DataFrame:
+def unknown_sources(changes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The doc_ids of ``changes`` that no document has."""
+    return changes.select("doc_id").distinct().join(docs.select("doc_id"), "doc_id", "left_anti")
+
+
+def recall_mrr(hits: DataFrame, relevant: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """``hits(query_id, rank, doc_id)``, ``relevant(query_id, doc_id)`` -> n, recall (share of the
-    questions with a relevant hit) and mrr, by the best rank of any relevant document."""
+    questions with a relevant hit) and mrr, by the best rank of any relevant document. The questions
+    are those of ``asked(query_id)``, or all that have a relevant document."""
     best = relevant.join(hits, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("best"))
-    asked = relevant.select("query_id").distinct().join(best, "query_id", "left")
+    asked = (relevant if asked is None else asked).select("query_id").distinct().join(best, "query_id", "left")
     return asked.agg(
         F.count("*").alias("n"),
         F.avg(F.when(F.col("best").isNotNull(), 1.0).otherwise(0.0)).alias("recall"),

@@ -13,10 +13,11 @@ from ..plans.store import written
 
 
 def evidence_payload(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """``hits`` with their documents' title, publisher, year, license and its class; the title
-    falls back to the document id."""
+    """``hits`` with their documents' title, publisher, year, license, its class and the label of
+    that; the title falls back to the document id."""
     meta = docs.select("doc_id", "title", "publisher", "year", "license")
     out = hits.join(meta, "doc_id", "left").withColumn("lic_class", T.license_class(F.col("license")))
+    out = out.withColumn("lic_label", T.license_label(F.col("lic_class")))
     return out.withColumn("title", F.coalesce("title", F.col("doc_id").cast("string")))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from ..config import DEFAULT, KOREAN, PROSE
 from ..functions import text as T
-from ..operators import accounting, answers, ask, chunking, dense, graph, lexical, search
+from ..operators import accounting, answers, ask, chunking, dense, evaluate, graph, lexical, search
 from ..sources import articles, documents, feedback
 from .store import written
 
@@ -775,6 +775,16 @@ def hashed_words(texts: list[str]):
     return out
 
 
+@query("evaluation_documents")
+def evaluation_documents(spark, sf):
+    """Benchmark passages as labelled questions: relevant are the documents that hold one whole, and
+    a passage that none holds is a question to refuse."""
+    held = _relevant(spark, sf).groupBy("query_id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("relevant_docs"))
+    b, u = _whole(spark, sf)
+    q = u.join(held, "query_id", "left").select("query_id", F.col("text").alias("question"), F.coalesce("relevant_docs", F.array().cast("array<string>")).alias("relevant_docs"), F.col("relevant_docs").isNull().alias("is_negative"))
+    return evaluate.evaluate(q, b, lexicon=PROSE)
+
+
 @query("ask_documents")
 def ask_documents(spark, sf):
     """Questions to verified answers over the documents."""

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MARKED: set[str] = set()
+_SCRATCH = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +38,8 @@ def fresh_path(spark: SparkSession, label: str) -> str:
         fs, path = _folder(spark)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
-    return f"{folder}/{label}-{uuid.uuid4().hex}"
+    inside = getattr(_SCRATCH, "folders", [])
+    return f"{inside[-1] if inside else folder}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -58,6 +62,22 @@ def least_hashed(rows: DataFrame, n: int, tie: str) -> DataFrame:
     return near.orderBy("h", tie).limit(n)
 
 
+def kept_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """As ``written``, of what ``make`` returns; the intermediate tables that it wrote on the way are
+    deleted once the result is saved."""
+    path, scratch = fresh_path(spark, label), fresh_path(spark, "scratch")
+    folders = _SCRATCH.__dict__.setdefault("folders", [])
+    folders.append(scratch)
+    try:
+        df = make()
+        df.write.parquet(path)
+    finally:
+        folders.pop()
+        where = spark._jvm.org.apache.hadoop.fs.Path(scratch)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def discard(spark: SparkSession) -> None:
     """Delete all intermediate tables of the application, once the results that read them are
     saved. What is not discarded goes with the driver."""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..config import KOREAN, Lexicon
 from ..functions import text as T
 from ..operators.accounting import collector_rank, domain_filter
+from ..operators.lexical import LexicalIndex, write_lexical
 from ..plans.ship import ship
 
 EXTENSIONS = ("md", "pdf", "hwp", "hwpx")
@@ -125,8 +126,11 @@ def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return docs, text.where("error is not null").select("path", "error").unionByName(twins)
 
 
-def write_index(docs: DataFrame, chunks: DataFrame, folder: str, kind: str) -> None:
-    """docs, chunks (with their vectors as a column) and the kind of the vectors."""
+def write_index(docs: DataFrame, chunks: DataFrame, folder: str, kind: str, lexical: LexicalIndex | None = None) -> None:
+    """docs, chunks (with their vectors as a column), the kind of the vectors, and the lexical index,
+    which ``lexical.read_lexical`` reads from ``<folder>/lexical``."""
+    if lexical:
+        write_lexical(lexical, f"{folder}/lexical")
     docs.write.mode("overwrite").parquet(f"{folder}/docs")
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
     docs.sparkSession.createDataFrame([(kind,)], "kind string").write.mode("overwrite").json(f"{folder}/backend")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from belegwerk.config import KOREAN, Settings
 from belegwerk.functions import text
-from belegwerk.operators import accounting, answers, ask, chunking, dense, graph, lexical, search
+from belegwerk.operators import accounting, answers, ask, chunking, dense, evaluate, graph, lexical, search
 
 
 def test_spans_cover_the_body_and_stay_short():
@@ -200,7 +200,43 @@ def test_ask_refuses_twice_and_verifies_the_rest(spark):
     assert got[2]["answer"] == text.NOT_FOUND and got[3]["answer"] == text.NOT_ANSWERED and got[1]["mode"] == "extractive" and "[1]" in got[1]["answer"]
     assert {r["doc_id"] for r in out.citations.collect()} == {"a"} and {r["query_id"] for r in out.verification.collect()} == {1}
     assert {r["status"] for r in out.verification.collect()} <= {"grounded", "advisory"}  # quotes can't contradict
-    assert out.evidence.where("query_id = 1 and rank = 1").first()["lic_class"] == "open" and out.conflicts.count() == 0
+    assert out.evidence.where("query_id = 1 and rank = 1").first()["lic_label"] == text.LICENSE_LABELS["open"] and out.conflicts.count() == 0
+
+
+def test_evaluation_by_labelled_questions(spark):
+    texts = {"a": "The infant has a fever today and rests. Call the doctor about the fever soon.", "b": "Sleep training for older children takes some time.", "c": "Honey is for children over one year of age only."}
+    chunks = spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(texts.items())] + [(9, "d", "filler about ships"), (10, "d", "filler about ports")], "cidx long, doc_id string, text string")
+    rows = [(1, "infant fever doctor", ["a"], False), (2, "honey year", ["b", "c"], False), (3, "sleep training", ["zzz"], False), (4, "qqq xxx", [], True), (5, "ships", [], True), (6, "www", ["a"], False)]
+    q = spark.createDataFrame(rows, "query_id long, question string, relevant_docs array<string>, is_negative boolean")
+    r = evaluate.evaluate(q, chunks).first()
+    assert (r["n_positive"], r["n_negative"], r["n_answered"]) == (4, 2, 3)
+    assert r["refusal_recall"] == 0.5 and r["false_refusal"] == 0.25
+    hits, _ = search.hybrid_search(chunks, q.select("query_id", F.col("question").alias("text")), k=5)
+    docs = {i: [x["doc_id"] for x in hits.where(f"query_id = {i}").orderBy("rank").collect()] for i, *_ in rows}
+    best = [min((docs[i].index(d) + 1 for d in rel if d in docs[i]), default=None) for i, _, rel, neg in rows if not neg]
+    assert r["recall"] == sum(b is not None for b in best) / 4 and r["mrr"] == pytest.approx(sum(1 / b for b in best if b) / 4)
+    assert r["contradiction"] == 0 and r["uncited"] == 0 and 0 < r["mean_similarity"] <= 1
+
+
+def test_sources_that_are_not_there(spark):
+    changes = spark.createDataFrame([("a", False), ("x", False), ("x", True)], "doc_id string, enabled boolean")
+    docs = spark.createDataFrame([("a",), ("b",)], "doc_id string")
+    assert [r["doc_id"] for r in accounting.unknown_sources(changes, docs).collect()] == ["x"]
+    assert [r["doc_id"] for r in accounting.toggle_sources(docs.limit(0), changes, docs).collect()] == ["a"]
+
+
+def test_intermediate_tables_go(spark):
+    import os
+
+    from belegwerk.plans import store
+
+    there = lambda: set(os.listdir(store.shared_dir(spark).removeprefix("file:"))) if os.path.isdir(store.shared_dir(spark).removeprefix("file:")) else set()
+    before = there()
+    df = store.kept_alone(spark, lambda: store.written(store.written(spark.range(5), "one").where("id > 1"), "two"), "result")
+    assert df.count() == 3 and {n.split("-")[0] for n in there() - before} == {"result"}
+    store.discard(spark)
+    assert not there()
+    assert store.written(spark.range(2), "again").count() == 2
 
 
 def test_nli_labels_are_merged(spark):
