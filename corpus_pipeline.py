@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from belegwerk.llm.common import read_table, written
+from belegwerk.llm.common import read_table, written  # noqa: F401  written: for callers that keep a stage
 from belegwerk.llm.near_dedup import near_duplicates
 from belegwerk.llm.packing import packed
 from belegwerk.llm.pii import KEY_SETTING, TABLE_KEY, pseudonymised
 from belegwerk.llm.quality_rules import quality_rules
 from belegwerk.llm.substring_dedup import without_repeats
+from belegwerk.plans.store import kept_alone
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -64,7 +65,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents. A stage's intermediate tables go once its result is written."""
     docs = read_table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = kept_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
