@@ -16,9 +16,8 @@ encoded by the library itself, whose queue of merges takes n log n: ids are the
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ship import map_arrow
-from .common import _BASE, _powers, mix
+from .common import _BASE, _BASE_INV, _BYTE_KEYS, _powers, mix
+from .tokens import Memo
 
 MARK = "▁"
 MEMO = 500_000
 LONGEST = 256
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+", re.S)
+_MARK = MARK.encode()
 _U = np.uint64
 
 
@@ -86,12 +86,14 @@ class Codec:
             keys[of] = hashes[:, at[0, size - 1]]
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.at = np.zeros(1, dtype=np.int64)
-        self.flat = np.zeros(0, dtype=np.uint32)
+        self.memo = Memo(1 << 20)
+        raw = [p.replace(MARK, " ").encode() for p in pieces]
+        for b, i in enumerate(self.bytes.tolist()):
+            if i >= 0:
+                raw[i] = bytes([b])
+        self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.raw_sizes = np.array([len(r) for r in raw])
+        self.raw_at = np.cumsum(self.raw_sizes) - self.raw_sizes
 
     def _found(self, chars: np.ndarray) -> np.ndarray:
         """id[row, start, n - 1] of the piece there, -1 where there is none."""
@@ -169,52 +171,75 @@ class Codec:
         ids = [int(self.bytes[b]) for b in chr(code).encode("utf-8", "surrogatepass")]
         return ids if min(ids) >= 0 else [self.unknown]
 
-    def _learn(self, words: Sequence[str]) -> None:
-        by: dict[int, list[str]] = {}
-        for w in words:
-            by.setdefault(len(w), []).append(w)
+    def _learn(self, keys: np.ndarray, words: Sequence[str]) -> None:
+        by: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by.setdefault(len(w), []).append(i)
         for length, some in by.items():
             step = max(1, 1_000_000 // (length * self.width))
             for lo in range(0, len(some), step):
                 part = some[lo : lo + step]
-                chars = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(part), length)
+                chars = np.frombuffer("".join([words[i] for i in part]).encode("utf-32-le"), dtype=np.uint32).reshape(len(part), length)
                 ids, counts = self._merge(chars) if self.bpe else self._viterbi(chars)
-                self.memo.update(zip(part, range(len(self.at) - 1, len(self.at) - 1 + len(part))))
-                self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
-                self.flat = np.concatenate([self.flat, ids])
-
-    def words(self, text: str) -> list[str]:
-        """The normalised text cut before each run of space marks."""
-        return _WORD.findall(self.library.normalize(text))
-
-    def encode(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, in order."""
-        cut = [self.words(t) for t in texts]
-        whole = {i: self.library.encode(texts[i], num_threads=1) for i, ws in enumerate(cut) if any(len(w) > LONGEST for w in ws)}
-        cut = [[] if i in whole else ws for i, ws in enumerate(cut)]
-        flat = [w for ws in cut for w in ws]
-        new = set(flat) - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO:
-            self._clear()
-            new = set(flat)
-        self._learn(sorted(new))
-        slot = np.fromiter(map(self.memo.__getitem__, flat), dtype=np.int64, count=len(flat))
-        sizes = self.at[slot + 1] - self.at[slot]
+                self.memo.add(keys[part], counts, ids)
+
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The ids of each text, in order. The normalised texts are cut before each run of space
+        marks, all of them at once on their bytes, and words are looked up by their hashes."""
+        plain = [self.library.normalize(t).encode() for t in texts]
+        bounds = np.concatenate([[0], np.cumsum([len(p) for p in plain])]).astype(np.int64)
+        data, n = np.frombuffer(b"".join(plain), dtype=np.uint8), int(bounds[-1])
+        if not n:
+            return [np.zeros(0, dtype=np.uint32) for _ in texts]
+        mark = np.zeros(n + 3, dtype=bool)
+        mark[: max(n - 2, 0)] = (data[:-2] == _MARK[0]) & (data[1:-1] == _MARK[1]) & (data[2:] == _MARK[2])
+        first = mark[:n].copy()
+        first[3:] &= ~mark[: n - 3]
+        first[bounds[:-1][bounds[:-1] < n]] = True
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], n)
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        word_at = np.searchsorted(starts, bounds)
+        long = np.flatnonzero(points[ends] - points[starts] > LONGEST)
+        whole = {i: np.array(self.library.encode(texts[i], num_threads=1), dtype=np.uint32) for i in sorted(set((np.searchsorted(word_at, long, side="right") - 1).tolist()))}
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_KEYS[data] * _powers(_BASE, n), out=sums[1:])
+        h = (sums[ends] - sums[starts]) * _powers(_BASE_INV, n)[starts]
+        h = mix(h + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)) | _U(1)
+        used = np.ones(len(starts), dtype=bool)
+        for i in whole:
+            used[word_at[i] : word_at[i + 1]] = False
+        slot = np.full(len(starts), -1, dtype=np.int64)
+        slot[used] = self.memo.find(h[used])
+        missed = np.flatnonzero(used & (slot < 0))
+        if len(missed):
+            if len(self.memo) + len(missed) > MEMO:
+                self.memo.clear()
+                missed = np.flatnonzero(used)
+            keys, f = np.unique(h[missed], return_index=True)
+            raw = data.tobytes()
+            self._learn(keys, [raw[a:b].decode() for a, b in zip(starts[missed[f]].tolist(), ends[missed[f]].tolist())])
+            slot[missed] = self.memo.find(h[missed])
+        ids, stops = self.memo.ids(slot[used])
+        edge = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(used)])[word_at]]
+        return [whole[i] if i in whole else ids[edge[i] : edge[i + 1]] for i in range(len(texts))]
+
+    def decode_all(self, rows: Sequence[np.ndarray]) -> list[bytes]:
+        """The texts of rows of ids, as UTF-8: pieces and bytes joined, space marks as spaces, the
+        first dropped; what is no UTF-8 is replaced."""
+        ids = np.concatenate([np.zeros(0, dtype=np.int64), *rows]).astype(np.int64)
+        sizes = self.raw_sizes[ids]
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.at[slot] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(ws) for ws in cut])]).astype(np.int64)]
-        for i, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
-            yield np.array(whole[i], dtype=np.uint32) if i in whole else ids[a:b]
+        flat = self.raw[np.repeat(self.raw_at[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)].tolist()
+        out = []
+        for a, b in zip(edge[:-1], edge[1:]):
+            text = flat[a:b].decode("utf-8", "replace").encode()
+            out.append(text[1:] if text.startswith(b" ") else text)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of some ids: pieces and bytes joined, space marks as spaces, the first dropped."""
-        if not hasattr(self, "_raw"):
-            self._raw = [p.replace(MARK, " ").encode() for p in self.pieces]
-            for b, i in enumerate(self.bytes.tolist()):
-                if i >= 0:
-                    self._raw[i] = bytes([b])
-        whole = b"".join([self._raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
-        return whole[1:] if whole.startswith(" ") else whole
+        return self.decode_all([ids])[0].decode()
 
 
 def _model_type(proto: bytes) -> int:
@@ -272,12 +297,12 @@ def _encoded(name: str, keep: bool):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = list(coder.encode(texts))
+                ids = coder.encode(texts)
                 cols = {
                     "doc_id": part.column(0),
                     "n_pieces": pa.array([len(x) for x in ids], pa.int64()),
                     "ids_crc32": pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64()),
-                    "decoded_crc32": pa.array([zlib.crc32(coder.decode(x).encode("utf-8", "replace")) for x in ids], pa.int64()),
+                    "decoded_crc32": pa.array([zlib.crc32(x) for x in coder.decode_all(ids)], pa.int64()),
                 }
                 if keep:
                     cols["ids"] = pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int32()))

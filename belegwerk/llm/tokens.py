@@ -115,30 +115,21 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class WordEncoder:
-    def __init__(self, name: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import public_tokenizers
-        from tokenizers import Tokenizer
+class Memo:
+    """Segments by a 64-bit hash that is not 0 -> their ids, by open addressing in numpy."""
 
-        path = public_tokenizers.path(name)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocab, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.pairs = PairTable(np.array([vocab[a] for a, _ in merges]), np.array([vocab[b] for _, b in merges]))
-        self.joined = np.array([vocab[a + b] for a, b in merges], dtype=np.int32)
-        chars = _byte_chars()
-        self.inner = np.array([vocab[chars[b]] for b in range(256)], dtype=np.int32)
-        self.last = np.array([vocab[chars[b] + "</w>"] for b in range(256)], dtype=np.int32)
-        self._clear()
+    def __init__(self, slots: int = SLOTS):
+        self.least = slots
+        self.clear()
 
-    def _clear(self) -> None:
-        self._table(SLOTS)
+    def clear(self) -> None:
+        self._table(self.least)
         self.at = np.zeros(1, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint32)
 
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
     def _table(self, size: int) -> None:
         self.keys = np.zeros(size, dtype=np.uint64)
         self.slots = np.zeros(size, dtype=np.int32)
@@ -146,7 +137,7 @@ class WordEncoder:
     def _place(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(20) & np.uint64(len(self.keys) - 1)).astype(np.int64)
 
-    def _find(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray) -> np.ndarray:
         """Segment numbers of the keys, -1 for those not seen; 0 marks a free slot of the table."""
         at, last = self._place(keys), len(self.keys) - 1
         seen = self.keys[at]
@@ -160,9 +151,13 @@ class WordEncoder:
             open_ = open_[~hit & (seen != 0)]
         return out
 
-    def _insert(self, keys: np.ndarray, slots: np.ndarray) -> None:
-        """Add keys not seen so far; the table grows so that half of it stays free."""
-        if 2 * (len(self.at) - 1) > len(self.keys):
+    def add(self, keys: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
+        """Add keys not seen so far, each with ``counts`` ids of ``flat``, in order. The table grows
+        so that half of it stays free."""
+        slots = np.arange(len(self), len(self) + len(keys), dtype=np.int64)
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
+        self.flat = np.concatenate([self.flat, flat])
+        if 2 * len(self) > len(self.keys):
             used = np.flatnonzero(self.keys)
             keys, slots = np.concatenate([self.keys[used], keys]), np.concatenate([self.slots[used], slots])
             self._table(1 << int(4 * len(keys) - 1).bit_length())
@@ -176,6 +171,32 @@ class WordEncoder:
             left = left[self.keys[at[left]] != keys[left]]
             at[left] = (at[left] + 1) & last
 
+    def ids(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the segments, in one array, and where each ends."""
+        sizes = self.at[slot + 1] - self.at[slot]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.at[slot] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+
+class WordEncoder:
+    def __init__(self, name: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        path = public_tokenizers.path(name)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.pairs = PairTable(np.array([vocab[a] for a, _ in merges]), np.array([vocab[b] for _, b in merges]))
+        self.joined = np.array([vocab[a + b] for a, b in merges], dtype=np.int32)
+        chars = _byte_chars()
+        self.inner = np.array([vocab[chars[b]] for b in range(256)], dtype=np.int32)
+        self.last = np.array([vocab[chars[b] + "</w>"] for b in range(256)], dtype=np.int32)
+        self.memo = Memo(SLOTS)
+
     def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, simple: np.ndarray, raw: np.ndarray) -> None:
         n = len(keys)
         counts = np.zeros(n, dtype=np.int64)
@@ -201,10 +222,7 @@ class WordEncoder:
             flat[((ends - counts)[of][:, None] + np.arange(ids.shape[1]))[used]] = ids[used]
         for i, x in zip(odd.tolist(), made):
             flat[ends[i] - counts[i] : ends[i]] = x
-        slots = np.arange(len(self.at) - 1, len(self.at) - 1 + n, dtype=np.int64)
-        self.at = np.concatenate([self.at, self.at[-1] + ends])
-        self.flat = np.concatenate([self.flat, flat])
-        self._insert(keys, slots)
+        self.memo.add(keys, counts, flat)
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order; null is empty."""
@@ -264,19 +282,17 @@ class WordEncoder:
             np.cumsum(_BYTE_KEYS[low] * _powers(_BASE, n), out=sums[1:])
             h = (sums[ends] - sums[starts]) * _powers(_BASE_INV, n)[starts]
             h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + simple.astype(np.uint64)) | np.uint64(1)
-            slot = self._find(h)
+            slot = self.memo.find(h)
             missed = np.flatnonzero(slot < 0)
             if len(missed):
-                if len(self.at) + len(missed) > MEMO:
-                    self._clear()
+                if len(self.memo) + len(missed) > MEMO:
+                    self.memo.clear()
                     missed = np.arange(len(h))
                 keys, f = np.unique(h[missed], return_index=True)
                 f = missed[f]
                 self._learn(keys, low, starts[f], (ends - starts)[f], simple[f], data)
-                slot[missed] = self._find(h[missed])
-            sizes = self.at[slot + 1] - self.at[slot]
-            stops = np.cumsum(sizes)
-            ids = self.flat[np.repeat(self.at[slot] - (stops - sizes), sizes) + np.arange(int(stops[-1]))]
+                slot[missed] = self.memo.find(h[missed])
+            ids, stops = self.memo.ids(slot)
             edge = np.concatenate([[0], stops])[np.append(unit_at, len(starts))[words.at]]
             for d in range(j - i):
                 yield ids[edge[d] : edge[d + 1]]
