@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.store import fresh_path, least_hashed, written  # noqa: F401  for the operators
 
-#: Bytes of text that one numpy step works on; a longer document is a step of its own.
-STEP_BYTES = 1 << 21
+#: Bytes of text that one numpy step works on, which needs some sixty times that for its arrays; a
+#: longer document is a step of its own.
+STEP_BYTES = 1 << 19
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

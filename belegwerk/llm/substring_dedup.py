@@ -212,7 +212,7 @@ def _cut(window: int, keep_text: bool, carry: str | None):
                         joined = b" ".join([raw[s:e] for s, e in spans])
                         digests.append(hashlib.sha256(joined).hexdigest())
                         if keep_text:
-                            kept.append(joined.decode() if removed[-1] else source[i + d].as_py())
+                            kept.append(joined.decode() if removed[-1] else None if carry else source[i + d].as_py())
                 out = [part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
                 if keep_text:
@@ -231,7 +231,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, kee
     A word goes when it lies in ``window`` consecutive words that also stand in a document with a
     smaller doc_id; all windows are judged on the input. kept_sha256 is of the kept words joined
     by one space. kept_text is that string, or the text as it was where nothing goes (null stays
-    null). Null, blank and short texts have no window and lose nothing. Repeats inside one
+    null); with ``carry`` it is null there, for the row holds the text. Null, blank and short texts have no window and lose nothing. Repeats inside one
     document, or among rows of one doc_id, are no reason; rows of one doc_id with different texts
     are cut each by itself; rows without a doc_id lose nothing. Other columns are ignored, or only
     carried along; an empty table gives an empty result.
