@@ -31,7 +31,7 @@ class LexicalIndex:
         return self.counts.select("cidx", "dl", F.explode("entries").alias("e")).select("cidx", "e.term", "e.tf", "dl")
 
 
-def _run_lengths(ws: Column) -> Column:
+def run_lengths(ws: Column) -> Column:
     """Each distinct word of an array and how often it stands there."""
 
     def counted(s: Column) -> Column:
@@ -51,7 +51,7 @@ def build_index(chunks: DataFrame, analyzer: Analyzer | None = None, store: bool
     and the terms are written to the shared folder, so that no reader makes them again."""
     keep = written if store else lambda df, _: df
     worded = chunks.select("cidx", tokens(F.col("text"), analyzer).alias("ws"))
-    counts = keep(worded.select("cidx", F.size("ws").alias("dl"), _run_lengths(F.col("ws")).alias("entries")), "counts")
+    counts = keep(worded.select("cidx", F.size("ws").alias("dl"), run_lengths(F.col("ws")).alias("entries")), "counts")
     stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = counts.select(F.explode("entries.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = keep(df, "frequencies").crossJoin(F.broadcast(stats)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))

@@ -69,16 +69,18 @@ def hybrid_search(
         dense = d_rank = written(dense_ops.nearest(asked, near, settings.pool), "dense")
     else:
         weights, idf = dense_ops.tfidf(chunks)
-        dense = written(dense_ops.tfidf_scores(weights, idf, queries).join(on, "cidx", "left_semi"), "dense")
+        weights = weights.join(on, "cidx", "left_semi") if disabled is not None else weights
+        dense = written(dense_ops.tfidf_scores(weights, idf, queries, settings.pool), "dense")
         full = lexical.zero_filled(dense.withColumnRenamed("dense", "bm25"), queries, on, settings.pool).withColumnRenamed("bm25", "dense")
         d_rank = lexical.top_ranked(full, "dense", settings.pool, "rank")
-    pool = rrf_fuse(d_rank, b_rank, settings.rrf_k).where(F.col("fused_rank") <= settings.pool)
+    pool = written(rrf_fuse(d_rank, b_rank, settings.rrf_k).where(F.col("fused_rank") <= settings.pool), "pool")
     hits = pool.join(lex, ["query_id", "cidx"], "left").join(chunks.select("cidx", "doc_id", "text"), "cidx")
     if encode:  # hits of the lexical ranking alone have a cosine too
         pair = hits.select("query_id", "cidx").join(asked.select("query_id", F.col("v").alias("q")), "query_id").join(vectors.select("cidx", "v"), "cidx")
         hits = hits.join(pair.select("query_id", "cidx", dense_ops.cosine(F.col("q"), F.col("v")).alias("dense")), ["query_id", "cidx"], "left")
     else:
-        hits = hits.join(dense, ["query_id", "cidx"], "left")
+        pairs = dense_ops.tfidf_pairs(weights, idf, queries, pool.select("query_id", "cidx"))
+        hits = hits.join(pairs, ["query_id", "cidx"], "left")
     if rerank:
         scored = rerank(hits.select("query_id", "cidx", "text").join(queries.select("query_id", F.col("text").alias("query")), "query_id"))
         hits = hits.join(scored, ["query_id", "cidx"], "left")
