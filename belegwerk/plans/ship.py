@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -33,6 +35,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` whose function may refer to this package."""
-    ship(df.sparkSession)
+    """``mapInArrow`` whose function may refer to this package. A batch is a copy of its rows outside
+    the heap, on either side, and rows may be whole documents: the session's limit on the rows of
+    a batch is lowered to BATCH_ROWS where it is above."""
+    spark = df.sparkSession
+    ship(spark)
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
