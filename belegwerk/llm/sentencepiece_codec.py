@@ -86,7 +86,7 @@ class Codec:
             keys[of] = hashes[:, at[0, size - 1]]
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
-        self.memo = Memo(1 << 20)
+        self.memo = Memo()
         raw = [p.replace(MARK, " ").encode() for p in pieces]
         for b, i in enumerate(self.bytes.tolist()):
             if i >= 0:

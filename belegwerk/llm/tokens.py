@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from .common import _BASE, _BASE_INV, _BYTE_KEYS, _powers, mix, steps
 
 MEMO = 1_500_000
-SLOTS = 1 << 22
+SLOTS = 1 << 18
 LONGEST = 48
 _NONE = np.int32(2**31 - 1)
 
