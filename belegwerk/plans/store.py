@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MARKED: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SCRATCH = threading.local()
 
 
@@ -42,12 +43,24 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{inside[-1] if inside else folder}/{label}-{uuid.uuid4().hex}"
 
 
+def _save(df: DataFrame, path: str) -> None:
+    """Write ``df``. The shuffle files of the execution go with its end, since what is read from then
+    on is the table; else they stay until the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, lost executors
     cost nothing, and the reader knows the size."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    _save(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,7 +83,7 @@ def kept_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -
     folders.append(scratch)
     try:
         df = make()
-        df.write.parquet(path)
+        _save(df, path)
     finally:
         folders.pop()
         where = spark._jvm.org.apache.hadoop.fs.Path(scratch)
