@@ -31,6 +31,8 @@ from .common import pair_hash, rolled, steps, written
 
 WINDOW = 50
 KMER = 25
+#: Ids with several texts up to which they are broadcast.
+FEW_IDS = 100_000
 
 
 def _spread_min(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -141,27 +143,38 @@ def _paths(steps_: DataFrame, label: str) -> DataFrame:
             return settled
 
 
-def repeated_windows(texts: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """``texts(doc_id, text, version)``, a version being a hash of the text -> (doc_id, version, whole,
-    windows): what goes of a text, all of it for a later copy of a whole word sequence, else the
-    first places of the windows that a document of a smaller id has."""
+def _versioned(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """``rows`` whose version is 0 but where their doc_id has several: a number that moves with every
+    anchor should cost nothing. Ids that repeat are few, and broadcast where a count shows it."""
+    twice = twice.withColumn("again", F.lit(True))
+    few = F.broadcast(twice) if twice.limit(FEW_IDS + 1).count() <= FEW_IDS else twice
+    return rows.join(few, "doc_id", "left").withColumn("version", F.when(F.col("again"), F.col("version")).otherwise(F.lit(0))).drop("again")
+
+
+def repeated_windows(texts: DataFrame, window: int = WINDOW, kmer: int = KMER) -> tuple[DataFrame, DataFrame]:
+    """``texts(doc_id, text, version)``, a version being a hash of the text -> (cuts(doc_id, version,
+    whole, windows), twice(doc_id)): what goes of a text, all of it for a later copy of a whole word
+    sequence, else the first places of the windows that a document of a smaller id has; versions
+    are 0 but for the ids of ``twice``, which have several texts."""
     row = ["doc_id", "version"]
     made = map_arrow(texts, _profile(window, kmer), "doc_id long, version long, n_words long, digest binary, places array<int>, marks array<long>")
     made = written(made, "sub-profile")
-    some = made.where("digest is not null and doc_id is not null")
+    twice = made.groupBy("doc_id").agg(F.min("version").alias("x"), F.max("version").alias("y")).where("doc_id is not null and x <> y").select("doc_id")
+    twice = written(twice, "sub-twice")
+    texts = _versioned(texts, twice)
+    some = _versioned(made.where("digest is not null and doc_id is not null"), twice)
     first = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "sub-first")
     copies = some.select(*row, "digest").join(first, "digest").where("doc_id > rep").select(*row).distinct()
     copies = written(copies, "sub-copies")
     alone = some.join(copies, row, "left_anti")
-    occurs = alone.select(
-        *row, F.posexplode(F.arrays_zip("places", "marks", F.slice("marks", 2, F.size("marks")).alias("then"))).alias("at", "x")
-    ).select(*row, "at", F.col("x.places").alias("place"), F.col("x.marks").alias("mark"), F.col("x.then").alias("following"))
+    occurs = alone.select(*row, F.posexplode(F.arrays_zip("places", "marks")).alias("at", "x"))
+    occurs = occurs.select(*row, "at", F.col("x.places").alias("place"), F.col("x.marks").alias("mark"))
     often = written(
         occurs.groupBy("mark").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("mark"), "sub-often"
     )
     occurs = written(occurs.join(often, "mark"), "sub-occurs")
-    ways = occurs.where("following is not null").join(often.withColumnRenamed("mark", "following"), "following", "left_semi")
-    paths = _paths(ways.select("mark", "following"), "sub-paths")
+    after = occurs.select(*row, (F.col("at") - 1).alias("at"), F.col("mark").alias("following"))
+    paths = _paths(occurs.join(after, [*row, "at"]).select("mark", "following"), "sub-paths")
     placed = occurs.join(paths, "mark", "left").select(
         *row, "at", "place", F.coalesce("head", "mark").alias("head"), F.coalesce("depth", F.lit(0)).alias("depth")
     )
@@ -178,7 +191,7 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, kmer: int = KMER) -
     gone = each.join(owner, ["hash", "more"]).where("doc_id > owner")
     cut = gone.groupBy(*row).agg(F.collect_list("place").alias("windows")).select(*row, F.lit(False).alias("whole"), "windows")
     whole = copies.select(*row, F.lit(True).alias("whole"), F.array().cast("array<int>").alias("windows"))
-    return written(cut.union(whole), "sub-cuts")
+    return written(cut.union(whole), "sub-cuts"), twice
 
 
 def _cut(window: int, keep_text: bool, carry: str | None):
@@ -239,8 +252,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, kee
     text = F.col("text").cast("string")
     given = docs.select(F.struct(*(docs.columns if carry else ["text"])).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"))
-    cuts = repeated_windows(texts, window, kmer)
+    cuts, twice = repeated_windows(texts, window, kmer)
     fields = [StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())]
     fields += [StructField("kept_text", StringType())] * keep_text + ([StructField(carry, given.schema["row"].dataType)] if carry else [])
-    joined = given.join(cuts, ["doc_id", "version"], "left").select("doc_id", "row", "whole", "windows")
+    joined = _versioned(given, twice).join(cuts, ["doc_id", "version"], "left").select("doc_id", "row", "whole", "windows")
     return map_arrow(joined, _cut(window, keep_text, carry), StructType(fields))
