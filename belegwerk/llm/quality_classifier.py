@@ -72,7 +72,7 @@ def _contexts(batches):
             if len(firsts):
                 table[w[order][firsts]] += np.add.reduceat(around[order], firsts, axis=0)
                 seen += np.bincount(w, minlength=BUCKETS)
-    yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["vectors", "seen"])
+    yield pa.RecordBatch.from_arrays([pa.array([table.astype(np.float32).tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["vectors", "seen"])
 
 
 def pooled(words, contexts: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -171,10 +171,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     # every document is scanned once for the sample, in as many tasks as there are; the few rows are written
     learned = written(texts.join(F.broadcast(chosen), "doc_id"), "quality-sample")
 
-    parts = map_arrow(learned.select("text").coalesce(8), _contexts, "vectors binary, seen binary").collect()  # one fixed-size table for each of at most 8 tasks
+    parts = map_arrow(learned.select("text").coalesce(2), _contexts, "vectors binary, seen binary").collect()  # one fixed-size table for each of at most 2 tasks
     table, seen = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS, dtype=np.int64)
     for r in parts:
-        table += np.frombuffer(r["vectors"]).reshape(BUCKETS, DIM)
+        table += np.frombuffer(r["vectors"], dtype=np.float32).reshape(BUCKETS, DIM)
         seen += np.frombuffer(r["seen"], dtype=np.int64)
     index = index_vectors()
     table = np.where(seen[:, None] > 0, table / np.maximum(seen, 1)[:, None], 0)
