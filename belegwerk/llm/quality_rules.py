@@ -93,8 +93,8 @@ def measures(docs: DataFrame, carry: str | None = None) -> DataFrame:
     else:
         kept, at = [], ""
     text = F.coalesce(F.col(f"{at}text").cast("string"), F.lit(""))
-    base = docs.select(F.col(f"{at}doc_id").alias("doc_id"), *(kept or [F.col("text").alias("_t")]), words_of(text).alias("_w"))
-    text = F.coalesce(F.col(f"{carry}.text" if carry else "_t").cast("string"), F.lit(""))
+    base = docs.select(F.col(f"{at}doc_id").alias("doc_id"), *(kept or [text.alias("_t")]), words_of(text).alias("_w"))
+    text = F.coalesce(F.col(f"{carry}.text").cast("string"), F.lit("")) if carry else F.col("_t")
     base = base.withColumn("_n", F.size("_w"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     counted = base.select(
