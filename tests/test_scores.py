@@ -55,3 +55,22 @@ def test_the_best_from_either_side_and_in_blocks(spark, monkeypatch, many):
         a, b = unit(q[r["query_id"]].replace("\x1c", "\x1d") if q[r["query_id"]] else ""), unit(c[r["cidx"]])
         if "\x1c" not in (q[r["query_id"]] or "") + (c[r["cidx"]] or ""):
             assert r["dense"] == pytest.approx(sum(x * b.get(g, 0.0) for g, x in a.items()), abs=1e-9)
+
+
+def test_nearest_rows_in_strips_and_tiles(spark, monkeypatch):
+    """Pairs of small blocks were joined: a block went to the driver, or by shuffle, once for each other."""
+    import numpy as np
+
+    monkeypatch.setattr(dense, "TILE", (3, 5))
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(12, 4))[rng.integers(0, 12, 60)]  # copies tie
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, i % 7, x.tolist()) for i, x in enumerate(v)], "id long, own long, v array<double>")
+    for apart in (False, True):
+        found = dense.block_top_k(rows, rows, 3, block=20, apart=apart)
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r["query_id"], r["rank"]): r["cidx"] for r in found.collect()}
+        sims = (v @ v.T).round(10)
+        for i in range(60):
+            want = sorted((j for j in range(60) if j != i and not (apart and j % 7 == i % 7)), key=lambda j: (-sims[i, j], j))[:3]
+            assert [got[i, r + 1] for r in range(3)] == want
