@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from belegwerk.operators import dense, lexical, scores
+from belegwerk.plans import store
 
 TEXTS = ["Honey for an infant, honey!", "the fever of an infant", "", "ships in ports", "honey for an infant honey", None, "x\x1cy a", "fever Fever"]
 
@@ -22,6 +23,44 @@ def test_grams_are_those_of_the_column(spark):
         assert sorted(g for w in scores.words(r["t"]) for g in scores.grams(w)) == sorted(r["g"])
 
 
+@pytest.mark.parametrize("known", [None, ["ab", " ab", "bcd ", "\U0001f600 ", "abcd", "zz"]])
+def test_words_are_cut_together(monkeypatch, known):
+    """A loop over the grams of each new word took most of a search's time."""
+    texts = ["ab abcd a", "", None, "x\U0001f600 abcd ab", "bcd 가나 zzz"]
+    want = [sorted(g for w in scores.words(t or "") for g in scores.grams(w) if known is None or g in known) for t in texts]
+    monkeypatch.setattr(scores, "grams", None)
+    words = scores._Words(known, None, True, True)
+    got = [[] for _ in texts]
+    for lo in (0, 3):  # a later batch adds words
+        row, number = words.of_grams(*words.read(texts[lo : lo + 3]))
+        names = words.gram.names() if known is None else known
+        for r, i in zip(row, number):
+            got[lo + r].append(names[i])
+    assert [sorted(x) for x in got] == want
+
+
+def test_candidates_are_ranked_by_exact_sums(spark):
+    """Products of 4-byte numbers alone would take any of these: they differ beyond the 8th place."""
+    base = " ".join(f"w{i}x{j}" for i in range(40) for j in range(10))
+    chunks = spark.createDataFrame([(i, base + " q" * (i % 7) + " end") for i in range(40)], "cidx long, text string")
+    queries = spark.createDataFrame([(0, base * 3 + " q"), (1, "q end"), (2, "nothing")], "query_id long, text string")
+    known = scores.vocabulary(chunks)
+    every = {(r["query_id"], r["cidx"]): r["dense"] for r in scores.best(chunks, queries, known, 40, ("dense",)).collect()}
+    assert len(every) == 120
+    for q in range(3):
+        want = sorted(range(40), key=lambda i: (-round(every[q, i], 12), i))[:3]
+        got = {r["cidx"] for r in scores.best(chunks, queries.where(f"query_id = {q}"), known, 3, ("dense",)).collect()}
+        assert set(want) <= got
+
+
+def test_a_table_of_one_file_is_many_tasks(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    one = spark.read.parquet(str(tmp_path / "t"))
+    parts = store.spread(one)
+    assert parts.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism and store.spread(parts) is parts
+    assert {r[0] for r in parts.collect()} == set(range(100))
+
+
 @pytest.mark.parametrize("many", ["questions", "chunks"])
 def test_the_best_from_either_side_and_in_blocks(spark, monkeypatch, many):
     """A plan or a table on the driver for each 256 questions failed where questions are many."""
