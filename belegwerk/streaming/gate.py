@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +15,8 @@ from ..functions.text import SENTINEL
 from ..plans.ship import ship
 
 OUT = "request_id string, seq long, event string, data string"
-_STATE = "held string, full string, next long, passed boolean, refused boolean"
+_STATE = "opened string"  # JSON of pairs: a request, and what is kept of it
+_COLUMNS = ("seq", "token", "last", "n_evidence", "failed", "fallback")
 _MARK = re.compile(r"\[(\d+)\]")
 
 
@@ -38,7 +40,7 @@ def cites(text: str, n_evidence: int) -> bool:
     return any(len(m) < 10 and 1 <= int(m) <= n_evidence for m in _MARK.findall(text))
 
 
-def gate(tokens: DataFrame, idle_ms: int | None = None) -> DataFrame:
+def gate(tokens: DataFrame, idle_ms: int | None = None, buckets: int = 2048) -> DataFrame:
     """Streaming ``tokens(request_id, seq, token, last, ...)`` -> request_id, seq, event, data, in
     append mode.
 
@@ -49,58 +51,64 @@ def gate(tokens: DataFrame, idle_ms: int | None = None) -> DataFrame:
     State is the text of each open request; an event's place in its request makes a repeated write
     recognisable. A request that says nothing for ``idle_ms`` is dropped; leave it None for a
     finite stream, which would else wait for time to pass.
+    Requests meet in ``buckets``, each one state and one call, since a call costs some 10 ms however
+    little it does. A bucket's rows of a batch are in memory together; a checkpoint fixes the number.
     """
-    counted, may_fail = "n_evidence" in tokens.columns, "failed" in tokens.columns
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held, full, nxt, passed, refused = state.get if state.exists else ("", "", 0, False, False)
-        out, ended = [], False
-
-        def say(event: str, data: str = "") -> None:
-            nonlocal nxt
-            out.append((key[0], nxt, event, data))
-            nxt += 1
-
-        def close(row, text: str) -> None:
-            cited = not counted or cites(text, 0 if pd.isna(row.n_evidence) else int(row.n_evidence))
-            say("meta" if cited else "refused")
-
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-            if ended:
-                break
-            if may_fail and row.failed == True:  # noqa: E712  numpy booleans and nulls too
-                ended = True
-                if refused:
-                    break
-                if not isinstance(row.fallback, str) or counted and not cites(row.fallback, 0 if pd.isna(row.n_evidence) else int(row.n_evidence)):
-                    say("refused")
-                else:
-                    say("delta", row.fallback)
-                    say("meta")
-                break
-            piece = row.token if isinstance(row.token, str) else ""
+    known = {c for c in tokens.columns if c in _COLUMNS and (c != "fallback" or "failed" in tokens.columns)}
+    counted = "n_evidence" in known
+
+    def cited(text: str, n) -> bool:
+        return not counted or cites(text, 0 if pd.isna(n) else int(n))
+
+    def request(rows: list[tuple], before: list | None, say: Callable[[int, str, str], None]) -> list | None:
+        """Says a request's events; what is kept of it while it is open."""
+        held, full, nxt, passed, refused = before or ("", "", 0, False, False)
+        for _, token, last, n, failed, fallback in sorted(rows, key=lambda r: r[0]):
+            if failed == True:  # noqa: E712  nulls too
+                if not refused and isinstance(fallback, str) and cited(fallback, n):
+                    say(nxt, "delta", fallback)
+                    say(nxt + 1, "meta", "")
+                elif not refused:
+                    say(nxt, "refused", "")
+                return None
+            piece = token if isinstance(token, str) else ""
             full += piece
-            held, passed, refused, events = step(held, passed, refused, piece, bool(row.last))
+            held, passed, refused, events = step(held, passed, refused, piece, bool(last))
             for event, data in events:
-                say(event, data)
-            if row.last:
-                ended = True
+                say(nxt, event, data)
+                nxt += 1
+            if last:
                 if not refused:
-                    close(row, full)
-        if ended:
-            state.remove()
-        else:
-            state.update((held, full, nxt, passed, refused))
+                    say(nxt, "meta" if cited(full, n) else "refused", "")
+                return None
+        return [held, full, nxt, passed, refused]
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        opened = dict(json.loads(state.get[0])) if state.exists else {}
+        now, out, rows = state.getCurrentProcessingTimeMs() if idle_ms else 0, [], {}
+        for frame in frames:
+            columns = [frame[c].tolist() if c in known else [None] * len(frame) for c in _COLUMNS]
+            for name, *row in zip(frame["request_id"].tolist(), *columns):
+                rows.setdefault(name, []).append(row)
+        for name, mine in rows.items():
+            *before, _ = opened.pop(name, [None])
+            left = request(mine, before, lambda *event: out.append((name, *event)))
+            if left:
+                opened[name] = [*left, now]
+        if idle_ms:
+            opened = {k: v for k, v in opened.items() if v[-1] + idle_ms > now}
+        if opened:
+            state.update((json.dumps(list(opened.items())),))
             if idle_ms:
-                state.setTimeoutDuration(idle_ms)
+                state.setTimeoutDuration(min(v[-1] for v in opened.values()) + idle_ms - now)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["request_id", "seq", "event", "data"])
 
     ship(tokens.sparkSession)
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return tokens.groupBy("request_id").applyInPandasWithState(run, OUT, _STATE, "append", timeout)
+    dealt = tokens.withColumn("bucket", F.pmod(F.xxhash64("request_id"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandasWithState(run, OUT, _STATE, "append", timeout)
 
 
 def citation_stream(events: DataFrame) -> DataFrame:

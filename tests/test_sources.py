@@ -150,3 +150,22 @@ def test_gate_holds_back_a_split_sentinel():
         held, passed, refused, events = gate.step(held, passed, refused, piece, i == 3)
         out += events
     assert "".join(d for _, d in out) == "Hello, this is it!" and out[0][1] == "Hello, this is it"
+
+
+def test_gate_keeps_requests_of_a_bucket_apart(spark, tmp_path):
+    """A call and a state for each request took 10 ms each. Requests go on over batches."""
+    shape = "request_id string, seq long, token string, last boolean, n_evidence int"
+    parts = [
+        [("a", 0, "A long answer ", False, 1), ("b", 1, "rt", False, 1), ("b", 0, "sho", False, 1), ("c", 0, "__NO_ANS", False, 1)],
+        [("a", 1, "ends.[1]", True, 1), ("b", 2, "", True, 1), ("c", 1, "WER__", True, 1), ("d", 0, "one [1]", True, 1)],
+    ]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = gate.gate(spark.readStream.schema(shape).parquet(str(tmp_path / "in")), buckets=1)
+        assert "bucket" in str(stream._jdf.queryExecution().logical())
+        stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out")).awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [
+        ("a", 0, "delta", "A long answer "), ("a", 1, "delta", "ends.[1]"), ("a", 2, "meta", ""),
+        ("b", 0, "delta", "short"), ("b", 1, "refused", ""), ("c", 0, "refused", ""), ("d", 0, "delta", "one [1]"), ("d", 1, "meta", ""),
+    ]
