@@ -113,3 +113,51 @@ def test_nearest_rows_in_strips_and_tiles(spark, monkeypatch):
         for i in range(60):
             want = sorted((j for j in range(60) if j != i and not (apart and j % 7 == i % 7)), key=lambda j: (-sims[i, j], j))[:3]
             assert [got[i, r + 1] for r in range(3)] == want
+
+
+@pytest.mark.parametrize("known", [None, ["ab", " 가", "나 ", "xyz ", "yz", "가나다"]])
+def test_grams_of_texts_in_array_passes(monkeypatch, known):
+    """A pass over each distinct word took most of a search's time; characters beyond the arrays are found too."""
+    texts = ["ab　xyz  ab\n", None, "  ", "가나다 \U0001f600\x1cb é\x00", "a", "xyz\tab 가나다"] + [chr(0x4E00 + i) * 3 for i in range(9)]
+    want = [sorted(g for w in scores.words(t or "") for g in scores.grams(w) if known is None or g in known) for t in texts]
+    for wide, high in ((1024, 4096), (3, 4)):
+        monkeypatch.setattr(scores, "WIDE", wide)
+        monkeypatch.setattr(scores, "HIGH", high)
+        cut = scores._Grams(known)
+        got = [[] for _ in texts]
+        for lo in (0, 4, 8, 20):
+            row, number = cut.of(*cut.read(texts[lo : lo + 4] if lo < 8 else texts[lo:20]))
+            names = cut.names() if known is None else known
+            for r, i in zip(row.tolist(), number.tolist()):
+                got[lo + r].append(names[i])
+        assert [sorted(x) for x in got] == want
+
+
+def test_counts_that_are_sent_on_early(spark, monkeypatch):
+    """A corpus of more grams and terms than a task keeps, in slices, has the same vocabulary."""
+    chunks = spark.createDataFrame([(i, f"Honey w{i} w{i % 7} ex{i}ample, honey") for i in range(60)], "cidx long, text string").coalesce(1)
+
+    def made():
+        v = scores.vocabulary(chunks)
+        return sorted(map(tuple, v.terms.collect())), sorted(map(tuple, v.features.collect())), v.stats.first()
+
+    whole = made()
+    for name, value in (("CACHED", 9), ("COUNTED", 50), ("SLICE", 4)):
+        monkeypatch.setattr(scores, name, value)
+    terms, features, stats = made()
+    assert [t[:2] for t in terms] == [t[:2] for t in whole[0]] and [t[2] for t in terms] == pytest.approx([t[2] for t in whole[0]])
+    assert features == whole[1] and stats == whole[2]
+
+
+@pytest.mark.parametrize("few", [0, 1, 99])
+def test_rare_grams_are_summed_one_by_one(spark, monkeypatch, few):
+    """Products of rare grams were a matrix of all of them for each chunk, most of it zeros."""
+    monkeypatch.setattr(scores, "FEW", few)
+    chunks = spark.createDataFrame([(i, f"honey for infant{i % 5} w{i}") for i in range(30)], "cidx long, text string")
+    queries = spark.createDataFrame([(0, "infant1 w7"), (1, "honey"), (2, ""), (3, "w7 infant3 w29")], "query_id long, text string")
+    known = scores.vocabulary(chunks)
+    got = {(r["query_id"], r["cidx"]): r["dense"] for r in scores.best(chunks, queries, known, 30, ("dense",)).collect()}
+    monkeypatch.setattr(scores, "FEW", 2)
+    want = {(r["query_id"], r["cidx"]): r["dense"] for r in scores.best(chunks, queries, known, 30, ("dense",)).collect()}
+    assert len(got) == 120 and got == pytest.approx(want, abs=1e-12)
+    assert max(range(30), key=lambda c: got[0, c]) == 7
