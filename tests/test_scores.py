@@ -161,3 +161,18 @@ def test_rare_grams_are_summed_one_by_one(spark, monkeypatch, few):
     want = {(r["query_id"], r["cidx"]): r["dense"] for r in scores.best(chunks, queries, known, 30, ("dense",)).collect()}
     assert len(got) == 120 and got == pytest.approx(want, abs=1e-12)
     assert max(range(30), key=lambda c: got[0, c]) == 7
+
+
+def test_no_table_of_all_questions_goes_to_the_driver(spark):
+    """Ranks, scores and signals were joined, the smaller table by way of the driver."""
+    from belegwerk.operators import search
+
+    chunks = spark.createDataFrame([(i, i // 2, f"honey w{i} for infants") for i in range(6)], "cidx long, doc_id long, text string")
+    queries = spark.createDataFrame([(i, f"honey w{i % 9}") for i in range(40)] + [(40, None)], "query_id long, text string")
+    hits, signals = search.hybrid_search(chunks, queries)
+    plan = signals._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    got = {r["query_id"]: r for r in signals.collect()}
+    assert len(got) == 41 and got[40]["n_hits"] == 4 and got[40]["dense_top"] == got[40]["bm25_top"] == 0.0
+    top = {r["query_id"]: r for r in hits.where("rank = 1").collect()}
+    assert top[3]["cidx"] == 3 and top[3]["score"] == got[3]["dense_top"] and top[3]["bm25_score"] == got[3]["bm25_top"]
