@@ -176,3 +176,17 @@ def test_no_table_of_all_questions_goes_to_the_driver(spark):
     assert len(got) == 41 and got[40]["n_hits"] == 4 and got[40]["dense_top"] == got[40]["bm25_top"] == 0.0
     top = {r["query_id"]: r for r in hits.where("rank = 1").collect()}
     assert top[3]["cidx"] == 3 and top[3]["score"] == got[3]["dense_top"] and top[3]["bm25_score"] == got[3]["bm25_top"]
+
+
+def test_two_texts_meet_once_for_conflicts(spark):
+    """Claims of each hit were split anew, and met by question."""
+    from belegwerk.config import PROSE
+    from belegwerk.operators import answers
+
+    lexicon = PROSE.__class__(**{**PROSE.__dict__, "positive": ("should",), "negative": ("never",)})
+    texts = {1: "Honey should go to an infant daily.", 2: "Ships sail on. Honey never go to an infant daily.", 3: "Rest is best for all."}
+    ranked = [(q, r, c, c * 10, texts[c]) for q, order in enumerate(((1, 2, 3), (3, 2, 1), (3, 1, 3))) for r, c in enumerate(order, 1)]
+    hits = spark.createDataFrame(ranked, "query_id long, rank int, cidx long, doc_id long, text string")
+    for rows in (hits, hits.drop("cidx")):
+        got = {r["query_id"]: (r["between"], r["docs"], r["claims"]) for r in answers.source_conflict(rows, lexicon).collect()}
+        assert got == {0: ([1, 2], [10, 20], [texts[1], texts[2][15:]]), 1: ([2, 3], [20, 10], [texts[2][15:], texts[1]])}
