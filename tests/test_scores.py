@@ -188,5 +188,7 @@ def test_two_texts_meet_once_for_conflicts(spark):
     ranked = [(q, r, c, c * 10, texts[c]) for q, order in enumerate(((1, 2, 3), (3, 2, 1), (3, 1, 3))) for r, c in enumerate(order, 1)]
     hits = spark.createDataFrame(ranked, "query_id long, rank int, cidx long, doc_id long, text string")
     for rows in (hits, hits.drop("cidx")):
-        got = {r["query_id"]: (r["between"], r["docs"], r["claims"]) for r in answers.source_conflict(rows, lexicon).collect()}
+        found = answers.source_conflict(rows, lexicon)
+        assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+        got = {r["query_id"]: (r["between"], r["docs"], r["claims"]) for r in found.collect()}
         assert got == {0: ([1, 2], [10, 20], [texts[1], texts[2][15:]]), 1: ([2, 3], [20, 10], [texts[2][15:], texts[1]])}
