@@ -192,3 +192,46 @@ def test_two_texts_meet_once_for_conflicts(spark):
         assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
         got = {r["query_id"]: (r["between"], r["docs"], r["claims"]) for r in found.collect()}
         assert got == {0: ([1, 2], [10, 20], [texts[1], texts[2][15:]]), 1: ([2, 3], [20, 10], [texts[2][15:], texts[1]])}
+
+
+def test_terms_in_array_passes():
+    """Terms were found text by text, each then looked up."""
+    texts = ["Honey, an 'infant'  a_b _ __", None, "", "가나 다 x\x1cyz é\u0301t \U00020000\U00020001 \U0001f600", "a", "zz"]
+    for some in (texts, texts[1:3], texts[4:5], []):
+        found, ends = scores._runs(some)
+        lists = [found[lo:hi].to_pylist() for _, lo, hi in scores._rows(ends)]
+        assert lists == [[t for t in scores._TERM.findall(t or "") if len(t) > 1] for t in some]
+    assert all(x == bool(scores._TERM.fullmatch(chr(i))) for i, x in enumerate(scores._in_words().tolist()))
+
+
+def test_a_task_sends_on_the_best_alone(spark):
+    """Each array pass sent on what was the best up to it, some thirty times as many rows as are the best."""
+    texts = ["honey " * (i // 100 + 1) + f"for infants w{i % 13}" for i in range(1500)]
+    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "cidx long, text string").coalesce(1)
+    queries = spark.createDataFrame([(0, "honey"), (1, "infants w7"), (2, "nothing")], "query_id long, text string")
+    known = scores.vocabulary(chunks)
+    got = scores.best(chunks, queries, known, 3).collect()
+    assert len(got) <= 2 * 3 * 3
+    every = {(r["query_id"], r["cidx"]): r for r in scores.best(chunks, queries, known, 1500).collect()}
+    assert len(every) == 4500
+    for name in ("dense", "bm25"):
+        for q in range(3):
+            want = sorted(range(1500), key=lambda c: (-round(every[q, c][name], 12), c))[:3]
+            mine = {r["cidx"]: r[name] for r in got if r["query_id"] == q}
+            assert set(want) <= set(mine)
+            assert all(mine[c] == pytest.approx(every[q, c][name], abs=1e-12) for c in mine)
+
+
+def test_sums_made_once_are_those_of_all(monkeypatch):
+    texts = ["honey for infants", "infants, infants", "", "zz"]
+    grams = sorted({g for t in texts for w in scores.words(t) for g in scores.grams(w)})
+    scorer = scores._Scorer({"chunk_side": False, "texts": texts, "tokens": None, "avgdl": 1.0, "grams": grams, "idf": scores.np.ones(len(grams)), "terms": None, "term_idf": None})
+    dense, error, _, _ = scorer.scores([*texts, None, "honey infants zz"], None, False)
+    row, column = scores.np.nonzero(dense > -1)
+    sums = scorer.exact(row, column)
+    assert abs(sums - dense[row, column]).max() < error
+    assert sums.reshape(dense.shape)[:2, :2].diagonal() == pytest.approx([1, 1])
+    known = scores.np.array([1, 5, 9])
+    pair = row * scorer.n + column
+    assert (scorer.others(row, column, known, sums[known]) == sums).all() and (pair[known] == known).all()
+    assert (scorer.others(row, column, known[:0], sums[:0]) == sums).all()
