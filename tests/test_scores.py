@@ -235,3 +235,14 @@ def test_sums_made_once_are_those_of_all(monkeypatch):
     pair = row * scorer.n + column
     assert (scorer.others(row, column, known, sums[known]) == sums).all() and (pair[known] == known).all()
     assert (scorer.others(row, column, known[:0], sums[:0]) == sums).all()
+
+
+def test_bars_are_of_all_slices():
+    """A bar was the k-th best of one array pass alone: late passes summed and sent on many rows for nothing."""
+    np = scores.np
+    top = np.full((2, 2), -np.inf)
+    for column, value in (([0, 1], [0.5, 0.1]), ([0], [0.4]), ([0, 0], [0.3, 0.5])):
+        scores._raise(top, np.array(column), np.array(value))
+    assert top.min(axis=1).tolist() == [0.5, -np.inf]
+    row, column = scores._ranking(np.array([7, 8, 9]), np.array([0, 0, 1]), np.array([0.5, 0.45, -1.0]), 2, top.min(axis=1))
+    assert (row.tolist(), column.tolist()) == ([7, 9], [0, 1])
